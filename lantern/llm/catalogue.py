@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from lantern.llm import sharding
+from lantern.llm import mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_mix": mixing.op4_mix,
         "op10_shards": sharding.op10_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mix": mixing.oracle(),
         "op10_shards": sharding.oracle(),
     }
