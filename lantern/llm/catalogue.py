@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lantern.llm import mixing, sharding
+from lantern.llm import mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_mix": mixing.op4_mix,
         "op10_shards": sharding.op10_shards,
     }
