@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lantern.llm import mixing, quality, sharding
+from lantern.llm import mixing, neardup, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op4_mix": mixing.op4_mix,
+        "op6_neardup": neardup.op6_neardup,
         "op10_shards": sharding.op10_shards,
     }
 
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix": mixing.oracle(),
+        "op6_neardup": neardup.oracle(),
         "op10_shards": sharding.oracle(),
     }
