@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lantern.llm import mixing, neardup, quality, sharding
+from lantern.llm import mixing, neardup, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op4_mix": mixing.op4_mix,
+        "op5_pii": pii.op5_pii,
         "op6_neardup": neardup.op6_neardup,
         "op10_shards": sharding.op10_shards,
     }

@@ -1,0 +1,82 @@
+"""Personal data: the digest against the contract's patterns taken literally, checksums, context."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lantern.llm import pii
+
+LITERAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def literal_spans(text):
+    def passes(kind, found):
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and pii.luhn(digits)
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return [(k, *m.span()) for k, p in LITERAL.items() for m in re.finditer(p, text) if passes(k, m[0])]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1 @.+-(%9é", max_size=60))
+def test_base_spans_equal_the_literal_patterns(text):
+    assert pii.base_spans(text) == literal_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "a.b@c.de@f.gh", "1.2.3.4.5.6.7.8", "+49 (30) 123-456", " ", "x", "@", "255.256.1.1", "0000.1.1.1"]), max_size=12))
+def test_base_spans_of_glued_samples(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == literal_spans(text)
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
+
+
+def test_iban_needs_its_checksum():
+    spans = pii.find_spans("Bank account IBAN DE89 3704 0044 0532 0130 00 OK")
+    assert [s["kind"] for s in spans if s["kind"] == "iban"] == ["iban"]
+    assert not [s for s in pii.find_spans("IBAN DE88 3704 0044 0532 0130 00") if s["kind"] == "iban"]
+
+
+def test_context_moves_the_score():
+    plain, named, other = ("at 4111111111111111", "my visa card 4111111111111111", "order 4111111111111111")
+    scores = [pii.find_spans(t)[0]["score"] for t in (other, plain, named)]
+    assert scores == sorted(scores) and scores[0] < scores[2]
+
+
+def test_query_rows(spark):
+    rows = [(1, "mail a@b.cc now", "x"), (2, None, None), (None, "", "y"), (1, "mail a@b.cc now", "x"), (3, "z" * 200_000 + " 1.2.3.4", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = sorted(pii.find_personal_data(docs).collect(), key=str)
+    assert len(out) == 5
+    empty = hashlib.sha256(b"").hexdigest()
+    by_id = {r.doc_id: r for r in out}
+    assert by_id[2].base_sha256 == by_id[None].base_sha256 == empty and by_id[2].spans == ""
+    assert by_id[1].spans == "email:5:11" and by_id[1].base_sha256 == hashlib.sha256(b"email:5:11").hexdigest()
+    assert by_id[3].n_ip == 1 and by_id[3].spans == "ip:200001:200008"
+    assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_redaction_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", "s")], "doc_id long, text string, source string")
+    assert pii.redacted(docs).first().asDict() == {"doc_id": 1, "text": "mail [email] now", "source": "s"}
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "+1" + "(" * 300_000, "a" * 300_000 + "@", "1." * 200_000])
+def test_long_runs_are_quick(text):
+    pii.find_spans(text)
