@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import mixing, neardup, pii, quality, sharding
+from lantern.llm import decontamination, mixing, neardup, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_mix": mixing.op4_mix,
         "op5_pii": pii.op5_pii,
         "op6_neardup": neardup.op6_neardup,
+        "op8_leaks": decontamination.op8_leaks,
         "op10_shards": sharding.op10_shards,
     }
 
