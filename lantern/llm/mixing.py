@@ -53,7 +53,8 @@ def source_targets(totals: DataFrame, mix: Mix) -> DataFrame:
         "_level",
         (wanted - F.coalesce(F.sum("_cap").over(earlier), F.lit(0))) / F.sum("weight").over(onward),
     )
-    level = F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("weight"), F.col("_level"))).over(all_rows)
+    # The first level that its own source does not reach is the greatest of those.
+    level = F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("weight"), F.col("_level"))).over(all_rows)
     rows = rows.withColumn("_water", level)
     filled = F.least(F.col("_cap").cast("double"), F.col("weight") * F.col("_water"))
     return rows.withColumn("target", F.coalesce(filled, F.col("_cap").cast("double"))).drop("_cap", "_level", "_water")
@@ -128,6 +129,23 @@ def mix_sizes(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "quota")
 
 
+def take_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes its words, to the nearest whole copy.
+
+    At most two documents of a source are cut by the ends of its blocks; these are taken whole if
+    half of them or more is. Documents without words aren't taken.
+    """
+    taken = mix_documents(docs, mix)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    wanted = taken.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), copies.alias("_copies"))
+    wanted = wanted.filter("_copies > 0").groupBy("_id", "_words").agg(F.max("_copies").alias("_copies"))
+    wanted = shared.small(shared.staged(wanted, "mix-taken"), 1_000_000)
+    rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*docs.columns)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(shared.table(spark, sf_dir, "documents"))
 
@@ -151,7 +169,7 @@ WITH d AS (
     / sum(w) OVER (ORDER BY {mix.max_repeats} * source_size / w, ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s
 ), t AS (
-  SELECT *, coalesce(least(cap::DOUBLE, w * (SELECT min(level) FROM levels WHERE level <= cap / w)), cap::DOUBLE) AS target FROM levels
+  SELECT *, coalesce(least(cap::DOUBLE, w * (SELECT max(level) FROM levels WHERE level <= cap / w)), cap::DOUBLE) AS target FROM levels
 ), seats AS (
   SELECT ordinal, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, ordinal) AS place
   FROM t, LATERAL (SELECT unnest(range(2 + ceil(2 * target / {b})::BIGINT)) AS k) WHERE target > 0

@@ -221,6 +221,23 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
+    """The rows of `docs` that name their component, one for each, with all their columns.
+
+    Where copies share doc_id as well, one of them stays. Documents without words all stay.
+    """
+    held = near_duplicates(docs, likeness)
+    gone = shared.staged(held.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "neardup-gone")
+    rest = docs.join(shared.small(gone, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = shared.staged(held.filter("kept").groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "neardup-again")
+    if again.isEmpty():
+        return rest
+    doubled = F.broadcast(again.select(F.col("component_id").alias("_id"))) if again.count() <= 1_000_000 else again.select(F.col("component_id").alias("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    one_each = rest.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(doubled, same, "left_anti").unionByName(one_each)
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"), Likeness(words=3, percent=85))
 
