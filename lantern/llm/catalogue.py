@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lantern.llm import decontamination, mixing, neardup, pii, quality, sharding
+from lantern.llm import decontamination, html, mixing, neardup, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_html": html.op3_html,
         "op4_mix": mixing.op4_mix,
         "op5_pii": pii.op5_pii,
         "op6_neardup": neardup.op6_neardup,
