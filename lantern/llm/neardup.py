@@ -7,13 +7,15 @@
    bucket takes over the register of a full one, by a fixed random preference, so that two sets
    agree in any register with a probability of their Jaccard similarity.
 3. Six registers make a band key; representatives that share a key are candidates. In a shared key
-   each one is first paired with one hub only, which differs from band to band.
+   each one is first paired with two hubs only: the member that shares most keys with others, which
+   is a group's original more often than not, and one that differs from band to band.
 4. Pairs are dropped where the Jaccard estimate from all registers, corrected for chance collisions
    of the compressed registers, lies six standard deviations below the threshold; the others are
    verified on their full sets.
 5. First the best hub of each representative is tried, then the hubs in other components, and then
    what still shares a key across components. Copies that a hub has linked already are never paired
-   with one another, and at the end no candidate pair across components is left untested.
+   with one another, and at the end each candidate pair across components has been tested or is
+   ruled out by the numbers of shingles that it can't have in common.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import arrow, graph, shared, text
@@ -164,17 +166,64 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).drop("ru", "rv")
 
 
+def _star(ranked: DataFrame, rank: Column) -> DataFrame:
+    """(u, v): each member of a key with the member that `rank` puts first."""
+    first = ranked.groupBy("band").agg(F.min(rank).alias("_first")).select("band", F.col("_first.key").alias("hub"))
+    pairs = ranked.join(first, "band").filter("key <> hub")
+    return pairs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(key, n, own): sizes of the sets, and how many of its shingles each shares with no other one."""
+
+    def run(rows: Iterator[dict]) -> Iterable[dict]:
+        for row in rows:
+            for gram in np.frombuffer(row["grams"], np.int64).tolist():
+                yield {"key": row["key"], "gram": gram}
+
+    sets = sets.dropDuplicates(["key"])
+    grams = arrow.map_rows(sets, run, "key long, gram long", rows=16_384)
+    once = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")).filter("_n = 1")
+    own = once.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    rows = sets.select("key", (F.octet_length("grams") / 8).cast("long").alias("n"))
+    return rows.join(own, "key", "left").select("key", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _leftover(met: DataFrame, found: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
+    """(u, v): pairs that share a key across components and that no exact bound rules out.
+
+    Two sets have at most min(n - own) shingles in common, `own` being those that no other set in
+    question has. That bound is part of the join's condition, and within a key the members of its
+    largest component are never paired with one another.
+    """
+    named = met.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
+    groups = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_m"))
+    mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("_m", "root")).alias("_g")).filter("_c > 1").select("band", F.col("_g.root").alias("giant"))
+    named = shared.staged(named.join(mixed, "band"), "neardup-mixed")
+    facts = _own_shingles(sets.join(named.select("key").distinct(), "key", "left_semi"))
+    facts = facts.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * likeness.percent)
+    named = shared.staged(named.join(facts, "key"), "neardup-mixed")
+    rest = named.filter("root <> giant").select("band", *[F.col(c).alias(f"a_{c}") for c in ("key", "root", "n", "own")])
+    every = named.select("band", "giant", *[F.col(c).alias(f"b_{c}") for c in ("key", "root", "n", "own")])
+    most = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
+    able = most * (100 + likeness.percent) >= (F.col("a_n") + F.col("b_n")) * likeness.percent
+    apart = (F.col("a_root") < F.col("b_root")) | ((F.col("b_root") == F.col("giant")) & (F.col("a_root") > F.col("b_root")))
+    every = every.withColumnRenamed("band", "b_band")
+    pairs = rest.join(every, (F.col("band") == F.col("b_band")) & apart & able)
+    return pairs.select(F.least("a_key", "b_key").alias("u"), F.greatest("a_key", "b_key").alias("v")).distinct()
+
+
 def class_components(docs: DataFrame, rows: DataFrame, likeness: Likeness) -> DataFrame:
     """(node, root) over the class keys of `rows`, as `sketched` gives them, staged."""
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = shared.staged(classes, "neardup-classes")
     bands = shared.staged(_bands(classes), "neardup-bands")
-    rank = F.struct(F.xxhash64("band", "key").alias("_rank"), F.col("key").alias("hub"))
-    hubs = bands.groupBy("band").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band", "_first.hub")
-    met = shared.staged(bands.join(hubs, "band"), "neardup-met")  # members of keys that are shared
-    stars = met.filter("key <> hub").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"), "key")
-    stars = stars.groupBy("u", "v").agg(F.min("key").alias("key"))
-    likely = shared.staged(_estimated(stars, classes, likeness), "neardup-likely")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = shared.staged(bands.join(sizes, "band"), "neardup-met")  # members of keys that are shared
+    central = met.groupBy("key").agg(F.sum("_n").alias("_c"))
+    ranked = met.join(central, "key")
+    stars = [_star(ranked, rank) for rank in (F.struct(-F.col("_c"), "key"), F.struct(F.xxhash64("band", "key"), "key"))]
+    likely = shared.staged(_estimated(stars[0].union(stars[1]).distinct(), classes, likeness), "neardup-likely")
 
     member = met.select("key").distinct()
     sets = shared.staged(_needed_sets(docs, shared.staged(classes.join(member, "key", "left_semi").select("doc_id"), "neardup-needed"), likeness), "neardup-sets")
@@ -189,16 +238,7 @@ def class_components(docs: DataFrame, rows: DataFrame, likeness: Likeness) -> Da
     links = links.union(more)
     found = graph.components(links)
 
-    # What still shares a key across components: per key, components first, members then.
-    named = met.select("key", "band").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
-    groups = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("band")
-    named = shared.staged(named.join(mixed, "band", "left_semi"), "neardup-mixed")
-    groups = named.select("band", "root").distinct()
-    meet = groups.alias("a").join(groups.alias("b"), F.expr("a.band = b.band and a.root < b.root")).select("a.band", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-    left = meet.join(named.select("band", F.col("root").alias("ra"), F.col("key").alias("a")), ["band", "ra"])
-    cross = left.join(named.select("band", F.col("root").alias("rb"), F.col("key").alias("b")), ["band", "rb"])
-    cross = cross.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(likely.select("u", "v"), ["u", "v"], "left_anti")
+    cross = _leftover(met.select("key", "band"), found, sets, likeness).join(likely.select("u", "v"), ["u", "v"], "left_anti")
     last = shared.staged(_verified(_estimated(cross, classes, likeness), sets, likeness), "neardup-links")
     return graph.components(links.union(last))
 
