@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lantern.llm import decontamination, html, mixing, neardup, pii, quality, sharding
+from lantern.llm import decontamination, html, mixing, neardup, pii, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_warc": warc.op2_warc,
         "op3_html": html.op3_html,
         "op4_mix": mixing.op4_mix,
         "op5_pii": pii.op5_pii,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.oracle(),
         "op4_mix": mixing.oracle(),
         "op6_neardup": neardup.oracle(),
         "op10_shards": sharding.oracle(),
