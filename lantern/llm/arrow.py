@@ -39,3 +39,15 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]]
             yield pa.RecordBatch.from_pylist(held, schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
+    """`mapInArrow` for a function from record batches to dicts of equally long arrays, one for each column of `ddl`."""
+    schema = schema_of(ddl)
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import decontamination, html, mixing, neardup, pii, quality, sharding, warc
+from lantern.llm import decontamination, html, linededup, mixing, neardup, pii, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pii": pii.op5_pii,
         "op6_neardup": neardup.op6_neardup,
         "op8_leaks": decontamination.op8_leaks,
+        "op9_lines": linededup.op9_lines,
         "op10_shards": sharding.op10_shards,
     }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.oracle(),
         "op4_mix": mixing.oracle(),
         "op6_neardup": neardup.oracle(),
+        "op9_lines": linededup.oracle(),
         "op10_shards": sharding.oracle(),
     }

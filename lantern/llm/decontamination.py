@@ -22,7 +22,6 @@ from lantern.llm import arrow, shared, text
 
 #: Punctuation does not count, nor does case: all ASCII but letters and digits separates words.
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-MAX_BITMAP_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -82,32 +81,15 @@ def seeds_of(benchmark: DataFrame, leak: Leak) -> DataFrame:
     return arrow.map_rows(benchmark.select("item_id", "text"), run, f"item_id {kind}, n_item_words int, seed long, item_at int", rows=8192)
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Bits of the seeds' leading digits; sized by their number, at most 16 MB."""
-    bits = 1 << 16
-    while bits < min(MAX_BITMAP_BITS, 256 * seeds.count()):
-        bits *= 2
-    place = F.shiftrightunsigned("seed", 65 - bits.bit_length())
-    words = seeds.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
-    out = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():
-        out[row.word] = row.bits
-    return out
-
-
 def _met(docs: DataFrame, bitmap: np.ndarray, leak: Leak) -> DataFrame:
     """(doc_id, text_key, seed, doc_at) of the documents' windows whose bit is set."""
     shared_bits = docs.sparkSession.sparkContext.broadcast(bitmap)
-    shift = np.uint64(65 - (64 * len(bitmap)).bit_length())
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         bits = shared_bits.value
         for row in rows:
             windows = text.window_hashes(words_of(row["text"]), leak.min_match)
-            place = windows >> shift
-            hit = (bits[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1)
-            for at in np.flatnonzero(hit).tolist():
+            for at in np.flatnonzero(shared.may_hold(bits, windows)).tolist():
                 yield {"doc_id": row["doc_id"], "text_key": row["text_key"], "seed": int(windows[at].view(np.int64)), "doc_at": at}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -124,7 +106,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> Da
     `min_match` words. Repeated rows are reported once. Empty tables give an empty result.
     """
     seeds = shared.staged(seeds_of(benchmark, leak), "leak-seeds")
-    met = _met(docs, _bitmap(seeds), leak)
+    met = _met(docs, shared.bitmap(seeds, "seed"), leak)
     joined = met.join(shared.small(seeds, 500_000), "seed")
     together = joined.groupBy("doc_id", "text_key", "item_id", "n_item_words").agg(F.collect_set(F.struct("item_at", "doc_at")).alias("pairs"))
     # Seeds alone bound what tiles can cover.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,5 +79,33 @@ def running_sum(df: DataFrame, group: str, digest: str, value: Column, order: li
     )
 
 
+#: A bitmap has 256 bits for each value, but no more than this: 16 MB.
+MAX_BITMAP_BITS = 1 << 27
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of bounded size in which the leading bits of every long in `column` are set.
+
+    The rows are brought together as bits in Spark; the driver gets at most 2 million words.
+    """
+    bits = 1 << 16
+    most = min(MAX_BITMAP_BITS, 256 * df.count())
+    while bits < most:
+        bits *= 2
+    place = F.shiftrightunsigned(column, 65 - bits.bit_length())
+    words = df.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    for row in words.toLocalIterator():
+        out[row.word] = row.bits
+    return out
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned `values` may be in the bitmap."""
+    place = values >> np.uint64(65 - (64 * len(bits)).bit_length())
+    return (bits[place >> np.uint64(6)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

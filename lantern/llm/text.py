@@ -35,32 +35,39 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _segment_hashes(data: np.ndarray) -> np.ndarray:
+def _segment_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
     value = (sums[ends] - sums[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, words being what ASCII white space separates.
+def words_and_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the first byte of each word of UTF-8 bytes, white space being ASCII's.
 
     Long texts go through in segments of about a megabyte, cut at white space.
     """
-    parts, start = [], 0
+    parts, places, start = [], [], 0
     while start < len(data):
         end = min(start + _SEGMENT, len(data))
         while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
             end += 1
-        parts.append(_segment_hashes(np.frombuffer(data, np.uint8, end - start, start)))
+        hashes, starts = _segment_hashes(np.frombuffer(data, np.uint8, end - start, start))
+        parts.append(hashes)
+        places.append(starts + start)
         start = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return (np.concatenate(parts), np.concatenate(places)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hashes of `words_and_starts`."""
+    return words_and_starts(data)[0]
 
 
 _STEPS = [np.uint64(((2 * i + 1) * 0xC2B2AE3D27D4EB4F + (i << 40)) & _MASK | 1) for i in range(64)]
