@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import decontamination, html, linededup, mixing, neardup, pii, quality, sharding, warc
+from lantern.llm import chat, decontamination, html, linededup, mixing, neardup, pii, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mix": mixing.op4_mix,
         "op5_pii": pii.op5_pii,
         "op6_neardup": neardup.op6_neardup,
+        "op7_chat": chat.op7_chat,
         "op8_leaks": decontamination.op8_leaks,
         "op9_lines": linededup.op9_lines,
         "op10_shards": sharding.op10_shards,
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.oracle(),
         "op4_mix": mixing.oracle(),
         "op6_neardup": neardup.oracle(),
+        "op7_chat": chat.oracle(),
         "op9_lines": linededup.oracle(),
         "op10_shards": sharding.oracle(),
     }

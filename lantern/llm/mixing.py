@@ -120,7 +120,7 @@ def mix_sizes(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     quotas = shared.staged(block_quotas(source_targets(totals, mix), mix), "mix-quotas")
     facts = quotas.select(F.col("source").alias("_source"), "ordinal", "source_size", "target", "quota", "blocks")
     rows = rows.join(shared.small(facts), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = shared.running_sum(rows, "ordinal", "_digest", F.col("size"), ["doc_id", "size"], "_at")
+    rows = shared.running_sum(rows, "ordinal", shared.digest_chunk("_digest"), ["_digest", "doc_id", "size"], F.col("size"), "_at")
     block = F.lit(mix.block_tokens)
     start, end = F.col("_at"), F.col("_at") + F.col("size")
     passes = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)

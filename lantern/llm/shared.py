@@ -55,23 +55,18 @@ def hex_long(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
 
 
-#: A running sum is split over this many chunks per group, by hash.
-CHUNK_DIGITS = 3
-
-
-def running_sum(df: DataFrame, group: str, digest: str, value: Column, order: list[str], out: str) -> DataFrame:
+def running_sum(df: DataFrame, group: str, chunk: Column, order: list[str], value: Column, out: str) -> DataFrame:
     """Sum of `value` over the rows before each row of its group, with no task holding a whole group.
 
-    Rows are ordered by the hexadecimal column `digest`, then by `order`. Its first digits cut
-    every group into 4096 chunks: chunk totals are summed first, a window over them (at most 4096
-    rows a group) gives each chunk's start, and a second window runs inside the chunks only.
-    `group` may not be null. `df` is read twice, so stage it when it is costly.
+    Rows are ordered by `chunk`, then by the columns `order`. Chunk totals are summed first, a
+    window over them gives each chunk's start, and a second window runs inside the chunks only.
+    `group` and `chunk` may not be null. `df` is read twice, so stage it when it is costly.
     """
-    rows = df.withColumn("_chunk", F.substring(digest, 1, CHUNK_DIGITS)).withColumn("_value", value)
+    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
     totals = rows.groupBy(group, "_chunk").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(group, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_chunk").orderBy(digest, *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.join(starts, [group, "_chunk"])
         .withColumn(out, F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
@@ -79,6 +74,11 @@ def running_sum(df: DataFrame, group: str, digest: str, value: Column, order: li
     )
 
 
+def digest_chunk(digest: str) -> Column:
+    """The chunk of a row that is ordered by a hexadecimal digest: one of 4096."""
+    return F.substring(digest, 1, 3)
+
+
 #: A bitmap has 256 bits for each value, but no more than this: 16 MB.
 MAX_BITMAP_BITS = 1 << 27
 
