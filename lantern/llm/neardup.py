@@ -15,7 +15,7 @@
 5. First the best hub of each representative is tried, then the hubs in other components, and then
    what still shares a key across components. Copies that a hub has linked already are never paired
    with one another, and at the end each candidate pair across components has been tested or is
-   ruled out by the numbers of shingles that it can't have in common.
+   ruled out by an exact bound of prefix, length or position on its shingles.
 """
 
 from __future__ import annotations
@@ -173,43 +173,46 @@ def _star(ranked: DataFrame, rank: Column) -> DataFrame:
     return pairs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(key, n, own): sizes of the sets, and how many of its shingles each shares with no other one."""
+def _prefixes(sets: DataFrame, likeness: Likeness) -> DataFrame:
+    """(gram, key, n, place): the shingles that lead each set when ordered from rare to frequent.
+
+    Two sets that reach the threshold share a shingle there.
+    """
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
             for gram in np.frombuffer(row["grams"], np.int64).tolist():
                 yield {"key": row["key"], "gram": gram}
 
-    sets = sets.dropDuplicates(["key"])
-    grams = arrow.map_rows(sets, run, "key long, gram long", rows=16_384)
-    once = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")).filter("_n = 1")
-    own = once.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    rows = sets.select("key", (F.octet_length("grams") / 8).cast("long").alias("n"))
-    return rows.join(own, "key", "left").select("key", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    grams = shared.staged(arrow.map_rows(sets.dropDuplicates(["key"]), run, "key long, gram long", rows=16_384), "neardup-grams")
+    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    whole = grams.join(rarity, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
+    n = F.size("all")
+    length = n - F.ceil(n * likeness.percent / 100.0).cast("int") + 1
+    return whole.select("key", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), length)).alias("place", "g")).select("g.gram", "key", "n", "place")
 
 
 def _leftover(met: DataFrame, found: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
-    """(u, v): pairs that share a key across components and that no exact bound rules out.
+    """(u, v): pairs across components, among the classes that share a key across components, that no exact bound rules out.
 
-    Two sets have at most min(n - own) shingles in common, `own` being those that no other set in
-    question has. That bound is part of the join's condition, and within a key the members of its
-    largest component are never paired with one another.
+    They are joined on the shingles of their prefixes. Sizes, and the numbers of shingles that can
+    still be common from there on, are part of the join's condition; under a shingle the members of
+    its largest component are never paired with one another.
     """
     named = met.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
-    groups = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_m"))
-    mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("_m", "root")).alias("_g")).filter("_c > 1").select("band", F.col("_g.root").alias("giant"))
-    named = shared.staged(named.join(mixed, "band"), "neardup-mixed")
-    facts = _own_shingles(sets.join(named.select("key").distinct(), "key", "left_semi"))
-    facts = facts.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * likeness.percent)
-    named = shared.staged(named.join(facts, "key"), "neardup-mixed")
-    rest = named.filter("root <> giant").select("band", *[F.col(c).alias(f"a_{c}") for c in ("key", "root", "n", "own")])
-    every = named.select("band", "giant", *[F.col(c).alias(f"b_{c}") for c in ("key", "root", "n", "own")])
-    most = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
-    able = most * (100 + likeness.percent) >= (F.col("a_n") + F.col("b_n")) * likeness.percent
+    mixed = named.groupBy("band").agg((F.min("root") != F.max("root")).alias("_mixed")).filter("_mixed").select("band")
+    named = shared.staged(named.join(mixed, "band", "left_semi").select("key", "root").distinct(), "neardup-mixed")
+    posted = shared.staged(_prefixes(sets.join(named, "key", "left_semi"), likeness).join(named, "key"), "neardup-posted")
+    groups = posted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("_m"))
+    groups = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("_m", "root")).alias("_g")).filter("_c > 1").select("gram", F.col("_g.root").alias("giant"))
+    posted = shared.staged(posted.join(groups, "gram"), "neardup-posted")
+    rest = posted.filter("root <> giant").select(F.col("gram").alias("a_gram"), *[F.col(c).alias(f"a_{c}") for c in ("key", "root", "n", "place")])
+    every = posted.select("gram", "giant", *[F.col(c).alias(f"b_{c}") for c in ("key", "root", "n", "place")])
+    p, sizes = likeness.percent, F.col("a_n") + F.col("b_n")
+    follow = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    able = (follow * (100 + p) >= sizes * p) & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * p)
     apart = (F.col("a_root") < F.col("b_root")) | ((F.col("b_root") == F.col("giant")) & (F.col("a_root") > F.col("b_root")))
-    every = every.withColumnRenamed("band", "b_band")
-    pairs = rest.join(every, (F.col("band") == F.col("b_band")) & apart & able)
+    pairs = rest.join(every, (F.col("a_gram") == F.col("gram")) & apart & able)
     return pairs.select(F.least("a_key", "b_key").alias("u"), F.greatest("a_key", "b_key").alias("v")).distinct()
 
 
