@@ -4,9 +4,9 @@ Lines become sets of word hashes; lines with equal sets form a class, and the jo
 classes. Words are ordered from rare to frequent, by counts of hashed words over all documents.
 
 1. Each class posts the words of its prefix: two sets that reach the threshold share a word there.
-   A semi-join of the postings on the word keeps the classes that may have a partner: lengths, the
-   words that can still follow (position), and a 128-bit parity sketch, from whose differing bits
-   follow differing words, are exact bounds inside the join's condition.
+   Postings that share a word are compared, and the classes that may have a partner are kept:
+   lengths, the words that can still follow (position), and a 128-bit parity sketch, from whose
+   differing bits follow differing words, are exact bounds.
 2. Only those classes go on, with their whole sets, to verification. A word's group is cut into
    blocks by hash, each pair of blocks is one unit of work, and a pair of classes counts only under
    the first word that they share. A unit gives each of its classes its number of links and whether
@@ -34,6 +34,7 @@ _BATCH_BYTES = 1 << 20
 class Similar:
     percent: int = 80  # Jaccard similarity of word sets
     block: int = 512  # classes in a block of a verified group
+    crowd: int = 20_000  # postings of a word beyond which all its classes are verified
 
 
 @dataclass
@@ -68,8 +69,13 @@ class Lines:
         return tuple(np.bitwise_xor.reduceat(h, self.first).view(np.int64) if len(self.size) else np.zeros(0, np.int64) for h in halves)
 
     def by_rarity(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words of each line from rare to frequent, and their places in it."""
-        order = np.lexsort((self.words, counts[bucket_of(self.words)], self.line))
+        """The words of each line from rare to frequent, and their places in it.
+
+        `counts` are the buckets' ranks by count; words of one bucket are ordered by further bits.
+        """
+        rank = counts[bucket_of(self.words)].astype(np.uint64)
+        within = (self.words >> np.uint64(COUNT_BITS)) & np.uint64((1 << 44 - COUNT_BITS) - 1)
+        order = by_line(self.line, (rank << np.uint64(44 - COUNT_BITS)) | within)
         return self.words[order], np.arange(len(self.words)) - np.repeat(self.first, self.size)
 
 
@@ -77,6 +83,11 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
 
 
+def by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by line, then by the last 44 bits of a key; there are fewer than 2**20 lines."""
+    return np.argsort((line.astype(np.uint64) << np.uint64(44)) | (key & np.uint64((1 << 44) - 1)))
+
+
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (percent * size + 99) // 100 + 1
 
@@ -90,7 +101,7 @@ def lines_of(texts: list[str | None]) -> Lines:
     line = np.searchsorted(breaks, starts)
     lengths = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
     doc_start = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(data) else np.zeros(0, np.int64)
-    order = np.lexsort((words, line))
+    order = by_line(line, words)
     words, line = words[order], line[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
@@ -136,15 +147,17 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def _counts(scan: DataFrame) -> np.ndarray:
-    """The counts of the word buckets: 65,536 numbers, however large the input."""
+    """The rank of each word bucket by its count: 65,536 numbers, however large the input."""
     out = np.zeros(1 << COUNT_BITS, np.int64)
     for row in scan.filter("line_no is null").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.key] = row.n
-    return out
+    ranks = np.empty(len(out), np.int64)
+    ranks[np.argsort(out, kind="stable")] = np.arange(len(out))
+    return ranks
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFrame:
-    """(word, key, size, place, odd0, odd1): the words of the prefix of each line."""
+    """(word, key, shape, odd0, odd1): the words of the prefix of each line; shape is its size and the word's place."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
@@ -162,22 +175,59 @@ def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFram
             line, odd = lines.line, lines.parities()
             use = (place < prefix_length(lines.size, similar.percent)[line]) & fresh[line]
             line = line[use]
-            yield {"word": words[use].view(np.int64), "key": keys[line], "size": lines.size[line], "place": place[use], "odd0": odd[0][line], "odd1": odd[1][line]}
+            shape = (lines.size[line] << 32) | place[use]
+            yield {"word": words[use].view(np.int64), "key": keys[line], "shape": shape, "odd0": odd[0][line], "odd1": odd[1][line]}
 
-    return arrow.map_batches(docs.select("text"), run, "word long, key long, size int, place int, odd0 long, odd1 long")
+    return arrow.map_batches(docs.select("text"), run, "word long, key long, shape long, odd0 long, odd1 long")
 
 
 def _active(postings: DataFrame, similar: Similar) -> DataFrame:
-    """(key): the classes that have a partner which no bound rules out."""
-    rows = postings.repartition("word")
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    p = similar.percent
-    sizes = F.col("a_size") + F.col("b_size")
-    follow = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    differ = F.bit_count(F.col("a_odd0").bitwiseXOR(F.col("b_odd0"))) + F.bit_count(F.col("a_odd1").bitwiseXOR(F.col("b_odd1")))
-    able = (follow * (100 + p) >= sizes * p) & (differ * (100 + p) <= sizes * (100 - p))
-    return a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_key") != F.col("b_key")) & able, "left_semi").select(F.col("a_key").alias("key")).distinct()
+    """(key): the classes that have a partner which no bound rules out.
+
+    Postings are hashed by word, sorted, and read as a stream: rows of one word are compared with
+    the next row, the one after that, and so on, for all words at once. Of a word with very many
+    postings all classes go on, without a comparison.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
+        names, held = ("word", "key", "shape", "odd0", "odd1"), None
+        for batch in batches:
+            now = {n: batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names}
+            if held is not None:
+                now = {n: np.concatenate((held[n], now[n])) for n in names}
+            word = now["word"]
+            cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
+            if len(word) - cut > similar.crowd:
+                yield {"key": np.unique(now["key"][cut:])}
+                held = {n: v[-similar.crowd // 2 :] for n, v in now.items()}  # enough to know the crowd by
+            else:
+                held = {n: v[cut:] for n, v in now.items()}
+            yield {"key": _partnered({n: v[:cut] for n, v in now.items()}, similar)}
+        if held is not None:
+            yield {"key": _partnered(held, similar)}
+
+    spread = postings.repartition("word").sortWithinPartitions("word")
+    return arrow.map_batches(spread, run, "key long").distinct()
+
+
+def _partnered(rows: dict[str, np.ndarray], similar: Similar) -> np.ndarray:
+    """The keys of the rows, sorted by word, that another row of the word may be similar to."""
+    word, key, p = rows["word"], rows["key"], similar.percent
+    size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
+    hit = np.zeros(len(word), bool)
+    at, step = np.arange(len(word) - 1), 1
+    while len(at):
+        at = at[at + step < len(word)]
+        at = at[word[at] == word[at + step]]
+        other = at + step
+        sizes = size[at] + size[other]
+        follow = np.minimum(size[at] - place[at], size[other] - place[other])
+        able = at[(follow * (100 + p) >= sizes * p) & (key[at] != key[other])]
+        differ = sum(np.bitwise_count((rows[n][able] ^ rows[n][able + step]).view(np.uint64)).astype(np.int64) for n in ("odd0", "odd1"))
+        able = able[differ * (100 + p) <= (size[able] + size[able + step]) * (100 - p)]
+        hit[able] = hit[able + step] = True
+        step += 1
+    return np.unique(key[hit])
 
 
 def _sets(docs: DataFrame, active: DataFrame, counts: np.ndarray) -> DataFrame:
