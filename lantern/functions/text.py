@@ -146,7 +146,7 @@ def first_line(text: Column | str, otherwise: Column) -> Column:
 
 def comma_list(text: Column | str) -> Column:
     """The trimmed, non-empty parts of a list with commas."""
-    parts = F.transform(F.split(F.coalesce(_column(text), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(_column(text), F.lit("")), ","), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
