@@ -25,9 +25,11 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values() -> Iterator[dict]:
             for batch in batches:
-                names, columns = batch.schema.names, [c.to_pylist() for c in batch.columns]
-                for row in zip(*columns):
-                    yield dict(zip(names, row))
+                for start in range(0, batch.num_rows, 256):  # Python objects of a few rows at a time
+                    part = batch.slice(start, 256)
+                    names, columns = part.schema.names, [c.to_pylist() for c in part.columns]
+                    for row in zip(*columns):
+                        yield dict(zip(names, row))
 
         held: list[dict] = []
         for row in function(values()):

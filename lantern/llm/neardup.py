@@ -34,6 +34,7 @@ BUCKETS = 256
 MANTISSA_BITS = 10
 BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
+RARITY_BITS = 18
 #: Chance that two unlike registers agree, by the analysis of the sketch: 0.1699 * 2 ** -bits.
 COLLISION = 0.1699 * 2.0**-MANTISSA_BITS
 
@@ -173,23 +174,46 @@ def _star(ranked: DataFrame, rank: Column) -> DataFrame:
     return pairs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """The rank by count of each hash bucket of shingles: 262,144 numbers, however large the input."""
+
+    def run(rows: Iterator[dict]) -> Iterable[dict]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for row in rows:
+            np.add.at(counts, _rarity_bucket(np.frombuffer(row["grams"], np.uint64)), 1)
+        for bucket in np.flatnonzero(counts).tolist():
+            yield {"bucket": bucket, "n": int(counts[bucket])}
+
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    counts = arrow.map_rows(sets.select("grams"), run, "bucket int, n long", rows=16_384)
+    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[row.bucket] = row.n
+    ranks = np.empty(len(total), np.int64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(len(total))
+    return ranks
+
+
+def _rarity_bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64((1 << RARITY_BITS) - 1)).astype(np.int64)
+
+
 def _prefixes(sets: DataFrame, likeness: Likeness) -> DataFrame:
     """(gram, key, n, place): the shingles that lead each set when ordered from rare to frequent.
 
-    Two sets that reach the threshold share a shingle there.
+    Two sets that reach the threshold share a shingle there, whatever the order, as long as it is
+    one for all; counts by hash buckets make it a good one.
     """
+    held = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
-            for gram in np.frombuffer(row["grams"], np.int64).tolist():
-                yield {"key": row["key"], "gram": gram}
-
-    grams = shared.staged(arrow.map_rows(sets.dropDuplicates(["key"]), run, "key long, gram long", rows=16_384), "neardup-grams")
-    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    whole = grams.join(rarity, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))
-    n = F.size("all")
-    length = n - F.ceil(n * likeness.percent / 100.0).cast("int") + 1
-    return whole.select("key", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), length)).alias("place", "g")).select("g.gram", "key", "n", "place")
+            grams = np.frombuffer(row["grams"], np.uint64)
+            n = len(grams)
+            order = np.lexsort((grams, held.value[_rarity_bucket(grams)]))[: n - (likeness.percent * n + 99) // 100 + 1]
+            for place, gram in enumerate(grams[order].view(np.int64).tolist()):
+                yield {"gram": gram, "key": row["key"], "n": n, "place": place}
+
+    return arrow.map_rows(sets, run, "gram long, key long, n int, place int", rows=8192)
 
 
 def _leftover(met: DataFrame, found: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
