@@ -4,13 +4,13 @@ Lines become sets of word hashes; lines with equal sets form a class, and the jo
 classes. Words are ordered from rare to frequent, by counts of hashed words over all documents.
 
 1. Each class posts the words of its prefix: two sets that reach the threshold share a word there.
-   Postings that share a word are compared, and the classes that may have a partner are kept:
+   Postings that share a word are compared, and bounds tell which may be similar:
    lengths, the words that can still follow (position), and a 128-bit parity sketch, from whose
-   differing bits follow differing words, are exact bounds.
-2. Only those classes go on, with their whole sets, to verification. A word's group is cut into
-   blocks by hash, each pair of blocks is one unit of work, and a pair of classes counts only under
-   the first word that they share. A unit gives each of its classes its number of links and whether
-   one of them is earlier: one row a class, never one a pair.
+   differing bits follow differing words. None of them is ever wrong about a pair.
+2. Classes that may be similar, directly or through others, make up groups. Only these go on, with
+   their whole sets, to verification. A group is cut into blocks by hash, and each pair of blocks is
+   one unit of work. A unit gives each of its classes its number of links and whether one of them
+   is earlier: one row a class, never one a pair.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import arrow, shared, text
+from lantern.llm import arrow, graph, shared, text
 
 #: Words are counted in so many hash buckets; they fix the order of words in the prefixes.
 COUNT_BITS = 16
@@ -181,12 +181,13 @@ def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFram
     return arrow.map_batches(docs.select("text"), run, "word long, key long, shape long, odd0 long, odd1 long")
 
 
-def _active(postings: DataFrame, similar: Similar) -> DataFrame:
-    """(key): the classes that have a partner which no bound rules out.
+def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
+    """(u, v): links that join all classes which no bound keeps apart into components.
 
     Postings are hashed by word, sorted, and read as a stream: rows of one word are compared with
-    the next row, the one after that, and so on, for all words at once. Of a word with very many
-    postings all classes go on, without a comparison.
+    the next row, the one after that, and so on, for all words at once. A word's rows that may be
+    similar, directly or through others, are linked to one of them, so there is at most one link a
+    posting. Of a word with very many postings all classes are linked without a comparison.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
@@ -198,24 +199,25 @@ def _active(postings: DataFrame, similar: Similar) -> DataFrame:
             word = now["word"]
             cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
             if len(word) - cut > similar.crowd:
-                yield {"key": np.unique(now["key"][cut:])}
-                held = {n: v[-similar.crowd // 2 :] for n, v in now.items()}  # enough to know the crowd by
+                crowd = now["key"][cut:]
+                yield {"u": crowd[1:], "v": np.full(len(crowd) - 1, crowd[0])}
+                held = {n: np.concatenate((v[cut : cut + 1], v[len(word) - similar.crowd :])) for n, v in now.items()}
             else:
                 held = {n: v[cut:] for n, v in now.items()}
-            yield {"key": _partnered({n: v[:cut] for n, v in now.items()}, similar)}
+            yield _linked({n: v[:cut] for n, v in now.items()}, similar)
         if held is not None:
-            yield {"key": _partnered(held, similar)}
+            yield _linked(held, similar)
 
     spread = postings.repartition("word").sortWithinPartitions("word")
-    return arrow.map_batches(spread, run, "key long").distinct()
+    return arrow.map_batches(spread, run, "u long, v long").filter("u <> v").distinct()
 
 
-def _partnered(rows: dict[str, np.ndarray], similar: Similar) -> np.ndarray:
-    """The keys of the rows, sorted by word, that another row of the word may be similar to."""
+def _linked(rows: dict[str, np.ndarray], similar: Similar) -> dict[str, np.ndarray]:
+    """Links from rows, sorted by word, to the row that stands for all that they may be similar to."""
     word, key, p = rows["word"], rows["key"], similar.percent
     size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
-    hit = np.zeros(len(word), bool)
-    at, step = np.arange(len(word) - 1), 1
+    top = np.arange(len(word))  # of each row, a row before it that it is linked to
+    at, step = np.arange(max(0, len(word) - 1)), 1
     while len(at):
         at = at[at + step < len(word)]
         at = at[word[at] == word[at + step]]
@@ -225,9 +227,18 @@ def _partnered(rows: dict[str, np.ndarray], similar: Similar) -> np.ndarray:
         able = at[(follow * (100 + p) >= sizes * p) & (key[at] != key[other])]
         differ = sum(np.bitwise_count((rows[n][able] ^ rows[n][able + step]).view(np.uint64)).astype(np.int64) for n in ("odd0", "odd1"))
         able = able[differ * (100 + p) <= (size[able] + size[able + step]) * (100 - p)]
-        hit[able] = hit[able + step] = True
+        for i in able[top[able] != top[able + step]].tolist():
+            a, b = i, i + step
+            while top[a] != a:
+                a = top[a] = top[top[a]]
+            while top[b] != b:
+                b = top[b] = top[top[b]]
+            top[max(a, b)] = min(a, b)
         step += 1
-    return np.unique(key[hit])
+    while not np.array_equal(top, top[top]):
+        top = top[top]
+    moved = np.flatnonzero(top != np.arange(len(top)))
+    return {"u": key[moved], "v": key[top[moved]]}
 
 
 def _sets(docs: DataFrame, active: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -248,62 +259,52 @@ def _sets(docs: DataFrame, active: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.join(active, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
 
 
-def _links(sets: DataFrame, classes: DataFrame, similar: Similar) -> DataFrame:
-    """(key, n_links, earlier): of the classes in `sets`, with `classes` (key, first) for the order of lines."""
+def _links(sets: DataFrame, groups: DataFrame, classes: DataFrame, similar: Similar) -> DataFrame:
+    """(key, n_links, earlier) of the classes in `sets`, each compared with those of its group (key, root).
 
-    def post(rows: Iterator[dict]) -> Iterable[dict]:
-        for row in rows:
-            words = np.frombuffer(row["words"], np.int64)
-            for word in words[: int(prefix_length(np.array([len(words)]), similar.percent)[0])].tolist():
-                yield {"word": word, "key": row["key"], "words": row["words"], "doc": row["doc"], "line": row["line"]}
-
-    rows = sets.join(classes, "key").select("key", "words", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    facts = f"key long, words binary, doc {kind}, line int"
-    posted = shared.staged(arrow.map_rows(rows, post, f"word long, {facts}", rows=1024), "line-posted")
-    groups = posted.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    groups = groups.select("word", F.ceil(F.col("_n") / similar.block).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    units = posted.join(groups, "word").withColumn("_own", own).withColumn("_other", other)
-    units = units.select("word", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "key", "words", "doc", "line")
-    units = units.repartition("word", "_i", "_j").sortWithinPartitions("word", "_i", "_j", "_own")
+    `classes` (key, first) has the order of lines. A group is cut into blocks by hash, and each pair
+    of blocks is one unit of work; a set is sent once for each block of its group.
+    """
+    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / similar.block).cast("int").alias("_blocks"))
+    rows = sets.join(groups, "key").join(blocks, "root").join(classes, "key")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    units = rows.select(
+        "root", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "key", "words",
+        F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"),
+    )
+    units = units.repartition("root", "_i", "_j").sortWithinPartitions("root", "_i", "_j", "_own")
 
     def verify(rows: Iterator[dict]) -> Iterable[dict]:
         unit, held = None, []
         for row in rows:
-            now = (row["word"], row["_i"], row["_j"])
+            now = (row["root"], row["_i"], row["_j"])
             if now != unit and held:
-                yield from _verified(unit, held, similar)
+                yield from _verified(held, unit[1] != unit[2], similar)
                 held = []
             unit = now
             held.append(row)
         if held:
-            yield from _verified(unit, held, similar)
+            yield from _verified(held, unit[1] != unit[2], similar)
 
     found = arrow.map_rows(units, verify, "key long, n_links long, earlier boolean", rows=4096)
     return found.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
 
 
-def _verified(unit: tuple[int, int, int], rows: list[dict], similar: Similar) -> Iterator[dict]:
-    """Links within one block, or between two blocks, of the classes that post a word."""
-    word, i, j = unit
+def _verified(rows: list[dict], between: bool, similar: Similar) -> Iterator[dict]:
+    """Links within one block of classes or, if `between`, from each of two blocks to the other."""
     sets = [np.frombuffer(r["words"], np.int64) for r in rows]
     size = np.fromiter((len(s) for s in sets), np.int64, len(sets))
     flat, line = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    before = place < np.fromiter((int(np.flatnonzero(s == word)[0]) for s in sets), np.int64, len(sets))[line]
     _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
     column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[column]  # only words of two classes or more
     use = column >= 0
     has = np.zeros((len(sets), int((seen > 1).sum())), np.float32)
     has[line[use], column[use]] = 1
     common = (has @ has.T).astype(np.int64)
-    has[line[use & ~before], column[use & ~before]] = 0
-    first = (has @ has.T) == 0  # this word is the first that the two share
-    linked = first & (common * (100 + similar.percent) >= similar.percent * (size[:, None] + size[None, :]))
+    linked = common * (100 + similar.percent) >= similar.percent * (size[:, None] + size[None, :])
     np.fill_diagonal(linked, False)
-    if i != j:
+    if between:
         side = np.fromiter((r["_own"] for r in rows), np.int64, len(rows))
         linked &= side[:, None] != side[None, :]
     order = {key: n for n, key in enumerate(sorted({_order(r) for r in rows}))}
@@ -331,9 +332,10 @@ def line_links(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     lines = scan.filter("line_no is not null").select("doc_id", "line_no", "key")
     counts = _counts(scan)
     classes = shared.staged(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-classes")
-    active = shared.staged(_active(_postings(docs, counts, similar), similar), "line-active")
-    sets = shared.staged(_sets(docs, active, counts), "line-sets")
-    links = shared.staged(_links(sets, classes, similar), "line-links")
+    found = graph.components(_candidates(_postings(docs, counts, similar), similar))
+    groups = shared.staged(found.withColumnRenamed("node", "key").union(found.select("root", "root").distinct()), "line-groups")
+    sets = shared.staged(_sets(docs, groups.select("key"), counts), "line-sets")
+    links = shared.staged(_links(sets, groups, classes, similar), "line-links")
     facts = classes.join(links, "key", "left")
     counted = lines.groupBy("key", "doc_id", "line_no").agg(F.count(F.lit(1)).alias("_times"))
     counted = counted.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
