@@ -48,7 +48,7 @@ class Lines:
 
     @property
     def first(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.int64)
+        return (np.cumsum(self.size) - self.size).astype(np.int64)
 
     @property
     def line(self) -> np.ndarray:
