@@ -184,8 +184,9 @@ def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFram
 def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
     """(u, v): links that join all classes which no bound keeps apart into components.
 
-    Postings are hashed by word, sorted, and read as a stream: rows of one word are compared with
-    the next row, the one after that, and so on, for all words at once. A word's rows that may be
+    Postings are hashed by word, sorted by word and size, and read as a stream: rows of one word are
+    compared with the next row, the one after that, and so on, for all words at once, until the sizes
+    are too far apart. A word's rows that may be
     similar, directly or through others, are linked to one of them, so there is at most one link a
     posting. Of a word with very many postings all classes are linked without a comparison.
     """
@@ -208,19 +209,20 @@ def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
         if held is not None:
             yield _linked(held, similar)
 
-    spread = postings.repartition("word").sortWithinPartitions("word")
+    spread = postings.repartition("word").sortWithinPartitions("word", "shape")
     return arrow.map_batches(spread, run, "u long, v long").filter("u <> v").distinct()
 
 
 def _linked(rows: dict[str, np.ndarray], similar: Similar) -> dict[str, np.ndarray]:
-    """Links from rows, sorted by word, to the row that stands for all that they may be similar to."""
+    """Links from rows, sorted by word and size, to the row that stands for all that they may be similar to."""
     word, key, p = rows["word"], rows["key"], similar.percent
     size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
     top = np.arange(len(word))  # of each row, a row before it that it is linked to
     at, step = np.arange(max(0, len(word) - 1)), 1
     while len(at):
         at = at[at + step < len(word)]
-        at = at[word[at] == word[at + step]]
+        other = at + step
+        at = at[(word[at] == word[other]) & (size[other] * p <= size[at] * 100)]  # sizes only grow from here
         other = at + step
         sizes = size[at] + size[other]
         follow = np.minimum(size[at] - place[at], size[other] - place[other])
