@@ -232,9 +232,11 @@ def _linked(rows: dict[str, np.ndarray], similar: Similar) -> dict[str, np.ndarr
         for i in able[top[able] != top[able + step]].tolist():
             a, b = i, i + step
             while top[a] != a:
-                a = top[a] = top[top[a]]
+                top[a] = top[top[a]]
+                a = top[a]
             while top[b] != b:
-                b = top[b] = top[top[b]]
+                top[b] = top[top[b]]
+                b = top[b]
             top[max(a, b)] = min(a, b)
         step += 1
     while not np.array_equal(top, top[top]):
