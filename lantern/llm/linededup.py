@@ -27,6 +27,9 @@ from lantern.llm import arrow, graph, shared, text
 
 #: Words are counted in so many hash buckets; they fix the order of words in the prefixes.
 COUNT_BITS = 16
+#: Postings are sorted by one long: a word's hash above, the line's size (clipped) in so many bits below.
+SIZE_BITS = 20
+LARGEST = (1 << SIZE_BITS) - 1
 _BATCH_BYTES = 1 << 20
 
 
@@ -157,7 +160,10 @@ def _counts(scan: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFrame:
-    """(word, key, shape, odd0, odd1): the words of the prefix of each line; shape is its size and the word's place."""
+    """(word, key, shape, odd0, odd1): the words of the prefix of each line, the clipped size in their lowest bits.
+
+    shape is the line's full size and the word's place in it.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
@@ -176,7 +182,8 @@ def _postings(docs: DataFrame, counts: np.ndarray, similar: Similar) -> DataFram
             use = (place < prefix_length(lines.size, similar.percent)[line]) & fresh[line]
             line = line[use]
             shape = (lines.size[line] << 32) | place[use]
-            yield {"word": words[use].view(np.int64), "key": keys[line], "shape": shape, "odd0": odd[0][line], "odd1": odd[1][line]}
+            packed = (words[use].view(np.int64) & ~LARGEST) | np.minimum(lines.size[line], LARGEST)
+            yield {"word": packed, "key": keys[line], "shape": shape, "odd0": odd[0][line], "odd1": odd[1][line]}
 
     return arrow.map_batches(docs.select("text"), run, "word long, key long, shape long, odd0 long, odd1 long")
 
@@ -197,7 +204,7 @@ def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
             now = {n: batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names}
             if held is not None:
                 now = {n: np.concatenate((held[n], now[n])) for n in names}
-            word = now["word"]
+            word = now["word"] >> SIZE_BITS
             cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
             if len(word) - cut > similar.crowd:
                 crowd = now["key"][cut:]
@@ -209,20 +216,20 @@ def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
         if held is not None:
             yield _linked(held, similar)
 
-    spread = postings.repartition("word").sortWithinPartitions("word", "shape")
+    spread = postings.repartition(F.shiftright("word", SIZE_BITS)).sortWithinPartitions("word")
     return arrow.map_batches(spread, run, "u long, v long").filter("u <> v").distinct()
 
 
 def _linked(rows: dict[str, np.ndarray], similar: Similar) -> dict[str, np.ndarray]:
     """Links from rows, sorted by word and size, to the row that stands for all that they may be similar to."""
-    word, key, p = rows["word"], rows["key"], similar.percent
+    word, key, p = rows["word"] >> SIZE_BITS, rows["key"], similar.percent
     size, place = rows["shape"] >> 32, rows["shape"] & 0xFFFFFFFF
     top = np.arange(len(word))  # of each row, a row before it that it is linked to
     at, step = np.arange(max(0, len(word) - 1)), 1
     while len(at):
         at = at[at + step < len(word)]
         other = at + step
-        at = at[(word[at] == word[other]) & (size[other] * p <= size[at] * 100)]  # sizes only grow from here
+        at = at[(word[at] == word[other]) & ((size[other] * p <= size[at] * 100) | (size[other] >= LARGEST))]  # below that, sizes only grow
         other = at + step
         sizes = size[at] + size[other]
         follow = np.minimum(size[at] - place[at], size[other] - place[other])
