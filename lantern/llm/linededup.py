@@ -252,18 +252,17 @@ def _linked(rows: dict[str, np.ndarray], similar: Similar) -> dict[str, np.ndarr
     return {"u": key[moved], "v": key[top[moved]]}
 
 
-def _sets(docs: DataFrame, active: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, words): the sets of the classes in `active`, words from rare to frequent."""
-    held = docs.sparkSession.sparkContext.broadcast((counts, shared.bitmap(active, "key")))
+def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
+    """(key, words): the sets of the classes in `active`."""
+    held = docs.sparkSession.sparkContext.broadcast(shared.bitmap(active, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
-        counts, bits = held.value
         for _, lines in _texts(batches):
             keys = lines.keys()
             _, chosen = np.unique(keys, return_index=True)
-            chosen = chosen[shared.may_hold(bits, keys[chosen].view(np.uint64))]
+            chosen = chosen[shared.may_hold(held.value, keys[chosen].view(np.uint64))]
             if len(chosen):
-                words, first = lines.by_rarity(counts)[0], lines.first
+                words, first = lines.words, lines.first
                 yield {"key": keys[chosen], "words": [words[first[i] : first[i] + lines.size[i]].tobytes() for i in chosen]}
 
     rows = arrow.map_batches(docs.select("text"), run, "key long, words binary")
@@ -345,7 +344,7 @@ def line_links(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     classes = shared.staged(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-classes")
     found = graph.components(_candidates(_postings(docs, counts, similar), similar))
     groups = shared.staged(found.withColumnRenamed("node", "key").union(found.select("root", "root").distinct()), "line-groups")
-    sets = shared.staged(_sets(docs, groups.select("key"), counts), "line-sets")
+    sets = shared.staged(_sets(docs, groups.select("key")), "line-sets")
     links = shared.staged(_links(sets, groups, classes, similar), "line-links")
     facts = classes.join(links, "key", "left")
     counted = lines.groupBy("key", "doc_id", "line_no").agg(F.count(F.lit(1)).alias("_times"))
