@@ -199,21 +199,26 @@ def _candidates(postings: DataFrame, similar: Similar) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[dict]:
-        names, held = ("word", "key", "shape", "odd0", "odd1"), None
+        names, held, crowded = ("word", "key", "shape", "odd0", "odd1"), None, False
         for batch in batches:
             now = {n: batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names}
             if held is not None:
                 now = {n: np.concatenate((held[n], now[n])) for n in names}
-            word = now["word"] >> SIZE_BITS
+            word, begin = now["word"] >> SIZE_BITS, 0
+            if crowded:  # the word goes on: its rows are linked to its first one, which was held
+                begin = int(np.searchsorted(word, word[0], "right"))
+                yield {"u": now["key"][1:begin], "v": np.full(begin - 1, now["key"][0])}
+                if begin == len(word):
+                    held = {n: v[:1] for n, v in now.items()}
+                    continue
             cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
-            if len(word) - cut > similar.crowd:
+            crowded = len(word) - cut > similar.crowd
+            if crowded:
                 crowd = now["key"][cut:]
                 yield {"u": crowd[1:], "v": np.full(len(crowd) - 1, crowd[0])}
-                held = {n: np.concatenate((v[cut : cut + 1], v[len(word) - similar.crowd :])) for n, v in now.items()}
-            else:
-                held = {n: v[cut:] for n, v in now.items()}
-            yield _linked({n: v[:cut] for n, v in now.items()}, similar)
-        if held is not None:
+            held = {n: v[cut : cut + 1] if crowded else v[cut:] for n, v in now.items()}
+            yield _linked({n: v[begin:cut] for n, v in now.items()}, similar)
+        if held is not None and not crowded:
             yield _linked(held, similar)
 
     spread = postings.repartition(F.shiftright("word", SIZE_BITS)).sortWithinPartitions("word")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lantern.llm import graph
 from lantern.llm import linededup as dedup
 
 
@@ -73,3 +74,20 @@ def test_lines_of_texts():
     keys = lines.keys()
     assert keys[0] == keys[1] != keys[2]
     assert len(dedup.lines_of([]).size) == 0 and np.array_equal(dedup.prefix_length(np.array([1, 4, 5, 10]), 80), [1, 1, 2, 3])
+
+
+@pytest.mark.parametrize("rows", [10, 4, 3])
+def test_a_crowd_is_linked_to_its_last_posting(spark, rows):
+    """One word over several batches, the last of which holds the next word too; tail rows resemble only rows of the first batch."""
+    name, size = "spark.sql.execution.arrow.maxRecordsPerBatch", dedup.SIZE_BITS
+    odd = lambda i: 0 if i in (2, 3, 10, 11) else -1
+    postings = [((1 << size) | 100 + i, i, (100 + i) << 32, odd(i), odd(i)) for i in range(12)]
+    postings += [((2 << size) | 100, 100 + i, 100 << 32, 0, 0) for i in range(2)] + [((3 << size) | 100, 200, 100 << 32, 0, 0)]
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        frame = spark.createDataFrame(postings, "word long, key long, shape long, odd0 long, odd1 long").coalesce(1)
+        found = graph.components(dedup._candidates(frame, dedup.Similar(crowd=2))).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(1, 12)} | {(101, 100)}
