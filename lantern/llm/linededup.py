@@ -87,7 +87,9 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The order by line, then by the last 44 bits of a key; there are fewer than 2**20 lines."""
+    """The order by line, then by the last 44 bits of a key. `line` ascends; up to 2**20 lines are sorted as one long."""
+    if len(line) and line[-1] >> 20:
+        return np.lexsort((key & np.uint64((1 << 44) - 1), line))
     return np.argsort((line.astype(np.uint64) << np.uint64(44)) | (key & np.uint64((1 << 44) - 1)))
 
 
@@ -111,7 +113,7 @@ def lines_of(texts: list[str | None]) -> Lines:
     words, line = words[new], line[new]
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
     own = line[first]
-    begins = np.where(own > 0, breaks[np.maximum(own, 1) - 1] + 1, 0) if len(own) else own
+    begins = np.concatenate(([0], breaks + 1))[own]
     doc = np.searchsorted(doc_start, begins, "right") - 1
     number = own - np.searchsorted(breaks, doc_start)[doc] if len(own) else own
     return Lines(doc, number, np.diff(np.append(first, len(words))), words)

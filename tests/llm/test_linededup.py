@@ -91,3 +91,14 @@ def test_a_crowd_is_linked_to_its_last_posting(spark, rows):
     finally:
         spark.conf.set(name, before)
     assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(1, 12)} | {(101, 100)}
+
+
+def test_more_lines_than_the_sort_has_bits_for():
+    first, last = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    lines = dedup.lines_of([" ".join(first) + "\n" * (1 << 20) + " ".join(last)])
+    assert lines.number.tolist() == [0, 1 << 20] and lines.size.tolist() == [30, 30] and lines.doc.tolist() == [0, 0]
+    apart = [dedup.lines_of([" ".join(words)]) for words in (first, last)]  # also texts without a line feed
+    assert lines.keys().tolist() == [x.keys()[0] for x in apart]
+    line = np.repeat([0, 1 << 20], 30)
+    order = dedup.by_line(line, lines.words)
+    assert np.array_equal(line[order], line)
