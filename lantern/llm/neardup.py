@@ -289,18 +289,23 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
 
 
 def keep_one(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
-    """The rows of `docs` that name their component, one for each, with all their columns.
+    """One row of `docs` for each component, with all its columns.
 
-    Where copies share doc_id as well, one of them stays. Documents without words all stay.
+    It has the least doc_id of its component; null comes last. Rows are told apart by doc_id and
+    text, so a row never goes because another one shares its doc_id. Where copies share doc_id as
+    well, one of them stays. Documents without words all stay.
     """
-    held = near_duplicates(docs, likeness)
-    gone = shared.staged(held.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "neardup-gone")
-    rest = docs.join(shared.small(gone, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = shared.staged(held.filter("kept").groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "neardup-again")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    held = shared.staged(near_duplicates(docs.select(row.alias("doc_id"), "text"), likeness), "neardup-held")
+    names = (F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text_key"))
+    gone = shared.staged(held.filter(~F.col("kept")).select(*names).distinct(), "neardup-gone")
+    rest = docs.join(shared.small(gone, 1_000_000), same, "left_anti")
+    again = held.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = shared.staged(again.select(*names), "neardup-again")
     if again.isEmpty():
         return rest
-    doubled = F.broadcast(again.select(F.col("component_id").alias("_id"))) if again.count() <= 1_000_000 else again.select(F.col("component_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    doubled = shared.small(again, 1_000_000)
     one_each = rest.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return rest.join(doubled, same, "left_anti").unionByName(one_each)
 

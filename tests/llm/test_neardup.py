@@ -64,6 +64,22 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    rows = [
+        (1, "a b c d e f"), (None, "A b c d e f"),  # a copy without an id
+        (None, "clean words that stand alone here"), (None, ""), (None, ""),
+        (7, "a b c d e F"), (7, "seven has another text as well"),  # one of two texts is a copy
+        (8, "eight q r s t u v w x y z"), (8, "eight q r s t u v w x y z k"),  # near copies that share an id
+        (None, "null q r s t u v w x y z"), (None, "null q r s t u v w x y z k"),  # or have none
+        (9, None), (9, None),
+    ]
+    kept = sorted((str(r.doc_id), r.text) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text)
+    ids = [(d, t.split()[0]) for d, t in kept]
+    assert ids == [("1", "a"), ("7", "seven"), ("8", "eight"), ("None", "clean"), ("None", "null")]
+    without = [r for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.text]
+    assert len(without) == 4
+
+
 def test_empty_and_long(spark):
     frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100_000))), (2, " ".join(f"w{i}" for i in range(100_001)))], "doc_id long, text string")
     assert [r.component_id for r in neardup.near_duplicates(frame).collect()] == [1, 1]
