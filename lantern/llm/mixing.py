@@ -7,10 +7,11 @@
 3. Blocks of all sources, in source order, are dealt to the shards in turn: that fixes an integer
    quota for each source and shard, balanced to one block either way.
 4. Each source's documents are put in an order seeded by a hash, and that stream of tokens is cut
-   into blocks. A quota takes whole passes over the blocks, then a run of consecutive blocks (the
-   stream is shuffled already, so a run is a random sample of documents and cuts few of them).
+   into blocks. The shards take their quotas one after another, each as a run of consecutive blocks
+   that goes on from the stream's start when it is at its end (the stream is shuffled already, so a
+   run is a random sample of documents and cuts few of them).
 
-No block is walked one by one: a document's share is the overlap of two intervals.
+No block is walked one by one: a document's share of a shard is the overlap of intervals.
 """
 
 from __future__ import annotations
@@ -94,6 +95,17 @@ def shard_quotas(quotas: DataFrame, mix: Mix) -> DataFrame:
     return rows.select("source", "shard", (upto(F.col("first_block") + F.col("quota")) - upto(F.col("first_block"))).alias("blocks"))
 
 
+def shard_ranges(quotas: DataFrame, mix: Mix) -> DataFrame:
+    """(source, ranges): for each shard, the blocks from `low` to before `high` of the source's repeated stream.
+
+    The window runs over one row per source and shard.
+    """
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = shard_quotas(quotas, mix).withColumn("low", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    ranges = F.struct("shard", "low", (F.col("low") + F.col("blocks")).alias("high"))
+    return rows.groupBy("source").agg(F.sort_array(F.collect_list(ranges)).alias("ranges"))
+
+
 def _overlap(start, end, low, high):
     return F.greatest(F.least(end, high) - F.greatest(start, low), F.lit(0))
 
@@ -114,19 +126,39 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mix_sizes(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """`mix_documents` from (doc_id, source, size in tokens)."""
+    taken = F.aggregate("shares", F.lit(0).cast("long"), lambda total, s: total + s["taken"])
+    return _shared_out(sizes, mix).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "quota")
+
+
+def mix_shards(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """What each shard takes of every row of `docs`: doc_id, size, source, shard, taken (words), none of them 0.
+
+    The sum over the shards is what `mix_documents` gives. Without repeats no word is in two shards.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long")
+    rows = _shared_out(docs.select("doc_id", "source", size.alias("size")), mix)
+    return rows.select("doc_id", "size", "source", F.explode("shares").alias("s")).filter("s.taken > 0").select("doc_id", "size", "source", "s.shard", "s.taken")
+
+
+def _shared_out(sizes: DataFrame, mix: Mix) -> DataFrame:
+    """The rows with their source's facts and `shares` (shard, taken), one for each shard."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = shared.staged(sizes.withColumn("_digest", F.md5(F.concat(F.lit(f"{mix.seed}:"), key))), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     quotas = shared.staged(block_quotas(source_targets(totals, mix), mix), "mix-quotas")
-    facts = quotas.select(F.col("source").alias("_source"), "ordinal", "source_size", "target", "quota", "blocks")
+    ranges = shard_ranges(quotas, mix).withColumnRenamed("source", "_source")
+    facts = quotas.join(ranges, F.col("source").eqNullSafe(F.col("_source")))
+    facts = shared.staged(facts.select("_source", "ordinal", "source_size", "target", "quota", "blocks", "ranges"), "mix-ranges")
     rows = rows.join(shared.small(facts), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = shared.running_sum(rows, "ordinal", shared.digest_chunk("_digest"), ["_digest", "doc_id", "size"], F.col("size"), "_at")
-    block = F.lit(mix.block_tokens)
+    block, whole = F.lit(mix.block_tokens), F.greatest("blocks", F.lit(1))
     start, end = F.col("_at"), F.col("_at") + F.col("size")
-    passes = F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)
-    run = F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0) * block
-    taken = passes * _overlap(start, end, F.lit(0), F.col("blocks") * block) + _overlap(start, end, F.lit(0), run)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "quota")
+
+    def upto(blocks):  # words of the document in so many blocks of the repeated stream
+        return F.floor(blocks / whole) * _overlap(start, end, F.lit(0), F.col("blocks") * block) + _overlap(start, end, F.lit(0), blocks % whole * block)
+
+    shares = F.transform("ranges", lambda r: F.struct(r["shard"].alias("shard"), (upto(r["high"]) - upto(r["low"])).cast("long").alias("taken")))
+    return rows.withColumn("shares", shares)
 
 
 def take_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Mixing: targets against plain water filling, quotas against one block at a time, odd rows."""
 
+import hashlib
+
 import pytest
 
 from lantern.llm import mixing
@@ -67,6 +69,26 @@ def test_documents(spark):
     assert mixing.mix_documents(frame.limit(0)).count() == 0
 
 
+def test_shards_take_their_quotas(spark):
+    """Every shard gets its quota of blocks of each source, told block by block from the seeded stream."""
+    mix = mixing.Mix(block_tokens=7, shards=3)
+    docs = [(i, f"s{i % 3}" if i % 7 else None, "w " * (i * 5 % 40)) for i in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    sizes = {(d, s): len(t.split()) for d, s, t in docs}
+    quota = {r.source: r.quota for r in mixing.mix_documents(frame, mix).collect()}
+    expected, dealt = {}, 0
+    for source in sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s)):
+        own = sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d) for d, s, _ in docs if s == source)
+        stream = [d for _, d in own for _ in range(sizes[d, source])]
+        blocks = len(stream) // 7
+        shards = sorted((dealt + k) % 3 for k in range(quota[source]))
+        dealt += quota[source]
+        for place, shard in enumerate(shards):
+            for d in stream[place % blocks * 7 : place % blocks * 7 + 7]:
+                expected[d, source, shard] = expected.get((d, source, shard), 0) + 1
+    assert {(r.doc_id, r.source, r.shard): r.taken for r in mixing.mix_shards(frame, mix).collect()} == expected
+
+
 def test_query_covers_the_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = mixing.op4_mix(spark, sf).collect()
