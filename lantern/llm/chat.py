@@ -5,6 +5,8 @@ A call is found in an assistant's message, as `{"tool_calls": [...]}` that is th
 `<tool_response>` marks. Calls and results meet in a hash join on conversation and identifier. A
 call that names another call's identifier among its arguments depends on it. Messages keep their
 turns, except that a result comes after its call and a dependent call after the one it needs.
+Arguments are validated against the tool definitions in the system messages, as `{"tools": [...]}`
+that is the whole text or in `<tools>` marks.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from lantern.llm import arrow, shared
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _RESPONSE = re.compile(r"<tool_response>(.*?)</tool_response>", re.S)
+_TOOLS = re.compile(r"<tools>(.*?)</tools>", re.S)
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 #: Turns of one conversation that one window orders.
 TURNS = 1024
@@ -69,11 +72,13 @@ def parse_message(role: str | None, text: str | None) -> tuple[str, list[dict],
         whole = _load(text) if text.lstrip()[:1] == "{" else None
         if isinstance(whole, dict) and isinstance(whole.get("tool_calls"), list):
             calls = [_call(c) for c in whole["tool_calls"]]
-            if calls and all(calls):
-                return str(whole.get("content") or ""), calls, []
-        calls = [_call(_load(m)) for m in _CALL.findall(text)]
-        if calls and all(calls):
-            return _CALL.sub("", text).strip(), calls, []
+            if any(calls):
+                other = [c for c, call in zip(whole["tool_calls"], calls) if not call]
+                content = [str(whole.get("content") or ""), canonical({"tool_calls": other}) if other else ""]
+                return "\n".join(c for c in content if c), [c for c in calls if c], []
+        calls = [c for c in (_call(_load(m)) for m in _CALL.findall(text)) if c]
+        if calls:
+            return _CALL.sub(lambda m: "" if _call(_load(m[1])) else m[0], text).strip(), calls, []
     if role == "tool":
         found = [_load(m) for m in _RESPONSE.findall(text)] or [_load(text)]
         ids = [r["tool_call_id"] for r in found if isinstance(r, dict) and isinstance(r.get("tool_call_id"), str)]
@@ -81,6 +86,31 @@ def parse_message(role: str | None, text: str | None) -> tuple[str, list[dict],
     return text, [], []
 
 
+def tools_of(role: str | None, text: str | None) -> list[dict]:
+    """(name, schema) of the tools that a system message defines, the schema as canonical JSON."""
+    if role != "system" or "tools" not in (text or ""):
+        return []
+    values: list[Any] = [v["tools"]] if isinstance(v := _load(text), dict) and "tools" in v else []
+    for inner in _TOOLS.findall(text):
+        values += [_load(inner)] if _load(inner) is not None else [_load(line) for line in inner.splitlines()]
+    found = []
+    for tool in (t for v in values for t in (v if isinstance(v, list) else [v])):
+        tool = tool["function"] if isinstance(tool, dict) and isinstance(tool.get("function"), dict) else tool
+        if isinstance(tool, dict) and isinstance(tool.get("name"), str):
+            schema = tool.get("parameters", tool.get("input_schema", {}))
+            if isinstance(schema, dict):
+                found.append({"name": tool["name"], "schema": canonical(schema)})
+    return found
+
+
+def conforms(value: Any, schema: dict) -> bool:
+    """Whether a value keeps to a schema from the data; to one that can't be applied, none does."""
+    try:
+        return not violations(value, schema)
+    except (TypeError, ValueError, AttributeError, re.error, RecursionError):
+        return False
+
+
 def violations(value: Any, schema: dict, at: str = "") -> list[str]:
     """Where a value breaks a JSON schema: type, enum, bounds, required, properties, items."""
     found: list[str] = []
@@ -138,17 +168,50 @@ def parsed(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 "role": row["role"],
                 "json": canonical(message),
                 "calls": [
-                    {"id": c["id"], "name": c["name"], "valid": c["name"] in schemas and not violations(c["arguments"], schemas[c["name"]]), "needs": sorted(set(_strings(c["arguments"])) - {c["id"]})}
+                    {"id": c["id"], "name": c["name"], "name": c["name"], "arguments": canonical(c["arguments"]), "valid": c["name"] in schemas and not violations(c["arguments"], schemas[c["name"]]), "needs": sorted(set(_strings(c["arguments"])) - {c["id"]})}
                     for c in calls
                 ],
                 "results": results,
+                "tools": tools_of(row["role"], row["text"]),
             }
 
     kinds = {c: conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    ddl = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, json string, calls array<struct<id:string,name:string,valid:boolean,needs:array<string>>>, results array<string>"
+    ddl = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, json string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,needs:array<string>>>, results array<string>, tools array<struct<name:string,schema:string>>"
     return arrow.map_rows(conversations.select("conv_id", "turn", "role", "text"), run, ddl, rows=1024)
 
 
+def _validated(rows: DataFrame) -> DataFrame:
+    """`rows` with n_valid: the calls that keep to the definition of their tool.
+
+    A conversation's own definition counts, the least of several; without one, that which most
+    messages hold. Calls of tools that nothing defines are not valid.
+    """
+    message = ["conv", "_turn", "role", "json"]
+    tools = shared.staged(rows.filter(F.size("tools") > 0).select("conv", F.explode("tools").alias("t")).select("conv", "t.name", "t.schema"), "chat-tools")
+    own = tools.groupBy("conv", "name").agg(F.min("schema").alias("_own"))
+    common = tools.groupBy("name", "schema").agg(F.count(F.lit(1)).alias("n"))
+    common = shared.staged(common.groupBy("name").agg(F.min(F.struct(-F.col("n"), "schema")).alias("_c")).select("name", F.col("_c.schema").alias("_common")), "chat-tools")
+    # `arguments` and names tell a message's calls apart; its json is that of all of them.
+    calls = rows.filter(F.size("calls") > 0).select(*message, "calls").distinct()
+    calls = calls.select(*message, F.explode("calls").alias("c")).select(*message, "c.name", "c.arguments")
+    calls = calls.join(own, ["conv", "name"], "left").join(shared.small(common), "name", "left")
+    calls = calls.withColumn("schema", F.coalesce("_own", "_common")).filter("schema is not null").select(*message, "arguments", "schema")
+
+    def run(found: Iterator[dict]) -> Iterable[dict]:
+        for row in found:
+            if conforms(json.loads(row["arguments"]), json.loads(row["schema"])):
+                yield {n: row[n] for n in message}
+
+    good = arrow.map_rows(calls, run, "conv string, _turn long, role string, json string", rows=1024)
+    good = good.groupBy(*[F.col(n).alias(f"v{n}") for n in message]).agg(F.count(F.lit(1)).cast("int").alias("n_valid"))
+    same = F.lit(True)
+    for n in message:
+        same = same & F.col(n).eqNullSafe(F.col(f"v{n}"))
+    busy = rows.filter(F.size("calls") > 0).join(good, same, "left").drop(*[f"v{n}" for n in message])
+    plain = rows.filter(F.size("calls") <= 0).withColumn("n_valid", F.lit(0))
+    return plain.unionByName(busy.withColumn("n_valid", F.coalesce("n_valid", F.lit(0))))
+
+
 def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv, id, at, level): the first turn at which a call can stand, and its depth; cycles are left out.
 
@@ -175,7 +238,7 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     """Every row of `conversations` (conv_id, turn, role, text; others are ignored) as a canonical message.
 
     `schemas` has the JSON schema of each tool's arguments by its name; calls of other tools are not
-    valid. Returns conv_id, turn, position (gapless from 0 within the conversation), role, json,
+    valid. Without it, the tool definitions in the system messages count. Returns conv_id, turn, position (gapless from 0 within the conversation), role, json,
     n_calls, n_valid, n_results, n_linked (calls with a result, or results with a call), in_cycle.
 
     Null texts are empty; a null conv_id is a conversation of its own, a null turn comes first.
@@ -208,16 +271,16 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     )
     facts = shared.staged(facts, "chat-facts")
     same = (F.col("conv") == F.col("f_conv")) & (F.col("_turn") == F.col("f_turn")) & F.col("role").eqNullSafe(F.col("f_role")) & (F.col("json") == F.col("f_json"))
-    whole = rows.join(facts, same, "left").drop("f_conv", "f_turn", "f_role", "f_json")
+    checked = _validated(rows) if schemas is None else rows.withColumn("n_valid", F.size(F.filter("calls", lambda c: c["valid"])))
+    whole = checked.join(facts, same, "left").drop("f_conv", "f_turn", "f_role", "f_json")
     whole = whole.withColumn("_place", F.greatest(F.col("_turn"), F.coalesce("_at", F.col("_turn")))).withColumn("_level", F.coalesce("_level", F.lit(0)))
     # At one place calls come before results; chunks of turns keep long conversations apart.
     whole = shared.staged(whole.withColumn("_late", F.size("results") > 0), "chat-told")
     chunk = F.floor(F.col("_place") / TURNS)
     placed = shared.running_sum(whole, "conv", chunk, ["_place", "_level", "_late", "_turn", "role", "json"], F.lit(1), "position")
-    valid = F.size(F.filter("calls", lambda c: c["valid"]))
     return placed.select(
         "conv_id", "turn", F.col("position").cast("long").alias("position"), "role", "json",
-        F.size("calls").alias("n_calls"), valid.alias("n_valid"), F.size("results").alias("n_results"),
+        F.size("calls").alias("n_calls"), "n_valid", F.size("results").alias("n_results"),
         F.coalesce("_linked", F.lit(0)).alias("n_linked"), F.coalesce("_cycle", F.lit(False)).alias("in_cycle"),
     )
 

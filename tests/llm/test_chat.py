@@ -39,6 +39,30 @@ def test_links_order_and_validity(spark):
     assert [r.position for r in out] == list(range(6))
 
 
+def test_schemas_come_from_the_conversations(spark):
+    tool = lambda name, schema: {"type": "function", "function": {"name": name, "parameters": schema}}
+    strict, loose = SCHEMAS["add"], {"type": "object"}
+    defined = {1: {"add": strict}, 2: {"add": loose}, 3: {"add": strict, "bad": {"pattern": "(", "minimum": "x", "required": 3}}}
+    rows = [(c, 0, "system", json.dumps({"tools": [tool(n, s) for n, s in tools.items()]})) for c, tools in defined.items() if c < 3]
+    rows.append((3, 0, "system", "Use <tools>" + "\n".join(json.dumps(tool(n, s)) for n, s in defined[3].items()) + "</tools>"))
+    told = {}
+    for c in (1, 2, 3, 4):  # conversation 4 defines nothing: the most common definition counts
+        asked = [("a", "add", {"a": 1}), ("b", "add", {"a": "x"}), ("c", "add", {}), ("d", "add", {"a": 1}), ("e", "bad", {"x": 1}), ("f", "none", {})]
+        rows += [(c, 1, "assistant", calls(*asked)), (c, 2, "tool", result("a")), (c, 3, "tool", result("f"))]
+        schemas = {"add": strict, **defined.get(c, {})}
+        told[c] = sum(n in schemas and chat.conforms(a, schemas[n]) for _, n, a in asked)
+    out = run(spark, rows, None)
+    assert {r.conv_id: r.n_valid for r in out if r.turn == 1} == told == {1: 2, 2: 4, 3: 2, 4: 2}
+    assert all((r.n_calls, r.n_linked) == (6, 2) for r in out if r.turn == 1) and all(r.n_linked == 1 for r in out if r.role == "tool")
+
+
+def test_a_malformed_call_spares_the_others():
+    whole = json.dumps({"content": "x", "tool_calls": [{"id": "a", "name": "say", "arguments": {}}, {"name": "no id"}]})
+    assert chat.parse_message("assistant", whole) == ('x\n{"tool_calls":[{"name":"no id"}]}', [{"id": "a", "name": "say", "arguments": {}}], [])
+    marked = 'hm <tool_call>{broken</tool_call> <tool_call>{"id": "a", "name": "say"}</tool_call>'
+    assert chat.parse_message("assistant", marked) == ("hm <tool_call>{broken</tool_call>", [{"id": "a", "name": "say", "arguments": {}}], [])
+
+
 def test_cycles_and_chains(spark):
     rows = [(2, 0, "assistant", calls(("a", "say", {"x": "b"}))), (2, 1, "assistant", calls(("b", "say", {"x": "a"}))), (2, 2, "assistant", calls(("d", "say", {"x": ["e"]}))), (2, 3, "assistant", calls(("e", "say", {}))), (2, 4, "tool", result("d"))]
     out = run(spark, rows)
