@@ -7,15 +7,23 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
-def schema_of(ddl: str) -> StructType:
-    return _parse_datatype_string(ddl)
+def schema_of(ddl: str | StructType) -> StructType:
+    return ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl)
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]], ddl: str, rows: int = 512) -> DataFrame:
-    """`mapInArrow` for a function from an iterator of rows (as dicts) to rows of the schema `ddl`.
+def schema(*parts: StructField | str) -> StructType:
+    """A schema of fields (such as `df.schema["doc_id"]`, whatever its type) and DDL texts."""
+    fields: list[StructField] = []
+    for part in parts:
+        fields += _parse_datatype_string(part).fields if isinstance(part, str) else [StructField(part.name, part.dataType)]
+    return StructType(fields)
+
+
+def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]], ddl: str | StructType, rows: int = 512) -> DataFrame:
+    """`mapInArrow` for a function from an iterator of rows (as dicts) to rows of the schema `ddl` (text or StructType).
 
     One batch of input and at most `rows` rows of output are in memory at a time.
     """
@@ -43,7 +51,7 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]]
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], ddl: str | StructType) -> DataFrame:
     """`mapInArrow` for a function from record batches to dicts of equally long arrays, one for each column of `ddl`."""
     schema = schema_of(ddl)
     target = to_arrow_schema(schema)

@@ -50,6 +50,16 @@ def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of `df`, whatever characters their names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """`df` as one struct `_row`, so that no name of its columns can clash; `select("_row.*")` unpacks it."""
+    return df.select(F.struct(*columns(df)).alias("_row"))
+
+
 def hex_long(text: Column, start: int, digits: int) -> Column:
     """The number that `digits` hexadecimal digits of `text` spell, from 1-based `start`."""
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
