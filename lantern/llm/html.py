@@ -1,11 +1,14 @@
-"""Main text of web pages: boilerplate elements by name, and site templates by counting.
-
-A page is read into its block elements. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go by their element, role, class or id. What is left may still
-be a site's template: every remaining container is hashed with all it holds, the hashes are counted
-over the distinct pages of each host in Spark, and containers that recur on a large part of a host's
-pages are deleted from all of them. An article itself, its paragraphs and headings, and a container
-that holds most of a page's text are never taken for template.
+"""Main text of web pages: site templates by counting subtrees, other boilerplate by name.
+
+A page is read into its blocks of text. Every element with text is hashed with all that it holds, and
+Spark counts the hashes over the distinct pages of each host. A subtree that recurs on `min_pages`
+of them or more is a template and is deleted from all pages of the host, whatever its name and its
+share of a page. Where a subtree recurs all subtrees in it do, so each block needs to be looked up
+with the least one around it only. `article` and `main`, what holds them, and the prose in them
+(paragraphs, headings, list items) are no templates: an article's passage may recur.
+
+What doesn't recur, as on hosts with few pages, goes by name: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments by their element, role, class or id.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,34 +55,37 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are never templates by themselves while they stand in an article.
+#: Elements that are no templates by themselves where they stand in an article or main.
 PROSE = frozenset("p li dt dd td th tr tbody pre blockquote figcaption caption summary".split()) | HEADINGS
-MAIN = ("article", "main")
+REGIONS = ("article", "main")
+ARTICLE, MAIN, HEADLINE = 1, 2, 4
 
 
 @dataclass(frozen=True)
 class Templates:
-    min_pages: int = 5  # distinct pages that a template recurs on
-    percent: int = 30  # of the host's distinct pages
-    max_page_percent: int = 50  # of a page's main text, for one container
+    min_pages: int = 3  # pages of a host, with different main texts, that a template recurs on
+    in_memory: int = 2_000_000  # templates (16 MB) that are sent to the tasks; more are joined
 
 
 @dataclass(slots=True)
 class _Element:
     name: str
     dropped: bool
-    protected: bool
+    place: int
+    unit: bool  # may be a template by itself, unless it holds a region
     parts: list[bytes] = field(default_factory=list)
-    blocks: list[int] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)  # no part of a unit so far
+    first: int = 0  # blocks of the page before it
     heading: bool = False
-    regions: tuple[str, ...] = ()
+    region: bool = False  # is or holds an article or main
 
 
 @dataclass(slots=True)
-class _Block:
+class Block:
     text: str
-    regions: frozenset[str]
-    within: list[int] = field(default_factory=list)
+    named: bool  # boilerplate by the name of an element around it
+    place: int  # sum of ARTICLE, MAIN and HEADLINE
+    unit: int | None = None  # hash of the least subtree around it that may be a template
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -103,20 +110,22 @@ def _is_dropped(name: str, attrs: dict[str, str]) -> bool:
 class _Page:
     """The blocks of one page, built up tag by tag."""
 
-    def __init__(self) -> None:
-        self.blocks: list[_Block] = []
+    def __init__(self, host: str) -> None:
+        self.key = host.encode("utf-8", "surrogatepass")
+        self.blocks: list[Block] = []
         self.stack: list[_Element] = []
         self.text: list[str] = []
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.text)).split()) if self.text else ""
         self.text.clear()
-        if not text or any(e.dropped for e in self.stack):
+        if not text:
             return
-        self.blocks.append(_Block(text, frozenset(r for e in self.stack for r in e.regions)))
-        if self.stack:
-            self.stack[-1].parts.append(text.encode("utf-8", "surrogatepass"))
-            self.stack[-1].blocks.append(len(self.blocks) - 1)
+        within = self.stack[-1] if self.stack else None
+        self.blocks.append(Block(text, bool(within and within.dropped), within.place if within else 0))
+        if within:
+            within.parts.append(text.encode("utf-8", "surrogatepass"))
+            within.blocks.append(len(self.blocks) - 1)
 
     def open(self, name: str, attrs: dict[str, str]) -> None:
         self.flush()
@@ -131,33 +140,39 @@ class _Page:
                     break
         while self.stack and self.stack[-1].name in ("p", *HEADINGS) and (self.stack[-1].name == "p" or name in HEADINGS):
             self.close()
-        region = name if name in MAIN else "main" if attrs.get("role") == "main" else None
-        inside = any(e.regions for e in self.stack)
-        element = _Element(name, _is_dropped(name, attrs), bool(region) or name in ("html", "body") or inside and name in PROSE)
-        element.regions = (region,) if region else ()
+        around = self.stack[-1] if self.stack else _Element("", False, 0, False)
+        region = ARTICLE if name == "article" else MAIN if name == "main" or attrs.get("role") == "main" else 0
+        inside = around.place & (ARTICLE | MAIN)
+        unit = not region and name not in ("html", "body") and not (inside and name in PROSE)
+        element = _Element(name, around.dropped or _is_dropped(name, attrs), around.place | region | (HEADLINE if name == "h1" else 0), unit, region=bool(region), first=len(self.blocks))
         if name in HEADINGS:
-            for e in self.stack:
+            for e in reversed(self.stack):
+                if e.heading:
+                    break
                 e.heading = True
         self.stack.append(element)
 
     def close(self) -> None:
-        """Close the innermost element; its hash goes to its blocks and into its parent's."""
+        """Close the innermost element: its hash goes into its parent's, and to its blocks if it may be a template."""
         self.flush()
         element = self.stack.pop()
-        if element.name == "header" and not (element.heading and any(e.regions for e in self.stack)):
-            for place in element.blocks:
-                self.blocks[place].text = ""
-            element.blocks, element.parts = [], []
-        if element.dropped or not element.blocks:
+        around = self.stack[-1] if self.stack else None
+        if element.name == "header" and not (element.heading and around and around.place & (ARTICLE | MAIN)):
+            for block in self.blocks[element.first :]:
+                block.named = True
+        if around and element.region:
+            around.region = True
+        if not element.parts:
             return
-        digest = hashlib.blake2b(element.name.encode() + b"\0".join([b"", *element.parts]), digest_size=8).digest()
-        if not element.protected:
-            number = int.from_bytes(digest, "little", signed=True)
+        digest = hashlib.blake2b(element.name.encode() + b"\0".join([b"", *element.parts]), digest_size=8, key=self.key[:64]).digest()
+        if element.unit and not element.region:
             for place in element.blocks:
-                self.blocks[place].within.append(number)
-        if self.stack:
-            self.stack[-1].parts.append(digest)
-            self.stack[-1].blocks += element.blocks
+                self.blocks[place].unit = int.from_bytes(digest, "little", signed=True)
+            element.blocks = []
+        if around:
+            around.parts.append(digest)
+            if not element.region:
+                around.blocks = around.blocks + element.blocks if around.blocks else element.blocks
 
     def end(self, name: str) -> None:
         for place in range(len(self.stack) - 1, -1, -1):
@@ -165,13 +180,13 @@ class _Page:
                 while len(self.stack) > place:
                     self.close()
                 return
-            if self.stack[place].name in MAIN and name not in ("body", "html"):
+            if self.stack[place].name in REGIONS and name not in ("body", "html"):
                 return  # a stray end tag does not leave the article
 
 
-def read_page(source: str) -> list[_Block]:
-    """The main blocks of a page in order, boilerplate by name left out."""
-    page, at = _Page(), 0
+def read_page(source: str, host: str = "") -> list[Block]:
+    """All blocks of a page in order, boilerplate among them."""
+    page, at = _Page(host), 0
     while at < len(source):
         found = _TAG.search(source, at)
         if not found:
@@ -200,11 +215,22 @@ def read_page(source: str) -> list[_Block]:
     page.flush()
     while page.stack:
         page.close()
-    blocks = [b for b in page.blocks if b.text]
-    for region in MAIN:
-        if chosen := [b for b in blocks if region in b.regions]:
-            return chosen
-    return blocks
+    return page.blocks
+
+
+def main_text(blocks: Iterable[Block]) -> list[str]:
+    """The main blocks among those that are no template, by names.
+
+    What stands in `main` is taken, where there is one; else what stands in articles, and headlines
+    before them, if the articles hold half of the characters or more; else all.
+    """
+    left = [b for b in blocks if not b.named]
+    if any(b.place & MAIN for b in left):
+        return [b.text for b in left if b.place & MAIN]
+    own = sum(len(b.text) for b in left if b.place & ARTICLE)
+    if own and 2 * own >= sum(len(b.text) for b in left):
+        return [b.text for b in left if b.place & (ARTICLE | HEADLINE)]
+    return [b.text for b in left]
 
 
 def host_of(url: str | None) -> str:
@@ -213,68 +239,79 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower()
 
 
-def parsed(pages: DataFrame, templates: Templates) -> DataFrame:
-    """(page_id, url, host, page_key, texts, within, containers) of every page.
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, page_key, texts, named, places, units) of every page, the last four by block.
 
-    `within` holds for each block the hashes of the containers around it, `containers` those that
-    may be templates; page_key is a hash of the main text, so that copies of a page count once.
+    page_key is a hash of the main text by names, so that copies of a page count once.
     """
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
-            blocks = read_page(row["html"] or "")
-            total = sum(len(b.text) for b in blocks)
-            held: dict[int, int] = {}
-            for b in blocks:
-                for h in set(b.within):
-                    held[h] = held.get(h, 0) + len(b.text)
-            key = hashlib.blake2b("\0".join(b.text for b in blocks).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            small = {h for h, n in held.items() if n * 100 <= total * templates.max_page_percent}
+            host = host_of(row["url"])
+            blocks = read_page(row["html"] or "", host)
+            key = hashlib.blake2b("\0".join(main_text(blocks)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
             yield {
                 "page_id": row["page_id"],
                 "url": row["url"],
-                "host": host_of(row["url"]),
+                "host": host,
                 "page_key": int.from_bytes(key, "little", signed=True),
                 "texts": [b.text for b in blocks],
-                "within": [[h for h in b.within if h in small] for b in blocks],
-                "containers": sorted(small),
+                "named": [b.named for b in blocks],
+                "places": [b.place for b in blocks],
+                "units": [b.unit for b in blocks],
             }
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return arrow.map_rows(
-        pages.select("page_id", "url", "html"), run,
-        f"page_id {kind}, url string, host string, page_key long, texts array<string>, within array<array<long>>, containers array<long>", rows=256,
-    )
+    ddl = "url string, host string, page_key long, texts array<string>, named array<boolean>, places array<int>, units array<long>"
+    return arrow.map_rows(pages.select("page_id", "url", "html"), run, arrow.schema(pages.schema["page_id"], ddl), rows=256)
 
 
 def recurring(rows: DataFrame, templates: Templates) -> DataFrame:
-    """(host, container): the containers that recur on many of their host's distinct pages."""
-    seen = rows.select("host", "page_key", F.explode("containers").alias("container")).distinct()
-    counts = seen.groupBy("host", "container").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= templates.min_pages)
-    pages = rows.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
-    return counts.join(pages, "host").filter(F.col("_n") * 100 >= F.col("_pages") * templates.percent).select("host", "container")
+    """(unit): the subtrees that recur on many different pages of their host, which is part of their hash."""
+    units = F.explode(F.array_distinct(F.array_compact("units")))
+    seen = rows.select("page_key", units.alias("unit")).distinct()
+    return seen.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= templates.min_pages).select("unit")
+
+
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """`rows` with `gone`: those of their units that are in `gone`, by joins."""
+    key = ["page_key", "units"]
+    pieces = rows.select(*key).distinct().withColumn("unit", F.explode(F.array_distinct(F.array_compact("units"))))
+    found = pieces.join(gone, "unit").groupBy(*key).agg(F.collect_set("unit").alias("gone"))
+    return rows.join(found, key, "left")
 
 
 def extract(pages: DataFrame, templates: Templates = Templates()) -> DataFrame:
     """Main text of every row of `pages` (page_id, url, html; other columns are ignored).
 
-    Returns page_id, url, text, n_chars, host. Blocks are joined by two line ends, white space in
-    them is one space. A null or empty page has the text ''. A null url has the host ''. Repeated
-    rows are each returned and count once. An empty table gives an empty result.
+    Returns page_id, url, text, n_chars, host, n_template (blocks that went as a site's template,
+    whatever their names) and n_named (blocks that went by name alone). Blocks are joined by two line
+    ends, white space in them is one space. A null or empty page has the text ''. A null url has the
+    host ''. Repeated rows are each returned and count once. An empty table gives an empty result.
     """
-    rows = shared.staged(parsed(pages, templates), "html-blocks")
-    templated = shared.staged(recurring(rows.filter(F.size("containers") > 0), templates), "html-templates")
-    plain = rows
-    if not templated.isEmpty():
-        key = ["host", "page_key", "containers"]
-        pieces = rows.filter(F.size("containers") > 0).select(*key).distinct().withColumn("container", F.explode("containers"))
-        gone = pieces.join(templated, ["host", "container"]).groupBy(*key).agg(F.collect_set("container").alias("_gone"))
-        plain = rows.join(gone, key, "left").withColumn(
-            "texts",
-            F.when(F.col("_gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.arrays_overlap(F.element_at("within", i + 1), F.col("_gone")))),
-        )
-    text = F.array_join("texts", "\n\n")
-    return plain.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "host")
+    rows = shared.staged(parsed(pages), "html-blocks")
+    gone = shared.staged(recurring(rows, templates), "html-templates")
+    few = gone.count() <= templates.in_memory
+    sent = pages.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r.unit for r in gone.toLocalIterator()), np.int64)) if few else None)
+    told = rows if few else _with_gone(rows, gone)
+
+    def run(rows: Iterator[dict]) -> Iterable[dict]:
+        for row in rows:
+            units = np.array([u or 0 for u in row["units"]], np.int64)
+            known = sent.value if few else np.sort(np.array(row["gone"] or [], np.int64))
+            place = np.searchsorted(known, units)
+            is_gone = np.zeros(len(units), bool)
+            is_gone[place < len(known)] = known[place[place < len(known)]] == units[place < len(known)]
+            is_gone &= np.array([u is not None for u in row["units"]], bool)
+            blocks = [Block(*b) for b in zip(row["texts"], row["named"], row["places"])]
+            left = [b for b, g in zip(blocks, is_gone.tolist()) if not g]
+            text = "\n\n".join(main_text(left))
+            yield {
+                "page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "host": row["host"],
+                "n_template": len(blocks) - len(left), "n_named": sum(b.named for b in left),
+            }
+
+    ddl = "url string, text string, n_chars long, host string, n_template int, n_named int"
+    return arrow.map_rows(told, run, arrow.schema(pages.schema["page_id"], ddl), rows=256)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
