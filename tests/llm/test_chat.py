@@ -1,6 +1,7 @@
 """Tool calls: linking, order, validation, canonical form, odd rows."""
 
 import json
+import random
 
 from lantern.llm import chat
 
@@ -71,6 +72,60 @@ def test_cycles_and_chains(spark):
     assert places[3] < places[2] < places[4]
 
 
+def test_a_call_waits_for_the_result_it_needs(spark):
+    rows = [(1, 1, "assistant", calls(("b", "say", {}))), (1, 2, "assistant", calls(("a", "say", {"x": "b"}))), (1, 3, "tool", result("b")), (1, 4, "user", "so?"), (1, 5, "tool", result("a"))]
+    # A message moves with all its calls, and the results of the others follow it.
+    rows += [(2, 1, "assistant", calls(("a", "say", {"x": "b"}), ("c", "say", {}))), (2, 2, "tool", result("c")), (2, 3, "assistant", calls(("b", "say", {}))), (2, 4, "tool", result("b"))]
+    # A call that names another one of its message does not move it.
+    rows += [(3, 1, "assistant", calls(("a", "say", {"x": "b"}), ("b", "say", {}))), (3, 2, "tool", result("b"))]
+    out = run(spark, rows)
+    assert [[r.turn for r in out if r.conv_id == c] for c in (1, 2, 3)] == [[1, 3, 2, 4, 5], [3, 4, 1, 2], [1, 2]]
+    assert not any(r.in_cycle for r in out)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, names = 60, []
+    staged = chat.shared.staged
+    monkeypatch.setattr(chat.shared, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+    rows = [(1, t, "assistant", calls((f"c{t}", "say", {"x": f"c{t + 1}"}))) for t in range(n)] + [(1, n, "tool", result("c0"))]
+    assert [r.turn for r in run(spark, rows)] == [*range(n - 1, -1, -1), n]
+    assert names.count("chat-paths") <= 10
+
+
+def test_order_against_plain_search(spark):
+    """Random needs and results in many conversations: every edge outside of cycles is kept, and cycles are told."""
+    rng, rows, graphs = random.Random(1), [], {}
+    for conv in range(60):
+        told = [(rng.randrange(6), [rng.randrange(8) for _ in range(rng.randrange(3))], rng.randrange(8)) for _ in range(rng.randrange(1, 9))]
+        names = [("c", i) for i in range(len(told))] + [("r", i) for i, (_, _, answer) in enumerate(told) if answer < 5]
+        rows += [(conv, t, "assistant", calls((f"c{i}", "say", {"x": [f"c{k}" for k in needs]}))) for i, (t, needs, _) in enumerate(told)]
+        rows += [(conv, told[i][2] * 4, "tool", result(f"c{i}")) for kind, i in names if kind == "r"]
+        edges = {(("c", i), ("r", i)) for kind, i in names if kind == "r"}
+        graphs[conv] = names, edges | {(("r", k) if ("r", k) in names else ("c", k), ("c", i)) for i, (_, needs, _) in enumerate(told) for k in needs if k != i and k < len(told)}
+    out, n_looped = run(spark, rows), 0
+    for conv, (names, edges) in graphs.items():
+        above = {n: {u for u, v in edges if v == n} for n in names}
+        for _ in names:
+            above = {n: us.union(*(above[u] for u in us)) for n, us in above.items()}
+        looped = {n for n in names if n in above[n] or any(u in above[u] for u in above[n])}
+        place, told = {}, set()
+        for r in (r for r in out if r.conv_id == conv):
+            value = json.loads(r.json)
+            name = ("c", int(value["tool_calls"][0]["id"][1:])) if r.n_calls else ("r", int(json.loads(value["content"])["tool_call_id"][1:]))
+            place[name] = r.position
+            told |= {name} if r.in_cycle else set()
+        assert set(place) == set(names) and told == {n for n in looped if n[0] == "c"}
+        assert all(place[u] < place[v] for u, v in edges if v not in looped)
+        n_looped += bool(looped)
+    assert 0 < n_looped < 60
+
+
+def test_derived_messages_exercise_the_method(spark):
+    out = chat.op7_chat(spark, "/root/testdata/sf0.01")
+    told = out.selectExpr("sum(n_calls) c", "sum(n_valid) v", "sum(n_linked) l", "count_if(in_cycle) x", "count_if(role = 'user') u").first()
+    assert 0 < told.v < told.c and told.l > 0 and told.x > 0 and told.u == 279
+
+
 def test_odd_rows(spark):
     rows = [(None, 1, "user", "a"), (None, None, None, None), (3, 0, "assistant", '{"tool_calls": [1]}'), (3, 0, "assistant", '{"tool_calls": [1]}'), (3, 1, "tool", "not json"), (3, 2, "assistant", "<tool_call>{broken</tool_call>"), (3, 3, "user", "é" * 100_000)]
     out = run(spark, rows)
