@@ -61,3 +61,23 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def extend(df: DataFrame, keep: list[str], column: str, function: Callable[[object], dict], ddl: str) -> DataFrame:
+    """The columns `keep` of `df`, untouched, and those (`ddl`) that `function` gives for each value of `column`.
+
+    256 rows at a time become Python objects, and of these only `column`; what is kept stays Arrow.
+    """
+    added = schema_of(ddl)
+    target = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                new = pa.RecordBatch.from_pylist([function(v) for v in part.column(len(keep)).to_pylist()], schema=target)
+                names = [*part.schema.names[: len(keep)], *target.names]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new.columns], names=names)
+
+    source = df.select(*keep, column)
+    return source.mapInArrow(run, StructType([*(source.schema[c] for c in keep), *added.fields]))

@@ -2,10 +2,11 @@
 
 Every window of `min_match` words of the benchmark is a seed, hashed as in Karp and Rabin's search.
 A bitmap of the seeds, of bounded size, lets the pass over the documents emit only windows that may
-be seeds; a join with the seeds keeps those that are. Seeds that follow one another in a document
-and in an item make up matches, and a greedy tiling marks the longest match that is still free,
-again and again, so that passages count in whatever order they stand. An item whose words are
-covered to `percent` or more is leaked by the document.
+be seeds; a join with the seeds keeps those that are. Seeds that follow one another in a document and in an item make up runs, found by a window over
+each diagonal, so that what is brought together for a document and an item is runs and not pairs of
+places. A greedy tiling marks the longest run that is still free, again and again, so that passages
+count in whatever order they stand. An item whose words are covered to `percent` or more is leaked
+by the document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lantern.llm import arrow, shared, text
@@ -26,7 +27,7 @@ _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 @dataclass(frozen=True)
 class Leak:
-    min_match: int = 5  # words
+    min_match: int = 5  # words; items with fewer prove nothing and are never leaked
     percent: int = 80  # of an item's words
 
 
@@ -34,19 +35,9 @@ def words_of(value: str | None) -> np.ndarray:
     return text.word_hashes((value or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE))
 
 
-def tiling(pairs: Iterable[tuple[int, int]], min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, words) from the seeds' places."""
-    waiting: list[tuple[int, int, int]] = []
-    begun: tuple[int, int] | None = None
-    last = (0, 0)
-    for item, doc in sorted(set(pairs), key=lambda p: (p[0] - p[1], p[0])):
-        if begun is None or item - doc != last[0] - last[1] or item != last[0] + 1:
-            if begun:
-                waiting.append((-(last[0] - begun[0] + min_match), *begun))
-            begun = (item, doc)
-        last = (item, doc)
-    if begun:
-        waiting.append((-(last[0] - begun[0] + min_match), *begun))
+def tiling(runs: Iterable[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, words) from maximal runs of the same form."""
+    waiting = [(-length, item, doc) for item, doc, length in runs]
     heapq.heapify(waiting)
     tiles, in_item, in_doc = [], set(), set()
     while waiting:
@@ -77,8 +68,7 @@ def seeds_of(benchmark: DataFrame, leak: Leak) -> DataFrame:
             for at, seed in enumerate(text.window_hashes(words, leak.min_match).view(np.int64).tolist()):
                 yield {"item_id": row["item_id"], "n_item_words": len(words), "seed": seed, "item_at": at}
 
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    return arrow.map_rows(benchmark.select("item_id", "text"), run, f"item_id {kind}, n_item_words int, seed long, item_at int", rows=8192)
+    return arrow.map_rows(benchmark.select("item_id", "text"), run, arrow.schema(benchmark.schema["item_id"], "n_item_words int, seed long, item_at int"), rows=8192)
 
 
 def _met(docs: DataFrame, bitmap: np.ndarray, leak: Leak) -> DataFrame:
@@ -92,9 +82,8 @@ def _met(docs: DataFrame, bitmap: np.ndarray, leak: Leak) -> DataFrame:
             for at in np.flatnonzero(shared.may_hold(bits, windows)).tolist():
                 yield {"doc_id": row["doc_id"], "text_key": row["text_key"], "seed": int(windows[at].view(np.int64)), "doc_at": at}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return arrow.map_rows(rows, run, f"doc_id {kind}, text_key long, seed long, doc_at int", rows=4096)
+    return arrow.map_rows(rows, run, arrow.schema(docs.schema["doc_id"], "text_key long, seed long, doc_at int"), rows=4096)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
@@ -103,32 +92,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> Da
     `docs` has doc_id and text, `benchmark` item_id and text; other columns are ignored. Returns
     doc_id, text_key (xxhash64 of the text), item_id, n_item_words, n_covered, coverage, n_tiles,
     longest_tile. Null and empty texts leak nothing and aren't leaked, nor are items shorter than
-    `min_match` words. Repeated rows are reported once. Empty tables give an empty result.
+    `min_match` words. Repeated rows, of either table, are reported once. Empty tables give an empty
+    result.
     """
     seeds = shared.staged(seeds_of(benchmark, leak), "leak-seeds")
     met = _met(docs, shared.bitmap(seeds, "seed"), leak)
-    joined = met.join(shared.small(seeds, 500_000), "seed")
-    together = joined.groupBy("doc_id", "text_key", "item_id", "n_item_words").agg(F.collect_set(F.struct("item_at", "doc_at")).alias("pairs"))
-    # Seeds alone bound what tiles can cover.
-    reach = leak.min_match * F.size("pairs") * 100 >= F.col("n_item_words") * leak.percent
+    pair = ["doc_id", "text_key", "item_id", "n_item_words"]
+    places = met.join(shared.small(seeds, 500_000), "seed")
+    places = places.select(*pair, "item_at", (F.col("item_at") - F.col("doc_at")).alias("_diagonal")).distinct()
+    # A diagonal has an item's length at most; places without a gap before them go on with a run.
+    along = Window.partitionBy(*pair, "_diagonal").orderBy("item_at")
+    places = places.withColumn("_run", F.col("item_at") - F.row_number().over(along))
+    runs = places.groupBy(*pair, "_diagonal", "_run").agg(F.min("item_at").alias("item_at"), F.count(F.lit(1)).cast("int").alias("_seeds"))
+    length = (F.col("_seeds") + leak.min_match - 1).alias("length")
+    place = F.struct("item_at", (F.col("item_at") - F.col("_diagonal")).alias("doc_at"), length)
+    together = runs.groupBy(*pair).agg(F.collect_list(place).alias("runs"), F.sum(length).alias("_reach"))
+    # Runs alone bound what tiles can cover.
+    together = together.filter(F.col("_reach") * 100 >= F.col("n_item_words") * leak.percent).drop("_reach")
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
-            tiles = tiling([(p["item_at"], p["doc_at"]) for p in row.pop("pairs")], leak.min_match)
+            tiles = tiling([(r["item_at"], r["doc_at"], r["length"]) for r in row.pop("runs")], leak.min_match)
             covered = sum(t[2] for t in tiles)
             if covered * 100 >= leak.percent * row["n_item_words"]:
                 yield row | {"n_covered": covered, "coverage": covered / row["n_item_words"], "n_tiles": len(tiles), "longest_tile": max(t[2] for t in tiles)}
 
-    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((docs, "doc_id"), (benchmark, "item_id"))]
-    return arrow.map_rows(together.filter(reach), run, f"{kinds[0]}, text_key long, {kinds[1]}, n_item_words int, n_covered int, coverage double, n_tiles int, longest_tile int")
+    ddl = "n_item_words int, n_covered int, coverage double, n_tiles int, longest_tile int"
+    return arrow.map_rows(together, run, arrow.schema(docs.schema["doc_id"], "text_key long", benchmark.schema["item_id"], ddl))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
-    """The rows of `docs` that leak no item, with all their columns."""
+    """The rows of `docs` (doc_id, text and any others) that leak no item, with all their columns.
+
+    Null and empty texts stay. Repeated rows stay or go together. Further columns are carried along,
+    whatever their names. An empty table stays empty, and an empty benchmark removes nothing.
+    """
     leaks = find_leaks(docs, benchmark, leak).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     leaks = shared.small(shared.staged(leaks, "leaks"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(leaks, same, "left_anti")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_key"))
+    return shared.packed(docs).join(leaks, same, "left_anti").select("_row.*")
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

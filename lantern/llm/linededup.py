@@ -145,10 +145,9 @@ def scanned(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(counts)
         yield {"doc_id": pa.nulls(len(some), id_type), "line_no": pa.nulls(len(some), pa.int32()), "key": some, "n": counts[some]}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, line_no int, key long, n long"
-    id_type = arrow.to_arrow_schema(arrow.schema_of(ddl)).field("doc_id").type
-    return arrow.map_batches(docs.select("doc_id", "text"), run, ddl)
+    schema = arrow.schema(docs.schema["doc_id"], "line_no int, key long, n long")
+    id_type = arrow.to_arrow_schema(schema).field("doc_id").type
+    return arrow.map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def _counts(scan: DataFrame) -> np.ndarray:
@@ -369,14 +368,17 @@ def line_links(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
-    """`docs` without the lines that `line_links` removes; all columns are kept, n_chars as it was.
+    """`docs` (doc_id, text and any others) without the lines that `line_links` removes, n_chars as it was.
 
-    Rows that share a doc_id lose the lines that are removed from any of them.
+    Rows that share a doc_id lose the lines that are removed from any of them. Null texts stay null;
+    a text may become empty. Further columns are carried along, whatever their names. An empty table
+    stays empty.
     """
     gone = line_links(docs, similar).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    rows = shared.packed(docs).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept)
+    return rows.withColumn("_row", F.col("_row").withField("text", text)).select("_row.*")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

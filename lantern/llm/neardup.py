@@ -95,8 +95,7 @@ def sketched(docs: DataFrame, likeness: Likeness) -> DataFrame:
                 "sketch": registers(grams).tobytes() if full else None,
             }
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow.map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, key long, sketch binary")
+    return arrow.map_rows(docs.select("doc_id", "text"), run, arrow.schema(docs.schema["doc_id"], "n_shingles long, key long, sketch binary"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -289,25 +288,27 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
 
 
 def keep_one(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
-    """One row of `docs` for each component, with all its columns.
+    """One row of `docs` (doc_id, text and any others) for each component, with all its columns.
 
     It has the least doc_id of its component; null comes last. Rows are told apart by doc_id and
     text, so a row never goes because another one shares its doc_id. Where copies share doc_id as
-    well, one of them stays. Documents without words all stay.
+    well, one of them stays. Null and empty texts and those without words all stay. Further columns
+    are carried along, whatever their names. An empty table stays empty.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
-    held = shared.staged(near_duplicates(docs.select(row.alias("doc_id"), "text"), likeness), "neardup-held")
+    named = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    held = shared.staged(near_duplicates(docs.select(named.alias("doc_id"), "text"), likeness), "neardup-held")
     names = (F.col("doc_id.id").alias("_id"), F.col("doc_id.text_key").alias("_text_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text_key"))
+    rows = shared.packed(docs)
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_text_key"))
     gone = shared.staged(held.filter(~F.col("kept")).select(*names).distinct(), "neardup-gone")
-    rest = docs.join(shared.small(gone, 1_000_000), same, "left_anti")
+    rest = rows.join(shared.small(gone, 1_000_000), same, "left_anti")
     again = held.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     again = shared.staged(again.select(*names), "neardup-again")
-    if again.isEmpty():
-        return rest
-    doubled = shared.small(again, 1_000_000)
-    one_each = rest.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(doubled, same, "left_anti").unionByName(one_each)
+    if not again.isEmpty():
+        doubled = shared.small(again, 1_000_000)
+        one_each = rest.join(doubled, same).dropDuplicates(["_id", "_text_key"]).select("_row")
+        rest = rest.join(doubled, same, "left_anti").union(one_each)
+    return rest.select("_row.*")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

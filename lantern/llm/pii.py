@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lantern.llm import arrow, shared
 
@@ -252,19 +253,16 @@ def redacted(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     without spans. An empty table gives an empty result.
     """
 
-    def run(rows: Iterator[dict]) -> Iterable[dict]:
-        for row in rows:
-            text = row["text"]
-            if text:
-                parts, at = [], 0
-                for span in sorted(find_spans(text, policy), key=lambda s: (s["start"], -s["end"])):
-                    if span["start"] >= at:
-                        parts += [text[at : span["start"]], f"[{span['kind']}]"]
-                        at = span["end"]
-                row["text"] = "".join(parts) + text[at:]
-            yield row
-
-    return arrow.map_rows(docs, run, docs.schema)
+    def cut(text: str | None) -> dict:
+        parts, at = [], 0
+        for span in sorted(find_spans(text, policy), key=lambda s: (s["start"], -s["end"])):
+            if span["start"] >= at:
+                parts += [text[at : span["start"]], f"[{span['kind']}]"]
+                at = span["end"]
+        return {"text": "".join(parts) + text[at:] if parts else text}
+
+    rows = arrow.extend(shared.packed(docs).select("_row", "_row.text"), ["_row"], "text", cut, "text string")
+    return rows.select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
 
 
 def find_personal_data(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:

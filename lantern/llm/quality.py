@@ -3,8 +3,9 @@
 Measures of every document go into quantile sketches, one for each language, source and measure.
 A sketch is a histogram over integer buckets of bounded relative width (1/32), so two sketches
 merge by adding counts, in any order and with the same result each time. Sketches of a language's
-sources merge into the language's, and those into the corpus's; a group with few documents takes
-the thresholds of the next wider one.
+sources merge into the language's, and those into the corpus's. To each sketch `prior` documents
+spread like those of the next wider one are added (a source's language, a language's corpus), so
+that thresholds of a small group lean on the wider one and those of a large group are its own.
 
 A document is rejected when a measure lies beyond its group's fence: `spread` times the distance
 of the quartiles (or a least distance, where the quartiles nearly meet) beyond the outer quartile.
@@ -13,7 +14,6 @@ The sketches become a table of thresholds, and the filter is a join with it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +35,16 @@ MEASURES = {
     "word_length": ("both", 50),
 }
 
+#: A document's weight in a sketch that leans on a wider one: shares of a document are whole numbers.
+SCALE = 1000
+
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long"
 
 
 @dataclass(frozen=True)
 class Rules:
     spread: float = 3.0
-    min_group: int = 50  # documents that a group's own thresholds need
+    prior: int = 50  # documents of the wider group that are added to a group's own
     min_words: int = 50  # base rule
     max_repeat_percent: int = 50  # base rule
 
@@ -84,15 +87,7 @@ def _repeated_words(ids: np.ndarray, vocabulary: int) -> int:
 
 def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs` and the counts of its text."""
-
-    def run(rows: Iterator[dict]) -> Iterable[dict]:
-        for row in rows:
-            text = row.pop("_text")
-            yield row | text_counts(text)
-
-    source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return arrow.map_rows(source, run, f"{kept}, {_COUNTS}")
+    return arrow.extend(docs, keep, "text", text_counts, _COUNTS)
 
 
 def _measures() -> dict[str, Column]:
@@ -123,28 +118,36 @@ def sketches(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _leaning(own: DataFrame, keys: list[str], wider: DataFrame, wider_keys: list[str], rules: Rules) -> DataFrame:
+    """`own` (keys, measure, bucket, w) and `prior` documents of `wider` (wider_keys, measure, bucket, w) for each group."""
+    of = lambda names: Window.partitionBy(*names, "measure")
+    share = F.floor(F.lit(rules.prior * SCALE) * F.col("w") / F.sum("w").over(of(wider_keys))).cast("long")
+    wider = wider.select(*[F.col(k).alias(f"_{k}") for k in wider_keys], F.col("measure").alias("_measure"), "bucket", share.alias("w"))
+    same = F.col("measure") == F.col("_measure")
+    for k in wider_keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    lent = own.select(*keys, "measure").distinct().join(wider, same).select(*keys, "measure", "bucket", "w")
+    return own.unionByName(lent).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w"))
+
+
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the sketches by `keys` and read (documents, q1, q3) off; at most some hundred buckets a window."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    """(keys, measure, q1, q3) of sketches (keys, measure, bucket, w); at most some hundred buckets a window."""
     group = Window.partitionBy(*keys, "measure")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(group))
+    ranked = sketch.withColumn("_upto", F.sum("w").over(upto)).withColumn("_all", F.sum("w").over(group))
     at = lambda percent: F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * percent, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("_all").alias("n"), at(25).alias("q1"), at(75).alias("q3"))
+    return ranked.groupBy(*keys, "measure").agg(at(25).alias("q1"), at(75).alias("q3"))
 
 
 def thresholds(counts: DataFrame, rules: Rules) -> DataFrame:
     """One row for each language and source of `counts`: `low_<measure>` and `high_<measure>`."""
     sketch = shared.staged(sketches(counts), "quality-sketches")
-    own = quartiles(sketch, ["lang", "source"])
-    by_lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("measure").alias("_lm"), F.col("n").alias("_ln"), F.col("q1").alias("_l1"), F.col("q3").alias("_l3"))
-    overall = quartiles(sketch, []).select(F.col("measure").alias("_am"), F.col("q1").alias("_a1"), F.col("q3").alias("_a3"))
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_lm"))).join(overall, F.col("measure") == F.col("_am"))
-    pick = lambda a, b, c: F.when(F.col("n") >= rules.min_group, F.col(a)).when(F.col("_ln") >= rules.min_group, F.col(b)).otherwise(F.col(c))
-    joined = joined.select("lang", "source", "measure", pick("q1", "_l1", "_a1").alias("q1"), pick("q3", "_l3", "_a3").alias("q3"))
+    merged = lambda *keys: sketch.groupBy(*keys, "measure", "bucket").agg((F.sum("n") * SCALE).alias("w"))
+    by_lang = _leaning(merged("lang"), ["lang"], merged(), [], rules)
+    own = quartiles(_leaning(merged("lang", "source"), ["lang", "source"], by_lang, ["lang"], rules), ["lang", "source"])
     least = F.create_map(*[F.lit(x) for k, (_, d) in MEASURES.items() for x in (k, d)])
     reach = F.lit(rules.spread) * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    fences = joined.select("lang", "source", "measure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    fences = own.select("lang", "source", "measure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     columns = [F.max(F.when(F.col("measure") == k, F.col(end))).alias(f"{end}_{k}") for k in MEASURES for end in ("low", "high")]
     return fences.groupBy("lang", "source").agg(*columns)
 
@@ -174,14 +177,16 @@ def judge_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns.
+    """The rows of `docs` (lang, source, text and any others) that the rules keep, with all their columns.
 
     Texts are read twice, once for the thresholds and once for the filter, and never shuffled as
-    long as the table of thresholds is small.
+    long as the table of thresholds is small. Null and empty texts go, since they fail the base
+    rules; repeated rows are judged one by one; an empty table stays empty. Further columns are
+    carried along, whatever their names.
     """
-    narrow = shared.staged(counted(docs, ["lang", "source"]), "quality-counts")
+    narrow = shared.staged(counted(docs.select("lang", "source", "text"), ["lang", "source"]), "quality-counts")
     fences = shared.staged(thresholds(narrow, rules), "quality-thresholds")
-    held = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "lang", "source", "text")
+    held = shared.packed(docs).select("_row", "_row.lang", "_row.source", "_row.text")
     return verdict(counted(held, ["_row", "lang", "source"]), fences, rules).filter("kept").select("_row.*")
 
 

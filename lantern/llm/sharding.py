@@ -122,7 +122,7 @@ def shard_documents(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
         key.alias("_text_key"),
     )
     placed = shared.staged(assign(narrow, F.col("_text_key"), tree).drop("_text_key"), "shards")
-    slots = shared.running_sum(placed, "shard", shared.digest_chunk("_digest"), ["_digest", "doc_id", "size", "text_crc32"], F.lit(1), "slot")
+    slots = shared.running_sum(placed, "shard", shared.digest_chunk("_digest", placed.count()), ["_digest", "doc_id", "size", "text_crc32"], F.lit(1), "slot")
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "region", "rack")
 
 

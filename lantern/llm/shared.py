@@ -84,9 +84,12 @@ def running_sum(df: DataFrame, group: str, chunk: Column, order: list[str], valu
     )
 
 
-def digest_chunk(digest: str) -> Column:
-    """The chunk of a row that is ordered by a hexadecimal digest: one of 4096."""
-    return F.substring(digest, 1, 3)
+def digest_chunk(digest: str, rows: int) -> Column:
+    """The chunk of a row that is ordered by a hexadecimal digest: 4096 of them, or 16 times as many until one has 4096 rows."""
+    digits = 3
+    while 16**digits * 4096 < rows and digits < 8:
+        digits += 1
+    return F.substring(digest, 1, digits)
 
 
 #: A bitmap has 256 bits for each value, but no more than this: 16 MB.

@@ -29,14 +29,25 @@ def brute_tiling(item, doc, least):
         used_doc |= set(range(best[2], best[2] + best[0]))
 
 
-def places(item, doc, least):
-    return [(i, j) for i in range(len(item) - least + 1) for j in range(len(doc) - least + 1) if item[i : i + least] == doc[j : j + least]]
+def runs(item, doc, least):
+    """All common stretches of `least` words or more that can't be made longer."""
+    out = []
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            if i and j and item[i - 1] == doc[j - 1]:
+                continue
+            k = 0
+            while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k]:
+                k += 1
+            if k >= least:
+                out.append((i, j, k))
+    return out
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=14), st.lists(st.integers(0, 2), max_size=14))
 def test_tiling_equals_brute_force(item, doc):
-    tiles = dec.tiling(places(item, doc, 3), 3)
+    tiles = dec.tiling(runs(item, doc, 3), 3)
     assert [t[2] for t in tiles] == brute_tiling(item, doc, 3)
 
 
@@ -83,6 +94,13 @@ def test_leaks(spark):
     assert dec.find_leaks(frame, items.limit(0)).count() == 0
 
 
+def test_a_long_text_of_one_word(spark):
+    """A repeated word meets a repetitive item in runs along diagonals, not in pairs of places."""
+    frame = spark.createDataFrame([(1, "ha " * 20_000), (2, "ha " * 60 + "ho")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "ha " * 50), (8, "ha " * 20 + "hi ho hum he " * 5)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_covered, r.n_tiles) for r in dec.find_leaks(frame, items).collect()) == [(1, 9, 50, 1), (2, 9, 50, 1)]
+
+
 def test_query_equals_brute_force_on_the_small_table(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r.doc_id, r.item_id): r.n_covered for r in dec.op8_leaks(spark, sf).collect()}

@@ -23,11 +23,11 @@ def fill(sizes, weights, share, repeats):
     return targets
 
 
-def deal(targets, blocks):
-    """Sainte-Lague, one block at a time."""
+def deal(targets, blocks, most):
+    """Sainte-Lague, one block at a time, and no more than `most` to each."""
     seats = [0] * len(targets)
     for _ in range(blocks):
-        best = max(range(len(targets)), key=lambda i: (targets[i] / (2 * seats[i] + 1), -i))
+        best = max((i for i in range(len(targets)) if seats[i] < most[i]), key=lambda i: (targets[i] / (2 * seats[i] + 1), -i))
         seats[best] += 1
     return seats
 
@@ -41,8 +41,8 @@ def test_targets_and_quotas(spark, sizes):
     assert [r.source for r in rows] == names
     targets = fill(sizes, [mix.weights[i % 3] for i in range(len(sizes))], mix.share_percent, mix.max_repeats)
     assert [r.target for r in rows] == pytest.approx(targets)
-    seats = deal([r.target for r in rows], round(sum(targets) / 7))
-    assert [r.quota for r in rows] == [min(s, 2 * (n // 7)) for s, n in zip(seats, sizes)]
+    in_blocks = [r.target * -(-n // 7) / n if n else 0.0 for r, n in zip(rows, sizes)]
+    assert [r.quota for r in rows] == deal(in_blocks, round(sum(in_blocks)), [2 * -(-n // 7) for n in sizes])
     shards = mixing.shard_quotas(spark.createDataFrame(rows), mix).collect()
     for r in rows:
         own = [x.blocks for x in shards if x.source == r.source]
@@ -80,7 +80,7 @@ def test_shards_take_their_quotas(spark):
     for source in sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s)):
         own = sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d) for d, s, _ in docs if s == source)
         stream = [d for _, d in own for _ in range(sizes[d, source])]
-        blocks = len(stream) // 7
+        blocks = -(-len(stream) // 7)
         shards = sorted((dealt + k) % 3 for k in range(quota[source]))
         dealt += quota[source]
         for place, shard in enumerate(shards):
@@ -89,6 +89,28 @@ def test_shards_take_their_quotas(spark):
     assert {(r.doc_id, r.source, r.shard): r.taken for r in mixing.mix_shards(frame, mix).collect()} == expected
 
 
+def test_a_source_smaller_than_a_block_gives_its_words(spark):
+    frame = spark.createDataFrame([(1, "tiny", "a b c d e"), (2, "big", "w " * 1000), (3, "big", "v " * 999)], "doc_id long, source string, text string")
+    by = {r.doc_id: r for r in mixing.mix_documents(frame, mixing.Mix(weights=(1,))).collect()}
+    assert (by[1].target, by[1].taken) == (10.0, 10)
+    assert abs(by[2].taken + by[3].taken - by[2].target) <= 16
+
+
+def test_copies_of_every_row(spark):
+    """Copies follow what the mix takes of a row, also where rows share doc_id and size."""
+    docs = [(i, f"s{i % 3}", f"{'w ' * (i % 50)}x{i}") for i in range(300)] + [(7, "s1", "w " * 7 + "y"), (None, None, "a b c")]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    taken, copies = {}, {}
+    for r in mixing.mix_documents(frame).collect():
+        taken.setdefault((r.doc_id, r.source, r.size), []).append(int(r.taken / r.size + 0.5))
+    for r in mixing.take_documents(frame).collect():
+        copies[r.doc_id, r.source, r.text] = copies.get((r.doc_id, r.source, r.text), 0) + 1
+    for key, counts in taken.items():
+        got = [copies.get(d, 0) for d in docs if (d[0], d[1], len(d[2].split())) == key]
+        assert sorted(copies.get((d[0], d[1], d[2]), 0) for d in docs if (d[0], d[1], len(d[2].split())) == key) == sorted(counts), (key, got)
+    assert sum(copies.values()) > 300
+
+
 def test_query_covers_the_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = mixing.op4_mix(spark, sf).collect()

@@ -54,13 +54,70 @@ def test_buckets_are_narrow_and_in_order(spark):
 
 
 @pytest.mark.parametrize("n", [4, 101, 1000])
-def test_merged_sketches_give_quartiles(spark, n):
+def test_sketches_give_quartiles(spark, n):
     rng = random.Random(n)
-    rows = [(rng.choice("ab"), rng.randrange(60)) for _ in range(n)]
-    sketch = spark.createDataFrame([(s, "m", v, 1) for s, v in rows], "source string, measure string, bucket long, n long")
+    values = sorted(rng.randrange(60) for _ in range(n))
+    sketch = spark.createDataFrame([("m", v, values.count(v)) for v in set(values)], "measure string, bucket long, w long")
     row = quality.quartiles(sketch, []).first()
-    values = sorted(v for _, v in rows)
-    assert (row.n, row.q1, row.q3) == (n, values[-(-n // 4) - 1], values[-(-3 * n // 4) - 1])
+    assert (row.q1, row.q3) == (values[-(-n // 4) - 1], values[-(-3 * n // 4) - 1])
+
+
+def judge(rows, rules=quality.Rules()):
+    """Brute force for the query: (base_failed, kept) of each (doc_id, lang, source, text), sketches as plain counters."""
+
+    def low(v):
+        width = 1 << max(v.bit_length() - 6, 0)
+        return v - v % width
+
+    def measures(text):
+        n_words, chars, symbols, dup, repeated = plain_counts(text)
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        capitals = sum(len(w) > 1 and w.isupper() for w in (text or "").split())
+        part = lambda a, b: a * 10_000 // b if b else 0
+        return {"symbols": part(symbols, chars), "capitals": part(capitals, n_words), "dup_lines": part(dup, len(lines)), "repeats": part(repeated, n_words), "word_length": chars * 100 // n_words if n_words else 0}, n_words, repeated
+
+    def sketch(told, m):
+        out = {}
+        for values in told:
+            out[low(values[m])] = out.get(low(values[m]), 0) + quality.SCALE
+        return out
+
+    def leaning(own, wider):
+        out, total = dict(own), sum(wider.values())
+        for b, w in wider.items():
+            out[b] = out.get(b, 0) + rules.prior * quality.SCALE * w // total
+        return out
+
+    def quartile(told, percent):
+        upto, total = 0, sum(told.values())
+        for b in sorted(told):
+            upto += told[b]
+            if upto * 100 >= total * percent:
+                return b
+
+    told = {i: (lang, source, *measures(text)) for i, lang, source, text in rows}
+    fences = {}
+    for m, (_, least) in quality.MEASURES.items():
+        every = sketch([t[2] for t in told.values()], m)
+        for lang, source in {t[:2] for t in told.values()}:
+            of_lang = leaning(sketch([t[2] for t in told.values() if t[0] == lang], m), every)
+            own = leaning(sketch([t[2] for t in told.values() if t[:2] == (lang, source)], m), of_lang)
+            q1, q3 = quartile(own, 25), quartile(own, 75)
+            reach = rules.spread * max(q3 - q1, least)
+            fences[lang, source, m] = q1 - reach, q3 + reach
+    out = {}
+    for i, (lang, source, values, n_words, repeated) in told.items():
+        failed = n_words < 50 or 100 * repeated > 50 * n_words
+        beyond = any(v > fences[lang, source, m][1] or quality.MEASURES[m][0] == "both" and v < fences[lang, source, m][0] for m, v in values.items())
+        out[i] = failed, not failed and not beyond
+    return out
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text").collect()]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.op1_quality(spark, sf).collect()}
+    assert got == judge(rows) and 0 < sum(k for _, k in got.values()) < len(rows)
 
 
 def test_labels_of_the_table(spark):
