@@ -164,3 +164,46 @@ def blank_to_null(text: Column | str) -> Column:
     """Null for a text of nothing but white space of any script."""
     text = _column(text)
     return F.when(~text.rlike(r"(?U)^\s*$"), text)
+
+
+def tool_payload(response: Column | str) -> Column:
+    """The JSON text that a tool's answer holds as the text of its first content; null if there is none."""
+    inner = F.get_json_object(_column(response), "$.result.content[0].text")
+    return F.when(F.try_parse_json(inner).isNotNull(), inner)
+
+
+def mail_text(payload: Column | str, depth: int = 4) -> Column:
+    """The first plain text among the parts of a mail's JSON payload, depth first, to `depth` levels below it.
+
+    Parts have mimeType, body.data (unpadded base64url) and parts. Null if there is none.
+    """
+    part = "mimeType: string, body: struct<data: string>"
+    for _ in range(depth):
+        part = f"mimeType: string, body: struct<data: string>, parts: array<struct<{part}>>"
+
+    def texts(p: Column, below: int) -> Column:
+        own = F.when((p["mimeType"] == "text/plain") & p["body"]["data"].isNotNull(), F.array(base64url_text(p["body"]["data"]))).otherwise(F.array().cast("array<string>"))
+        if not below:
+            return own
+        inner = F.flatten(F.transform(F.coalesce(p["parts"], F.array()), lambda q: texts(q, below - 1)))
+        return F.concat(own, inner)
+
+    root = F.from_json(_column(payload), f"struct<{part}>")
+    return F.try_element_at(texts(root, depth), F.lit(1))
+
+
+def wiki_links(text: Column | str, names: Iterable[str]) -> Column:
+    """A text with the given names as wiki links: the longest name first, at word boundaries, not in links or URLs.
+
+    `names` is a registry on the driver; it becomes one pattern, which takes URLs and links whole
+    so that names in them stay as they are.
+    """
+    ordered = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
+    text = _column(text)
+    if not ordered:
+        return text
+    quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in ordered)
+    keep = r"https?://\S+|\[\[[^\]]*\]\]|\[[^\]]*\]"
+    marked = F.regexp_replace(text, rf"(?U)({keep})|\b({quoted})\b", "$1\u0001$2\u0002")
+    # What was kept has an empty name behind it.
+    return F.regexp_replace(F.replace(marked, F.lit("\u0001\u0002"), F.lit("")), "\u0001([^\u0002]*)\u0002", "[[$1]]")

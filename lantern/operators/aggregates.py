@@ -113,3 +113,73 @@ def within_budget(items: DataFrame, group: str, text, budget: int, n: int, order
     rows = items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     used = F.sum(verdict.tokens(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).filter((F.col("used") <= budget) | (F.col("rank") == 1))
+
+
+def tag_counts(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """(value, n_old, n_new) of a tag before and after, null as `none`."""
+    value = F.lower(F.coalesce(F.col(column), F.lit("none"))).alias("value")
+    both = old.select(value, F.lit(1).alias("_old")).unionByName(new.select(value, F.lit(0).alias("_old")))
+    return both.groupBy("value").agg(F.sum("_old").alias("n_old"), F.sum(1 - F.col("_old")).alias("n_new"))
+
+
+#: Marks of a probed feed in the order in which reports list them: fixed values.
+FEED_MARKS = {"warn": "⚠", "bad": "❌", "ok": "✅", "transient": "🟡"}
+
+
+def feed_order() -> list:
+    """Warnings first, then broken, working and transient feeds, each by name."""
+    place = F.array_position(F.array(*[F.lit(s) for s in FEED_MARKS]), F.col("status"))
+    return [place.asc(), F.lower("title").asc(), F.col("title").asc(), F.col("url").asc()]
+
+
+def feed_report(feeds: DataFrame) -> DataFrame:
+    """(category, place, mark, title, url, status) of probed feeds, each category in report order."""
+    mark = F.create_map(*[F.lit(x) for pair in FEED_MARKS.items() for x in pair])[F.col("status")]
+    place = F.row_number().over(Window.partitionBy("category").orderBy(*feed_order()))
+    return feeds.select("category", place.alias("place"), mark.alias("mark"), "title", "url", "status")
+
+
+def with_clusters(items: DataFrame, members: DataFrame) -> DataFrame:
+    """Add cluster, cluster_size and cluster_sources to items; without a cluster -1, 1 and the own source.
+
+    `members` has item_id, ccir and cluster.
+    """
+    placed = members.select("item_id", "cluster").join(items.select("item_id", "ccir", "source"), "item_id")
+    facts = placed.groupBy("ccir", "cluster").agg(F.count(F.lit(1)).cast("int").alias("cluster_size"), F.array_sort(F.collect_set("source")).alias("cluster_sources"))
+    told = placed.select("item_id", "ccir", "cluster").join(facts, ["ccir", "cluster"]).drop("ccir")
+    rows = items.join(told, "item_id", "left")
+    own = F.when(F.col("source").isNotNull(), F.array("source")).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("cluster", F.coalesce("cluster", F.lit(-1))).withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1))).withColumn("cluster_sources", F.coalesce("cluster_sources", own))
+
+
+def regrouped(items: DataFrame) -> DataFrame:
+    """(group, n, lead) of items with a cluster: by requirement and cluster, and each item alone whose cluster is -1."""
+    number = F.when(F.col("cluster") < 0, F.concat(F.lit("-"), "item_id")).otherwise(F.col("cluster").cast("string"))
+    group = F.concat(F.coalesce("ccir", F.lit("none")), F.lit("_"), number)
+    lead = F.min_by("item_id", F.struct(-F.coalesce("score", F.lit(0)), "item_id"))
+    return items.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n"), lead.alias("lead"))
+
+
+def for_sections(items: DataFrame, sections: list[str], since) -> DataFrame:
+    """Items of the window in the given sections, with `section` (upper case) and its place in the list: what clustering takes."""
+    wanted = [s.upper() for s in sections]
+    section = F.upper("ccir")
+    rows = items.filter((F.col("created_at") >= since) & section.isin(*wanted))
+    return rows.withColumn("section", section).withColumn("section_place", F.array_position(F.array(*[F.lit(s) for s in wanted]), section).cast("int"))
+
+
+def clustered(items: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(ccir, cluster, place, item_id) of items: clusters that they bring along, else by vectors, else by key words.
+
+    Columns decide: `cluster` is taken where there is one, then `embedding` is clustered with the
+    threshold (0.75 if it is none between 0 and 1), then the titles' words.
+    """
+    from lantern.functions import text
+    from lantern.operators import folds
+
+    if "cluster" in items.columns:
+        place = F.row_number().over(Window.partitionBy("ccir").orderBy(F.coalesce("score", F.lit(0)).desc(), "item_id")) - 1
+        return items.select("ccir", "cluster", place.alias("place"), "item_id")
+    if "embedding" in items.columns:
+        return folds.greedy_centroids(items, threshold if threshold is not None and 0 < threshold < 1 else 0.75)
+    return folds.greedy_keywords(items.withColumn("words", text.keywords("title")))

@@ -63,3 +63,10 @@ def with_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     last = outcomes.withColumn("outcome", checked).groupBy("dedupe_id").pivot("outcome", ["delivered", "dlx"]).agg(F.max("at"))
     rows = state.join(last, "dedupe_id", "left")
     return rows.withColumn("delivered_at", F.coalesce("delivered", "delivered_at")).withColumn("dlx_at", F.coalesce("dlx", "dlx_at")).drop("delivered", "dlx")
+
+
+def dispatched(events: DataFrame, handlers: dict[str, str]) -> DataFrame:
+    """Add `handler` to messages (body: JSON) by the body's `event`; unknown events and unreadable bodies are acknowledged (`ack`)."""
+    event = F.get_json_object("body", "$.event")
+    handler = F.create_map(*[F.lit(x) for pair in handlers.items() for x in pair])[event]
+    return events.withColumn("event", event).withColumn("handler", F.coalesce(handler, F.lit("ack")))

@@ -62,3 +62,21 @@ def graph_notes(items: DataFrame) -> DataFrame:
     alias = F.when(F.col("e.mention").isNotNull(), F.concat("e.mention", F.lit(" ("), lang, F.lit(")")))
     first = lambda c: F.min_by(c, F.struct("item_id", "e.mention"))
     return rows.groupBy("e.name").agg(first(F.coalesce("e.type", F.lit("MISC"))).alias("type"), first(lang).alias("lang"), F.array_sort(F.collect_set(alias)).alias("aliases"), F.countDistinct("item_id").alias("n_items"))
+
+
+def most_linked(with_counts: DataFrame, n: int | None = None) -> DataFrame:
+    """Entities (as `with_aliases` gives them) by links, then name and language; the first `n` if given."""
+    rows = with_counts.orderBy(F.col("link_count").desc(), "name_norm", "lang", "entity_id")
+    return rows if n is None else rows.limit(n)
+
+
+def names_in_order(mentions: DataFrame) -> DataFrame:
+    """(item_id, names): the distinct names of each item in the order in which they come; `mentions` has item_id, place, name."""
+    first = mentions.groupBy("item_id", "name").agg(F.min("place").alias("place"))
+    names_ = F.array_sort(F.collect_list(F.struct("place", "name")))
+    return first.groupBy("item_id").agg(F.transform(names_, lambda s: s["name"]).alias("names"))
+
+
+def by_name(entities: DataFrame) -> DataFrame:
+    """Entities by name, upper and lower case alike."""
+    return entities.orderBy(F.lower("name"), "name", "lang")

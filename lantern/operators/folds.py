@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -211,20 +211,41 @@ def claim_alerts(attempts: DataFrame, ttl: int = 86_400_000_000) -> DataFrame:
     return fold(attempts.select("dedupe_id", "seq", "fired_at"), ["dedupe_id"], ["fired_at", "seq"], start, "seq long, dedupe_id string, fired_at long, fires boolean")
 
 
+def _sessions(rows: DataFrame, gap: int) -> DataFrame:
+    """Add `session`, a number that rises at each row (seq, fired_at) with no other one in the `gap` before it.
+
+    Time is cut into pieces as long as the gap, and each piece is told the last row of the one before
+    it. Only the totals of pieces go through one window, a row for each piece of time with alerts.
+    """
+    piece = F.expr(f"fired_at div {gap}")
+    order = F.struct("fired_at", "seq")
+    own = rows.withColumn("_piece", piece)
+    last = own.groupBy((F.col("_piece") + 1).alias("_piece")).agg(F.max("fired_at").alias("_last"))
+    inside = Window.partitionBy("_piece").orderBy(order)
+    before = F.coalesce(F.lag("fired_at").over(inside), F.col("_last"))
+    own = own.join(last, "_piece", "left").withColumn("_starts", F.coalesce(F.col("fired_at") - before >= gap, F.lit(True)).cast("long"))
+    totals = own.groupBy("_piece").agg(F.sum("_starts").alias("_n"))
+    totals = totals.select("_piece", (F.sum("_n").over(Window.orderBy("_piece")) - F.col("_n")).alias("_before"))
+    session = F.col("_before") + F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return own.join(totals, "_piece").withColumn("session", session).select("seq", "fired_at", "session")
+
+
 def throttle_alerts(alerts: DataFrame, tiers: tuple[tuple[str, int, int], ...] = (("60s", 60_000_000, 5), ("600s", 600_000_000, 10))) -> DataFrame:
     """Add `tier` (null: delivered) to fired alerts (seq, fired_at): more than so many in a tier's time are suppressed.
 
     A window excludes what happened exactly its length ago and includes the alert itself; suppressed
-    alerts no longer count. The cap is global and recursive, so this is one task; its state is the
-    alerts of the last ten minutes that were delivered.
+    alerts no longer count. The cap is global and recursive, but after a gap of the longest window
+    nothing counts any more: the alerts between two gaps are one session, and one fold. Its state is
+    the alerts of the last window that were delivered.
     """
+    longest = max(t[1] for t in tiers)
 
     def start() -> Step:
         held: list[int] = []
 
         def step(row: dict) -> dict:
             now = row["fired_at"]
-            while held and held[0] <= now - max(t[1] for t in tiers):
+            while held and held[0] <= now - longest:
                 held.pop(0)
             tier = next((name for name, span, most in tiers if sum(t > now - span for t in held) + 1 > most), None)
             if tier is None:
@@ -233,7 +254,7 @@ def throttle_alerts(alerts: DataFrame, tiers: tuple[tuple[str, int, int], ...] =
 
         return step
 
-    return fold(alerts.select("seq", "fired_at"), [], ["fired_at", "seq"], start, "seq long, fired_at long, tier string")
+    return fold(_sessions(alerts.select("seq", "fired_at"), longest), ["session"], ["fired_at", "seq"], start, "seq long, fired_at long, tier string")
 
 
 def error_bursts(results: DataFrame, most: int = 10) -> DataFrame:

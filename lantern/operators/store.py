@@ -81,3 +81,50 @@ def cached_translations(items: DataFrame, cache: DataFrame, target: str, column:
     """Add `translation` from the cache; null where a translator has yet to be asked."""
     hits = cache.filter(F.col("target_lang") == target).select("text_hash", "translation")
     return items.withColumn("text_hash", identity.text_hash(F.col(column))).join(hits, "text_hash", "left")
+
+
+def by_key(rows: DataFrame, **key) -> DataFrame:
+    """The rows with the given values, such as an item by item_id or an entity by (name_norm, lang); none on a miss.
+
+    Equalities on columns reach the scan as pushed filters.
+    """
+    for column, value in key.items():
+        rows = rows.filter(F.col(column).isNull() if value is None else F.col(column) == value)
+    return rows
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose columns agree with a row of `keys`: a batched fetch by id."""
+    return rows.join(keys.select(*columns).distinct(), columns, "left_semi")
+
+
+def language_sample(items: DataFrame, langs: list[str], since, n: int = 50) -> DataFrame:
+    """The newest items of some languages, an absent summary as ''."""
+    rows = items.filter(F.col("lang").isin(*langs) & (F.col("ts") > since)).withColumn("summary", F.coalesce("summary", F.lit("")))
+    return rows.orderBy(F.col("ts").desc(), F.col("item_id").desc()).limit(n)
+
+
+#: Columns of a verdict as renderers take it.
+VERDICT = ("item_id", "source", "source_type", "title", "url", "ccir", "cnr", "pmesii", "tessoc", "score", "why")
+
+
+def verdicts(enriched: DataFrame) -> DataFrame:
+    """Enriched rows as verdicts, without what only the store needs."""
+    return enriched.select(*VERDICT)
+
+
+def as_structs(enriched: DataFrame) -> DataFrame:
+    """(item, verdict): each row's item and verdict as structs of their own."""
+    rest = [c for c in VERDICT if c not in ("source", "source_type", "title", "url")]
+    return enriched.select(F.struct("item_id", "source", "source_type", "url", "title", "ts", "lang").alias("item"), F.struct(*rest).alias("verdict"))
+
+
+def from_structs(pairs: DataFrame) -> DataFrame:
+    """The rows that `as_structs` was made of."""
+    return pairs.select("item.*", *[F.col("verdict")[c].alias(c) for c in ("ccir", "cnr", "pmesii", "tessoc", "score", "why")])
+
+
+def mailbox_counts(items: DataFrame, prefix: str = "imap://") -> DataFrame:
+    """(n, best): how many items came from a kind of mailbox, and the one with the highest score (of equal ones the least)."""
+    rows = items.filter(F.col("source").startswith(prefix))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min_by("item_id", F.struct(-F.coalesce("score", F.lit(0)), "item_id")).alias("best"))

@@ -39,10 +39,17 @@ def nearest(items: DataFrame, targets: DataFrame, target_id: str, max_targets: i
     side = _normed(targets.select(F.col(target_id), F.col("embedding").alias("_target")), "_target")
     every = F.broadcast(side.agg(F.collect_list(F.struct(target_id, "_target", "_norm")).alias("_targets")))
     rows = _normed(items, "embedding").crossJoin(every)  # one row on the right: no product
-    scored = F.transform("_targets", lambda t: F.struct(F.round(cosine(F.col("embedding"), t["_target"], F.col("_norm"), t["_norm"]), 6).alias("similarity"), t[target_id].alias(target_id)))
-    best = F.array_sort(scored, lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a[target_id] < b[target_id], -1).when(a[target_id] > b[target_id], 1).otherwise(0))
-    out = rows.withColumn("_best", F.try_element_at(best, F.lit(1)))
-    return out.withColumn(target_id, F.col("_best")[target_id]).withColumn("similarity", F.col("_best")["similarity"]).drop("_targets", "_best", "_norm")
+    scored = F.transform("_targets", lambda t: F.struct((-F.round(cosine(F.col("embedding"), t["_target"], F.col("_norm"), t["_norm"]), 6)).alias("far"), t[target_id].alias(target_id)))
+    out = rows.withColumn("_best", F.array_min(scored))
+    similarity = F.when(F.col("embedding").isNotNull(), -F.col("_best")["far"])
+    return out.withColumn(target_id, F.col("_best")[target_id]).withColumn("similarity", similarity).drop("_targets", "_best", "_norm")
+
+
+def nearest_entity(items: DataFrame, entities: DataFrame, threshold: float = ENTITY) -> DataFrame:
+    """Add the nearest entity (entity_id) and its similarity, null below the threshold; entities without a vector are left out."""
+    rows = nearest(items, entities.filter("embedding is not null"), "entity_id")
+    near = F.col("similarity") >= threshold
+    return rows.withColumn("entity_id", F.when(near, F.col("entity_id"))).withColumn("similarity", F.when(near, F.col("similarity")))
 
 
 def prefilter(items: DataFrame, targets: DataFrame, threshold: float = PREFILTER) -> DataFrame:
@@ -81,6 +88,12 @@ def recall(items: DataFrame, query: list[float], k: int = 50, bucket: str | None
     return scored.orderBy(F.col("similarity").desc(), F.col("item_id")).limit(k)
 
 
+def recall_table(found: DataFrame) -> DataFrame:
+    """`recall` as reports show it: with `rank` and the similarity to three places."""
+    by_rank = Window.orderBy(F.col("similarity").desc(), "item_id")  # over k rows
+    return found.withColumn("rank", F.row_number().over(by_rank)).withColumn("similarity", F.format_string("%.3f", "similarity"))
+
+
 def hashed_vector(text: Column, dimensions: int) -> Column:
     """A deterministic stand-in for an embedding: pairs of digest bytes from 0 to 1."""
     at = lambda i: F.conv(F.substring(F.sha2(F.concat(text, F.lit(f":{i // 16}")), 256), i % 16 * 4 + 1, 4), 16, 10).cast("double") / 65535

@@ -1,46 +1,20 @@
-"""Registry of the library's queries over the driver's tables, each with its DuckDB twin where SQL can tell it."""
+"""The library's queries over the driver's tables: views, aggregates, vectors, entities, texts, alerts and bus."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text, verdict
 from lantern.operators import aggregates, alerts, bus, entities, folds, store, vectors, views
-from lantern.plans import derive, taxonomy
+from lantern.plans import derive, records, registry, taxonomy
+from lantern.plans.registry import query
 from lantern.sources import mappers
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
 #: Start of the windowed queries, in seconds.
 SINCE = derive.EPOCH + 100 * derive.STEP
 SCORE_ORDER = lambda: [F.coalesce(F.col("score"), F.lit(0)).desc(), F.col("item_id").asc()]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its oracle over the derived tables."""
-
-    def add(function: Query) -> Query:
-        _QUERIES[function.__name__] = function
-        if sql is not None:
-            _ORACLES[function.__name__] = derive.oracle(sql)
-        return function
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 def _epoch(column: str):
     return F.unix_seconds(F.col(column))
 
@@ -567,3 +541,15 @@ def alert_claim_fold(spark, sf):
 @query()
 def alert_throttle_fold(spark, sf):
     return folds.throttle_alerts(derive.alert_attempts(spark, sf))
+
+
+def queries() -> dict[str, registry.Query]:
+    return registry.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return registry.oracle_sql()
+
+
+#: Importing the modules registers their queries.
+MODULES = (records,)

@@ -19,8 +19,6 @@ TEST_SIMILARITY = 0.35
 SOURCE_TYPES = ("rss", "imap", "yt", "telegram", "ais")
 DOMAINS = ("Political", "military", "Economic", "Social", "information", "Infrastructure")
 ACTORS = ("Terror", "espionage", "none", "Sabotage")
-#: Documents that a word must and may occur in to be taken for an entity.
-MENTION_DOCS = (3, 50)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +72,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, name, lang, ts): words of medium frequency in the documents, standing in for entities."""
-    words = articles(spark, sf_dir).select("item_id", "lang", "ts", F.explode(text.keywords("body")).alias("word"))
-    low, high = MENTION_DOCS
-    common = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(low, high)).select("word")
-    return words.join(common, "word").select("item_id", F.col("word").alias("name"), "lang", "ts")
+    """(item_id, name, lang, ts): the key words of the documents, standing in for entities."""
+    return articles(spark, sf_dir).select("item_id", F.explode(text.keywords("body")).alias("name"), "lang", "ts")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +144,7 @@ articles AS (
 ), words AS (
   SELECT item_id, lang, ts, unnest({_KEYWORDS}) AS name FROM articles
 ), mentions AS (
-  SELECT *, {_NORM} AS name_norm FROM words WHERE name IN (SELECT name FROM words GROUP BY name HAVING count(*) BETWEEN {MENTION_DOCS[0]} AND {MENTION_DOCS[1]})
+  SELECT *, {_NORM} AS name_norm FROM words
 ), entities AS (
   SELECT name_norm, lang, min(name) AS name, left(sha256(name_norm || chr(0) || lang), 16) AS entity_id FROM mentions WHERE name_norm <> '' GROUP BY ALL
 ), entity_links AS (

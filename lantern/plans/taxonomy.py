@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -69,3 +70,8 @@ def quick_reference() -> str:
 def id_enum() -> str:
     """The values a model may give for a requirement."""
     return "|".join((*ACTIVE_IDS, "none"))
+
+
+def active_examples(examples: DataFrame) -> DataFrame:
+    """The examples (ids: array) whose ids are all active."""
+    return examples.filter(F.forall("ids", lambda i: i.isin(*ACTIVE_IDS)))

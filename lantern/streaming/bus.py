@@ -20,9 +20,22 @@ def messages(spark: SparkSession, folder: str, per_trigger: int = 10) -> DataFra
     return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", per_trigger).json(folder)
 
 
-def published_once(stream: DataFrame) -> DataFrame:
-    """Messages without those whose routing key and item were seen before; the state is durable."""
-    return stream.dropDuplicates(["routing_key", "item_id"])
+def published_once(stream: DataFrame, time: str | None = None, within: str = "7 days") -> DataFrame:
+    """Messages without those whose routing key and item were seen before; the state is durable.
+
+    With a `time` column, keys are forgotten after `within`, so that the state stays bounded;
+    without one, they never are.
+    """
+    key = ["routing_key", "item_id"]
+    return stream.dropDuplicates(key) if time is None else stream.withWatermark(time, within).dropDuplicatesWithinWatermark(key)
+
+
+def with_items(stream: DataFrame, items: DataFrame) -> DataFrame:
+    """Messages with the stored item that they name (`found`: whether there is one); `items` has item_id.
+
+    A join of a stream with a static table: the message that misses is kept, so that it can be acknowledged.
+    """
+    return stream.join(items.withColumn("found", F.lit(True)), "item_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def fan_out(stream: DataFrame, folder: str, checkpoints: str) -> dict[str, StreamingQuery]:

@@ -124,16 +124,45 @@ def test_streams(spark, tmp_path):
     assert [count(q) for q in ("q.brief", "q.wiki", "q.alerting", "q.triage", "q.ops")] == [1, 1, 1, 1, 0]
 
 
+def streamed(spark, folder, parts, ddl):
+    """A stream of the parts, a micro-batch each."""
+    (folder / "in").mkdir()
+    names = [c.split()[0] for c in ddl.split(", ")]
+    for n, part in enumerate(parts):
+        (folder / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in part))
+        os.utime(folder / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+
+
+def collected(spark, stream, folder, name):
+    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start().awaitTermination()
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
 def test_alert_stream(spark, tmp_path):
-    rows = [("a", "I", 0), ("a", "I", 10), ("a", "II", 20), ("b", "I", 5), ("a", "I", 100)]
-    for n, part in enumerate((rows[:2], rows[2:])):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("item_id", "cnr_tier", "fired_at"), r))) for r in part))
-        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
-    stream = spark.readStream.schema("item_id string, cnr_tier string, fired_at long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = alert_stream.claims(stream, ttl=100).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.item_id, r.fired_at) for r in spark.sql("SELECT * FROM fired").collect()) == [("a", 0), ("a", 100), ("b", 5)]
+    t = 1_700_000_000_000_000
+    rows = [("a", "I", t), ("a", "I", t + 10), ("a", "II", t + 20), ("b", "I", t + 5), ("a", "I", t + 100)]
+    stream = streamed(spark, tmp_path, (rows[:2], rows[2:]), "item_id string, cnr_tier string, fired_at long")
+    fired = collected(spark, alert_stream.claims(stream, ttl=100), tmp_path, "fired")
+    assert sorted((r.item_id, r.fired_at - t) for r in fired) == [("a", 0), ("a", 100), ("b", 5)]
+
+
+def test_throttle_stream_equals_the_fold(spark, tmp_path):
+    t, second = 1_700_000_000_000_000, 1_000_000
+    times = [0, 1, 2, 3, 4, 5, 59, 60, 61, 100, 200, 300, 301, 302, 303, 304, 599, 600, 601, 1300, 1301]
+    rows = [(i, t + s * second) for i, s in enumerate(times)]
+    stream = streamed(spark, tmp_path, (rows[:7], rows[7:15], rows[15:]), "seq long, fired_at long")
+    got = {r.seq: r.delivered for r in collected(spark, alert_stream.throttled(stream), tmp_path, "throttled")}
+    fold = {r.seq: r.tier is None for r in folds.throttle_alerts(spark.createDataFrame(rows, "seq long, fired_at long")).collect()}
+    assert got == fold and 0 < sum(fold.values()) < len(rows)
+
+
+def test_bounded_stream_of_messages_and_items(spark, tmp_path):
+    stream = streamed(spark, tmp_path, [[("a.b", "1"), ("a.b", "1")], [("a.b", "1"), ("a.c", "2")]], "routing_key string, item_id string")
+    timed = stream.withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    items = spark.createDataFrame([("1", "x")], "item_id string, title string")
+    rows = collected(spark, bus_stream.with_items(bus_stream.published_once(timed, "at"), items), tmp_path, "found")
+    assert sorted((r.routing_key, r.item_id, r.title, r.found) for r in rows) == [("a.b", "1", "x", True), ("a.c", "2", None, False)]
 
 
 def test_item_stream_scores_only_what_passes(spark, tmp_path):

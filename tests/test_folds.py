@@ -54,8 +54,8 @@ def at_cosine(c):
 
 
 @pytest.mark.parametrize("items, threshold", [
-    ([("a", "x", 9, [1.0, 0, 0, 0]), ("a", "y", 8, [1.0, 0, 0, 0]), ("a", "z", 7, [-1.0, 0, 0, 0]), ("a", "n", 6, None), ("a", "o", 5, [0.0] * 4)], 0.75),
-    ([("a", "x", 9, [.1, .2, .3, .4]), ("a", "y", 8, [.11, .21, .31, .41]), ("a", "z", 7, [1.0, 0, 0, 0]), ("b", "w", 9, [.1, .2, .3, .4])], 0.75),
+    ([("a", "x", 9, [1.0, 0.0, 0.0, 0.0]), ("a", "y", 8, [1.0, 0.0, 0.0, 0.0]), ("a", "z", 7, [-1.0, 0.0, 0.0, 0.0]), ("a", "n", 6, None), ("a", "o", 5, [0.0] * 4)], 0.75),
+    ([("a", "x", 9, [.1, .2, .3, .4]), ("a", "y", 8, [.11, .21, .31, .41]), ("a", "z", 7, [1.0, 0.0, 0.0, 0.0]), ("b", "w", 9, [.1, .2, .3, .4])], 0.75),
     ([("a", "x", 5, at_cosine(1.0)), ("a", "y", 5, at_cosine(0.76)), ("a", "z", 5, at_cosine(0.74)), ("a", "v", None, at_cosine(0.0))], 0.75),
 ])
 def test_greedy_centroids(spark, items, threshold):
