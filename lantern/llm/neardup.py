@@ -35,6 +35,8 @@ MANTISSA_BITS = 10
 BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
 RARITY_BITS = 18
+#: Ids that are broadcast at most.
+IN_MEMORY = 1_000_000
 #: Chance that two unlike registers agree, by the analysis of the sketch: 0.1699 * 2 ** -bits.
 COLLISION = 0.1699 * 2.0**-MANTISSA_BITS
 
@@ -146,17 +148,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFram
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame, likeness: Likeness) -> DataFrame:
-    """(key, grams) of the classes in `needed` (doc_id), from their representatives' texts."""
+    """(key, grams) of the classes in `needed` (doc_id, staged), from their representatives' texts.
+
+    Texts aren't shuffled: up to IN_MEMORY ids are broadcast; beyond that a bitmap of bounded size
+    picks the rows, and the sets of what it lets through in excess go in a join on the id.
+    """
+    wanted = needed.select(F.col("doc_id").alias("_id")).distinct()
+    few = needed.count() <= IN_MEMORY
+    bits = docs.sparkSession.sparkContext.broadcast(None if few else shared.bitmap(wanted.select(F.xxhash64("_id").alias("h")), "h"))
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
-            grams = text.shingle_set(row["text"], likeness.words)
-            if len(grams):
-                yield {"key": _class_key(grams), "grams": grams.tobytes()}
+            if few or shared.may_hold(bits.value, np.array([row["h"]], np.int64).view(np.uint64))[0]:
+                grams = text.shingle_set(row["text"], likeness.words)
+                if len(grams):
+                    yield {"doc_id": row["doc_id"], "key": _class_key(grams), "grams": grams.tobytes()}
 
-    ids = shared.small(needed.select(F.col("doc_id").alias("_id")).distinct(), 1_000_000)
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return arrow.map_rows(rows.select("text"), run, "key long, grams binary", rows=256)
+    rows = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = rows.join(F.broadcast(wanted), same, "left_semi") if few else rows
+    sets = arrow.map_rows(rows, run, arrow.schema(docs.schema["doc_id"], "key long, grams binary"), rows=256)
+    return (sets if few else sets.join(wanted, same, "left_semi")).select("key", "grams")
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -283,7 +295,7 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     rooted = narrow.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = shared.staged(rooted.select("doc_id", "n_shingles", "root"), "neardup-rooted")
     names = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = shared.join_hot(rooted, names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -301,11 +313,11 @@ def keep_one(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
     rows = shared.packed(docs)
     same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_text_key"))
     gone = shared.staged(held.filter(~F.col("kept")).select(*names).distinct(), "neardup-gone")
-    rest = rows.join(shared.small(gone, 1_000_000), same, "left_anti")
+    rest = rows.join(shared.small(gone, IN_MEMORY), same, "left_anti")
     again = held.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     again = shared.staged(again.select(*names), "neardup-again")
     if not again.isEmpty():
-        doubled = shared.small(again, 1_000_000)
+        doubled = shared.small(again, IN_MEMORY)
         one_each = rest.join(doubled, same).dropDuplicates(["_id", "_text_key"]).select("_row")
         rest = rest.join(doubled, same, "left_anti").union(one_each)
     return rest.select("_row.*")

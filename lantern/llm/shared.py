@@ -50,6 +50,27 @@ def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: A key is hot when it holds more than this many rows and a thousandth of all.
+HOT_ROWS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, which has one row a key, where a few keys may hold most rows of `left`.
+
+    Rows of hot keys stay where they lie and meet the few rows of `right` that are theirs, at most a
+    thousand, by broadcast; the others are joined as usual. `left` is read several times, so it
+    should be staged.
+    """
+    total = left.count()
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > HOT_ROWS) & (F.col("_n") * 1000 > total)).select(key)
+    hot = staged(hot.filter(F.col(key).isNotNull()), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)
+    crowded = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return crowded.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+
+
 def columns(df: DataFrame) -> list[Column]:
     """The columns of `df`, whatever characters their names have."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

@@ -23,6 +23,7 @@ import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField
 
 from lantern.llm import arrow, shared
 
@@ -33,6 +34,8 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _CHUNK = 1 << 20
+#: Tasks that read archives, at most; each reads several beyond that.
+MAX_READERS = 20_000
 
 
 class WarcError(ValueError):
@@ -196,6 +199,11 @@ def parse_record(content: bytes) -> dict:
     return {"headers": fields, "payload": payload, "payload_bytes": int(length[1])}
 
 
+def _opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's names for S3 are taken for `s3`."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def write_archives(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     """Write a record for every row of `pages` (page_id, url, html); returns (archive, records), staged.
 
@@ -204,14 +212,17 @@ def write_archives(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     """
     folder = f"{shared.shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("_sha1", F.sha1(F.col("html").cast("binary")))
-    equal = rows.groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_sha1", "_first")
-    rows = rows.join(equal, "_sha1", "left")
-    first = F.col("page_id").eqNullSafe(F.col("_first")) | (F.octet_length("html") < archive.min_revisit_bytes)
-    rows = rows.select("page_id", "url", "html", F.when(~first, F.col("_first")).alias("refers_to"))
+    sha1 = F.sha1(F.col("html").cast("binary"))
+    # Who refers to whom is found on digests alone; then only pages that refer to another one are looked up.
+    narrow = shared.staged(rows.filter(F.octet_length("html") >= archive.min_revisit_bytes).select("page_id", sha1.alias("_sha1")), "warc-digests")
+    equal = narrow.groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_sha1", "_first")
+    again = shared.join_hot(narrow, equal, "_sha1").filter(~F.col("page_id").eqNullSafe(F.col("_first")))
+    again = shared.staged(again.select(F.col("page_id").alias("_id"), F.col("_sha1"), "_first").distinct(), "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (sha1 == F.col("_sha1"))
+    rows = rows.join(shared.small(again, 200_000), same, "left").select("page_id", "url", "html", F.col("_first").alias("refers_to"))
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
-        files, path = pyarrow.fs.FileSystem.from_uri(folder)
+        files, path = _opened(folder)
         files.create_dir(path, recursive=True)
         size = 0
 
@@ -233,7 +244,7 @@ def write_archives(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     return shared.staged(arrow.map_rows(rows, run, "archive string, records long"), "warc-list")
 
 
-def read_archives(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
+def read_archives(archives: DataFrame, id_type: DataType = LongType()) -> DataFrame:
     """The records of the archives in `archives` (archive: URI of a file).
 
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
@@ -247,7 +258,7 @@ def read_archives(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
-            files, path = pyarrow.fs.FileSystem.from_uri(row["archive"])
+            files, path = _opened(row["archive"])
             with files.open_input_stream(path) as source:
                 for content in frames(source):
                     found = parse_record(content)
@@ -262,8 +273,9 @@ def read_archives(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
                         "payload": None if revisit else found["payload"],
                     }
 
-    ddl = f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary"
-    return arrow.map_rows(archives.repartition(max(1, archives.count()), "archive"), run, ddl, rows=64)
+    ddl = "url string, payload_bytes long, payload_digest string, record_type string"
+    spread = archives.repartition(max(1, min(archives.count(), MAX_READERS)))  # dealt in turn, so evenly
+    return arrow.map_rows(spread, run, arrow.schema(StructField("page_id", id_type), ddl, StructField("refers_to", id_type), "payload binary"), rows=64)
 
 
 def round_trip(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
@@ -274,8 +286,7 @@ def round_trip(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     page_id stays null and is a revisit of an equal payload with an id. An empty table gives an
     empty result.
     """
-    kind = pages.schema["page_id"].dataType.simpleString()
-    rows = read_archives(write_archives(pages, archive), kind)
+    rows = read_archives(write_archives(pages, archive), pages.schema["page_id"].dataType)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

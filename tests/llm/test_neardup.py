@@ -80,6 +80,17 @@ def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
     assert len(without) == 4
 
 
+def test_many_ids_and_hot_groups_take_another_way_to_the_same_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(40)) for _ in range(4)]
+    rows = [(i, base[0 if i % 2 else i % 4] + f" tail{i % 9}") for i in range(120)] + [(None, base[1]), (500, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "IN_MEMORY", 0)
+    monkeypatch.setattr(neardup.shared, "HOT_ROWS", 0)
+    got = neardup.near_duplicates(frame).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, neardup.Likeness())
+
+
 def test_empty_and_long(spark):
     frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100_000))), (2, " ".join(f"w{i}" for i in range(100_001)))], "doc_id long, text string")
     assert [r.component_id for r in neardup.near_duplicates(frame).collect()] == [1, 1]

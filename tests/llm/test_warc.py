@@ -71,3 +71,12 @@ def test_round_trip_through_spark(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
     payloads = {r.page_id: bytes(r.payload) for r in warc.read_archives(warc.write_archives(pages)).collect() if r.payload is not None}
     assert payloads[12].decode() == "é" * 100_000
+
+
+def test_a_payload_of_many_pages(spark, monkeypatch):
+    """A hot digest takes another way to the same rows."""
+    monkeypatch.setattr(warc.shared, "HOT_ROWS", 2)
+    pages = spark.createDataFrame([(i, "u", "" if i % 3 else f"own {i}") for i in range(60)] + [(None, "u", None)], "page_id long, url string, html string")
+    rows = warc.round_trip(pages).collect()
+    assert len(rows) == 61
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(i, "revisit", 1) if i % 3 and i != 1 else (i, "response", None) for i in range(60)} | {(None, "revisit", 1)}
