@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators import neighbours
+
 #: Production thresholds; the driver's vectors need lower ones.
 DUPLICATE, PREFILTER, ENTITY, CLUSTER = 0.90, 0.70, 0.92, 0.75
 DAY = 86_400
@@ -57,23 +59,27 @@ def prefilter(items: DataFrame, targets: DataFrame, threshold: float = PREFILTER
     return nearest(items, targets, "ccir_id").withColumn("passes", F.coalesce(F.col("similarity") >= threshold, F.lit(True)))
 
 
-def near_earlier(items: DataFrame, threshold: float = DUPLICATE, days: int = 7) -> DataFrame:
+def near_earlier(items: DataFrame, threshold: float = DUPLICATE, days: int = 7, recall: float = neighbours.RECALL) -> DataFrame:
     """(item_id, duplicate_of, similarity): for each item the nearest of those that came up to `days` before.
 
-    `items` has item_id, created_at, embedding. An item never matches itself or a later one; of equal
-    similarities the least item_id counts. The range join is an equi-join on days: each item meets
-    the items of its own day and of the `days` before, so days spread over the cluster.
+    `items` has item_id (unique), created_at, embedding; the threshold is above 0. An item never
+    matches itself or a later one; of equal similarities the least item_id counts. Pairs are looked
+    for by bands of the vectors within two spans of `days`, and each is found with a probability of
+    `recall` at least. Nothing but pairs that share a band is compared.
     """
-    rows = _normed(items.select("item_id", F.unix_micros("created_at").alias("at"), "embedding"), "embedding")
-    day = F.expr(f"at div {DAY * 1_000_000}")
-    later = rows.withColumn("_day", F.explode(F.sequence(day - days, day))).select(*[F.col(c).alias(f"_b_{c}") for c in rows.columns], "_day")
-    earlier = rows.withColumn("_day", day)
-    order = (F.col("at") < F.col("_b_at")) | ((F.col("at") == F.col("_b_at")) & (F.col("item_id") < F.col("_b_item_id")))
-    inside = F.col("at") >= F.col("_b_at") - days * DAY * 1_000_000
-    pairs = later.join(earlier, "_day").filter(order & inside)
-    pairs = pairs.select(F.col("_b_item_id").alias("id"), "item_id", F.round(cosine(F.col("_b_embedding"), F.col("embedding"), F.col("_b__norm"), F.col("_norm")), 6).alias("similarity"))
-    best = pairs.filter(F.col("similarity") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "item_id")).alias("best"))
-    return best.select(F.col("id").alias("item_id"), F.col("best.item_id").alias("duplicate_of"), (-F.col("best.s")).alias("similarity"))
+    micros = days * DAY * 1_000_000
+    rows = neighbours.checkpointed(items.select("item_id", F.unix_micros("created_at").alias("at"), "embedding"))
+    banded = rows.select("item_id", "at", F.explode(neighbours.band_keys(threshold, recall)("embedding")).alias("_band"))
+    banded = neighbours.checkpointed(banded.withColumn("_span", F.expr(f"at div {micros}")))
+    earlier = banded.select(F.col("item_id").alias("_e_id"), F.col("at").alias("_e_at"), "_band", "_span")
+    later = banded.select(F.col("item_id").alias("_l_id"), F.col("at").alias("_l_at"), "_band", F.explode(F.array("_span", F.col("_span") - 1)).alias("_span"))
+    order = (F.col("_e_at") < F.col("_l_at")) | ((F.col("_e_at") == F.col("_l_at")) & (F.col("_e_id") < F.col("_l_id")))
+    pairs = neighbours.candidates(later, earlier, order & (F.col("_e_at") >= F.col("_l_at") - micros), ["_band", "_span"])
+    side = lambda name, vector: rows.select(F.col("item_id").alias(name), F.col("embedding").alias(vector))
+    met = pairs.join(side("later", "_a"), "later").join(side("earlier", "_b"), "earlier")
+    near = met.select("later", "earlier", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    best = near.groupBy("later").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "earlier")).alias("best"))
+    return best.select(F.col("later").alias("item_id"), F.col("best.earlier").alias("duplicate_of"), (-F.col("best.s")).alias("similarity"))
 
 
 def recall(items: DataFrame, query: list[float], k: int = 50, bucket: str | None = None, ccir: str | None = None, since=None) -> DataFrame:
