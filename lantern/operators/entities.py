@@ -16,20 +16,37 @@ def _links(links: DataFrame) -> DataFrame:
     return links.select("entity_id", "item_id", "mention", F.col("lang").alias("link_lang"))
 
 
+def _aliases(links: DataFrame) -> DataFrame:
+    """(entity_id, aliases): the sorted distinct aliases; made distinct by hashing, before anything is collected."""
+    return links.select("entity_id", _alias().alias("_alias")).distinct().groupBy("entity_id").agg(F.array_sort(F.collect_list("_alias")).alias("aliases"))
+
+
 def with_aliases(entities: DataFrame, links: DataFrame) -> DataFrame:
-    """Each entity with its sorted aliases and the number of linked items; [] and 0 without links."""
-    rows = entities.join(_links(links), "entity_id", "left")
-    return rows.groupBy("entity_id", "name", "name_norm", "lang").agg(F.array_sort(F.collect_set(_alias())).alias("aliases"), F.countDistinct("item_id").alias("link_count"))
+    """Each entity with its sorted aliases and the number of linked items; [] and 0 without links.
+
+    Links are brought together before they meet the entities' names, so hot entities shrink on the map side.
+    """
+    links = _links(links)
+    counted = links.select("entity_id", "item_id").distinct().groupBy("entity_id").agg(F.count("item_id").alias("link_count"))
+    rows = entities.select("entity_id", "name", "name_norm", "lang").join(_aliases(links), "entity_id", "left").join(counted, "entity_id", "left")
+    return rows.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumn("link_count", F.coalesce("link_count", F.lit(0)))
+
 
+def active(entities: DataFrame, links: DataFrame, items: DataFrame, since=None, aliases: bool = True) -> DataFrame:
+    """Each linked entity with first and last time, items, requirements and, if wanted, aliases.
 
-def active(entities: DataFrame, links: DataFrame, items: DataFrame, since=None) -> DataFrame:
-    """Each linked entity with first and last time, items, requirements and aliases; `items` has item_id, ts, ccir."""
+    `items` has item_id (unique), ts, ccir. Links become distinct, and then counted by requirement,
+    in hash aggregates; only a row for each requirement of an entity is collected.
+    """
     rows = items.filter(F.col("ts") >= since) if since is not None else items
-    joined = entities.join(_links(links), "entity_id").join(rows.select("item_id", "ts", "ccir"), "item_id")
-    return joined.groupBy("entity_id", "name", "name_norm", "lang").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.countDistinct("item_id").alias("items"),
-        F.array_sort(F.collect_set("ccir")).alias("ccirs"), F.array_sort(F.collect_set(_alias())).alias("aliases"),
+    joined = _links(links).join(rows.select("item_id", "ts", "ccir"), "item_id")
+    once = joined.select("entity_id", "item_id", "ts", "ccir").distinct()
+    by_ccir = once.groupBy("entity_id", "ccir").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    counted = by_ccir.groupBy("entity_id").agg(
+        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"), F.sum("_n").alias("items"), F.array_sort(F.collect_list("ccir")).alias("ccirs")
     )
+    out = entities.select("entity_id", "name", "name_norm", "lang").join(counted, "entity_id")
+    return out.join(_aliases(joined), "entity_id", "left") if aliases else out
 
 
 def most_active(active_entities: DataFrame, n: int = 500) -> DataFrame:

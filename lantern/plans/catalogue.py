@@ -314,20 +314,20 @@ def threshold_sweep(spark, sf):
 
 @query("SELECT e.entity_id, e.name_norm, e.lang, coalesce(list_aggregate(list_sort(list(DISTINCT mention || ' (' || l.lang || ')') FILTER (mention IS NOT NULL)), 'string_agg', '|'), '') AS aliases, count(DISTINCT item_id) AS link_count FROM entities e LEFT JOIN entity_links l USING (entity_id) GROUP BY 1, 2, 3")
 def entity_aliases(spark, sf):
-    rows = entities.with_aliases(derive.entities(spark, sf), derive.entity_links(spark, sf))
+    rows = entities.with_aliases(*derive.entity_graph(spark, sf))
     return rows.select("entity_id", "name_norm", "lang", _joined("aliases").alias("aliases"), "link_count")
 
 
 @query(f"SELECT entity_id, e.name_norm, e.lang, epoch(min(ts))::BIGINT AS first_seen, epoch(max(ts))::BIGINT AS last_seen, count(DISTINCT item_id) AS items, list_aggregate(list_sort(list(DISTINCT ccir)), 'string_agg', '|') AS ccirs FROM entities e JOIN entity_links l USING (entity_id) JOIN enriched USING (item_id) WHERE epoch(ts) >= {SINCE} GROUP BY 1, 2, 3 ORDER BY items DESC, e.name_norm, e.lang LIMIT 500")
 def entity_active(spark, sf):
-    rows = entities.active(derive.entities(spark, sf), derive.entity_links(spark, sf), derive.enriched(spark, sf), F.timestamp_seconds(F.lit(SINCE)))
+    rows = entities.active(*derive.entity_graph(spark, sf), derive.enrichment(spark, sf).withColumnRenamed("created_at", "ts"), F.timestamp_seconds(F.lit(SINCE)), aliases=False)
     top = entities.most_active(rows)
     return top.select("entity_id", "name_norm", "lang", _epoch("first_seen").alias("first_seen"), _epoch("last_seen").alias("last_seen"), "items", _joined("ccirs").alias("ccirs"))
 
 
 @query("SELECT item_id, string_agg(name || '/' || mention, '|' ORDER BY name, mention) AS entities FROM (SELECT DISTINCT item_id, name, mention, l.lang FROM entity_links l JOIN entities USING (entity_id)) GROUP BY item_id")
 def entity_links_per_item(spark, sf):
-    rows = entities.of_items(derive.entities(spark, sf), derive.entity_links(spark, sf))
+    rows = entities.of_items(*derive.entity_graph(spark, sf))
     return rows.select("item_id", _joined(F.transform("entities", lambda e: F.concat(e["name"], F.lit("/"), e["mention"]))).alias("entities"))
 
 

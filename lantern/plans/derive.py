@@ -76,18 +76,32 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("item_id", F.explode(text.keywords("body")).alias("name"), "lang", "ts")
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, name, name_norm, lang), one for each key and language."""
-    rows = mentions(spark, sf_dir).withColumn("name_norm", names.normalize_name(F.col("name"))).filter("name_norm <> ''")
-    rows = rows.groupBy("name_norm", "lang").agg(F.min("name").alias("name"))
-    return rows.withColumn("entity_id", F.left(F.sha2(F.concat("name_norm", F.lit("\0"), "lang"), 256), F.lit(16)))
+def _entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`entity_links`, with a row more where a mention repeats; no shuffle."""
+    rows = mentions(spark, sf_dir).withColumn("name_norm", names.normalize_name(F.col("name")))
+    key = F.when(F.col("name_norm") != "", F.left(F.sha2(F.concat("name_norm", F.lit("\0"), "lang"), 256), F.lit(16)))
+    return rows.select(key.alias("entity_id"), "item_id", F.col("name").alias("mention"), "lang").filter("entity_id is not null")
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, item_id, mention, lang), distinct."""
-    rows = mentions(spark, sf_dir).withColumn("name_norm", names.normalize_name(F.col("name"))).filter("name_norm <> ''")
-    key = F.left(F.sha2(F.concat("name_norm", F.lit("\0"), "lang"), 256), F.lit(16))
-    return rows.select(key.alias("entity_id"), "item_id", F.col("name").alias("mention"), "lang").distinct()
+    return _entity_mentions(spark, sf_dir).distinct()
+
+
+def entities_of(links: DataFrame) -> DataFrame:
+    """(entity_id, name, name_norm, lang), one for each key and language among the links."""
+    rows = links.groupBy("entity_id", "lang").agg(F.min("mention").alias("name"))
+    return rows.select("entity_id", "name", names.normalize_name(F.col("name")).alias("name_norm"), "lang")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities_of(_entity_mentions(spark, sf_dir))
+
+
+def entity_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, links) for operators that take links as a set: repeated mentions stay, which spares a shuffle of all links."""
+    links = _entity_mentions(spark, sf_dir)
+    return entities_of(links), links
 
 
 def _micros():

@@ -188,7 +188,7 @@ def cross_language_pairs(spark, sf):
 @query("""SELECT e.name, 'MISC' AS type, arg_min(l.lang, l.item_id || l.mention) AS lang, array_to_string(list_sort(list(DISTINCT l.mention || ' (' || l.lang || ')')), '|') AS aliases, count(DISTINCT l.item_id) AS n_items
   FROM entity_links l JOIN entities e USING (entity_id) GROUP BY e.name""")
 def entity_graph_notes(spark, sf):
-    items = entities.of_items(derive.entities(spark, sf), derive.entity_links(spark, sf))
+    items = entities.of_items(*derive.entity_graph(spark, sf))
     full = items.withColumn("entities", F.transform("entities", lambda e: F.struct(e["name"].alias("name"), e["mention"].alias("mention"), e["lang"].alias("lang"), F.lit(None).cast("string").alias("type"))))
     return entities.graph_notes(full).withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -204,7 +204,7 @@ def names_in_order(spark, sf):
 @query("""SELECT entity_id, link_count, place FROM (SELECT entity_id, count(DISTINCT item_id) AS link_count, row_number() OVER (ORDER BY count(DISTINCT item_id) DESC, name_norm, entities.lang, entity_id) AS place
   FROM entities JOIN entity_links USING (entity_id) GROUP BY entity_id, name_norm, entities.lang) WHERE place <= 40""")
 def entities_by_links(spark, sf):
-    counted = entities.with_aliases(derive.entities(spark, sf), derive.entity_links(spark, sf))
+    counted = entities.with_aliases(*derive.entity_graph(spark, sf))
     rows = entities.most_linked(counted, 40).withColumn("_all", F.lit(0))
     order = [F.col("link_count").desc(), F.col("name_norm").asc(), F.col("lang").asc(), F.col("entity_id").asc()]
     return aggregates.top_per_group(rows, "_all", 40, order).select("entity_id", "link_count", F.col("rank").alias("place"))
