@@ -71,3 +71,13 @@ def mean_pooled(vectors: list[list[float]], mask: list[int]) -> list[float]:
     mean = (np.asarray(vectors, np.float64) * weights).sum(0) / max(weights.sum(), 1e-9)
     length = np.linalg.norm(mean)
     return (mean / length if length else mean).tolist()
+
+
+def translator(translate: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A translation of a text; a text without anything to translate stays as it is, and an error fails the job."""
+
+    @F.pandas_udf("string")
+    def call(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: translate(text).strip() if text and text.strip() else text)
+
+    return call.asNondeterministic()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import identity
 from lantern.functions import text as T
+from lantern.operators import neighbours
 
 
 def latest(writes: DataFrame, key: list[str], seq: str = "seq", first: tuple[str, ...] = (), keep_known: tuple[str, ...] = ()) -> DataFrame:
@@ -83,6 +84,20 @@ def cached_translations(items: DataFrame, cache: DataFrame, target: str, column:
     return items.withColumn("text_hash", identity.text_hash(F.col(column))).join(hits, "text_hash", "left")
 
 
+def translated(items: DataFrame, cache: DataFrame, target: str, translate, column: str = "title") -> tuple[DataFrame, DataFrame]:
+    """(items with `translation`, new rows for the cache): `translate`, a column function, is asked once for each unknown text.
+
+    A null or blank text is its own translation and never asked for. The answers are staged, so that
+    neither of the results asks again.
+    """
+    rows = cached_translations(items, cache, target, column)
+    wordy = F.coalesce(F.col(column).rlike(r"\S"), F.lit(False))
+    unknown = rows.filter(wordy & F.col("translation").isNull()).select("text_hash", column).dropDuplicates(["text_hash"])
+    made = neighbours.checkpointed(unknown.select("text_hash", translate(F.col(column)).alias("_made")))
+    out = rows.join(made, "text_hash", "left").withColumn("translation", F.coalesce("translation", "_made", F.when(~wordy, F.col(column)))).drop("_made")
+    return out, made.select("text_hash", F.lit(target).alias("target_lang"), F.col("_made").alias("translation"))
+
+
 def by_key(rows: DataFrame, **key) -> DataFrame:
     """The rows with the given values, such as an item by item_id or an entity by (name_norm, lang); none on a miss.
 
