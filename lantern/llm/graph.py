@@ -24,18 +24,30 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every node that has a smaller neighbour has one only, and that one has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("_down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("_down")))
+    around = ends.groupBy("x").agg(F.sum("_down").alias("_n"), F.min("_down").alias("_least"))
+    return around.filter("_n > 1 OR (_n = 1 AND _least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (u, v; longs) but the roots, root being the least of a component.
+    """(node, root) for every node of `edges` (u, v; longs, staged) but the roots, root being the least of a component.
 
-    Alternates steps that link larger and smaller neighbours to the least node nearby until nothing
-    changes: a number of steps logarithmic in the longest path. Every step aggregates before it
-    shuffles and joins by node, and is staged, so no task holds a component.
+    Alternates steps that link larger and smaller neighbours to the least node nearby until all that
+    is left are stars around their least node: a number of steps logarithmic in the longest path.
+    Every step aggregates before it shuffles and joins by node, and is staged, so no task holds a
+    component. Result rows of an earlier call may be among the edges: components are then extended.
     """
-    edges = shared.staged(edges.select("u", "v").filter("u <> v").distinct(), "graph")
-    mark = None
+    edges = edges.select("u", "v").filter("u <> v")
     while True:
         edges = shared.staged(_star(_star(edges, True), False), "graph")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
+        if _finished(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found`, a result of `components`, with further `links` (u, v; staged)."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))

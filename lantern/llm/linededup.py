@@ -348,7 +348,7 @@ def line_links(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     lines = scan.filter("line_no is not null").select("doc_id", "line_no", "key")
     counts = _counts(scan)
     classes = shared.staged(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-classes")
-    found = graph.components(_candidates(_postings(docs, counts, similar), similar))
+    found = graph.components(shared.staged(_candidates(_postings(docs, counts, similar), similar), "lines-candidates"))
     groups = shared.staged(found.withColumnRenamed("node", "key").union(found.select("root", "root").distinct()), "line-groups")
     sets = shared.staged(_sets(docs, groups.select("key")), "line-sets")
     links = shared.staged(_links(sets, groups, classes, similar), "line-links")

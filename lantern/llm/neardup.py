@@ -178,11 +178,12 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).drop("ru", "rv")
 
 
-def _star(ranked: DataFrame, rank: Column) -> DataFrame:
-    """(u, v): each member of a key with the member that `rank` puts first."""
-    first = ranked.groupBy("band").agg(F.min(rank).alias("_first")).select("band", F.col("_first.key").alias("hub"))
-    pairs = ranked.join(first, "band").filter("key <> hub")
-    return pairs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+def _stars(ranked: DataFrame, ranks: list[Column]) -> DataFrame:
+    """(u, v): each member of a key with the members that the `ranks` put first."""
+    firsts = ranked.groupBy("band").agg(*[F.min(rank).alias(f"_{i}") for i, rank in enumerate(ranks)])
+    hubs = firsts.select("band", F.array_distinct(F.array(*[F.col(f"_{i}.key") for i in range(len(ranks))])).alias("_hubs"))
+    pairs = ranked.join(hubs, "band").select("key", F.explode("_hubs").alias("hub")).filter("key <> hub")
+    return pairs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct()
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -209,7 +210,7 @@ def _rarity_bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, likeness: Likeness) -> DataFrame:
-    """(gram, key, n, place): the shingles that lead each set when ordered from rare to frequent.
+    """(gram, key, root, n, place): the shingles that lead each of `sets` (key, root, grams) from rare to frequent.
 
     Two sets that reach the threshold share a shingle there, whatever the order, as long as it is
     one for all; counts by hash buckets make it a good one.
@@ -222,9 +223,9 @@ def _prefixes(sets: DataFrame, likeness: Likeness) -> DataFrame:
             n = len(grams)
             order = np.lexsort((grams, held.value[_rarity_bucket(grams)]))[: n - (likeness.percent * n + 99) // 100 + 1]
             for place, gram in enumerate(grams[order].view(np.int64).tolist()):
-                yield {"gram": gram, "key": row["key"], "n": n, "place": place}
+                yield {"gram": gram, "key": row["key"], "root": row["root"], "n": n, "place": place}
 
-    return arrow.map_rows(sets, run, "gram long, key long, n int, place int", rows=8192)
+    return arrow.map_rows(sets.select("key", "root", "grams"), run, "gram long, key long, root long, n int, place int", rows=8192)
 
 
 def _leftover(met: DataFrame, found: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
@@ -236,8 +237,8 @@ def _leftover(met: DataFrame, found: DataFrame, sets: DataFrame, likeness: Liken
     """
     named = met.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("root"))
     mixed = named.groupBy("band").agg((F.min("root") != F.max("root")).alias("_mixed")).filter("_mixed").select("band")
-    named = shared.staged(named.join(mixed, "band", "left_semi").select("key", "root").distinct(), "neardup-mixed")
-    posted = shared.staged(_prefixes(sets.join(named, "key", "left_semi"), likeness).join(named, "key"), "neardup-posted")
+    named = named.join(mixed, "band", "left_semi").select("key", "root").distinct()
+    posted = shared.staged(_prefixes(shared.staged(sets.join(named, "key"), "neardup-mixed"), likeness), "neardup-posted")
     groups = posted.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("_m"))
     groups = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("_m", "root")).alias("_g")).filter("_c > 1").select("gram", F.col("_g.root").alias("giant"))
     posted = shared.staged(posted.join(groups, "gram"), "neardup-posted")
@@ -260,8 +261,8 @@ def class_components(docs: DataFrame, rows: DataFrame, likeness: Likeness) -> Da
     met = shared.staged(bands.join(sizes, "band"), "neardup-met")  # members of keys that are shared
     central = met.groupBy("key").agg(F.sum("_n").alias("_c"))
     ranked = met.join(central, "key")
-    stars = [_star(ranked, rank) for rank in (F.struct(-F.col("_c"), "key"), F.struct(F.xxhash64("band", "key"), "key"))]
-    likely = shared.staged(_estimated(stars[0].union(stars[1]).distinct(), classes, likeness), "neardup-likely")
+    hubs = _stars(ranked, [F.struct(-F.col("_c"), "key"), F.struct(F.xxhash64("band", "key"), "key")])
+    likely = shared.staged(_estimated(hubs, classes, likeness), "neardup-likely")
 
     member = met.select("key").distinct()
     sets = shared.staged(_needed_sets(docs, shared.staged(classes.join(member, "key", "left_semi").select("doc_id"), "neardup-needed"), likeness), "neardup-sets")
@@ -269,16 +270,12 @@ def class_components(docs: DataFrame, rows: DataFrame, likeness: Likeness) -> Da
     # Each class with the likeliest hub; a pair is tried if either end likes it best.
     ends = likely.select(F.col("u").alias("key"), F.struct("agree", "u", "v").alias("_p")).union(likely.select(F.col("v").alias("key"), F.struct("agree", "u", "v").alias("_p")))
     best = ends.groupBy("key").agg(F.max("_p").alias("_p")).select("_p.u", "_p.v").distinct()
-    links = shared.staged(_verified(best, sets, likeness), "neardup-links")
-    found = graph.components(links)
-
-    more = shared.staged(_verified(_across(likely, found), sets, likeness), "neardup-links")
-    links = links.union(more)
-    found = graph.components(links)
+    found = graph.components(shared.staged(_verified(best, sets, likeness), "neardup-links"))
+    found = graph.extended(found, shared.staged(_verified(_across(likely, found), sets, likeness), "neardup-links"))
 
     cross = _leftover(met.select("key", "band"), found, sets, likeness).join(likely.select("u", "v"), ["u", "v"], "left_anti")
     last = shared.staged(_verified(_estimated(cross, classes, likeness), sets, likeness), "neardup-links")
-    return graph.components(links.union(last))
+    return graph.extended(found, last)
 
 
 def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
