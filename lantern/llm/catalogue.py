@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.llm import chat, decontamination, html, linededup, mixing, neardup, pii, quality, sharding, warc
+from lantern.llm import chat, codes, decontamination, html, linededup, middle, mixing, neardup, pii, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_leaks": decontamination.op8_leaks,
         "op9_lines": linededup.op9_lines,
         "op10_shards": sharding.op10_shards,
+        "op11_middle": middle.op11_middle,
+        "op12_codes": codes.op12_codes,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat": chat.oracle(),
         "op9_lines": linededup.oracle(),
         "op10_shards": sharding.oracle(),
+        "op11_middle": middle.oracle(),
+        "op12_codes": codes.oracle(),
     }
