@@ -14,7 +14,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bands a vector has at most, and bits a band has at most.
@@ -26,13 +26,19 @@ PIECE = 2000
 _SEED = 20240101
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in `spark.checkpoint.dir`; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`; a local session without one gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lantern-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the folder in `spark.checkpoint.dir`, as `shared_folder` has it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
