@@ -1,12 +1,17 @@
-"""Text functions over string columns, all evaluated in the JVM."""
+"""Text functions over string columns, evaluated in the JVM but for rare characters and deep mails, which go to Python in batches."""
 
 from __future__ import annotations
 
+import base64
+import html
+import json
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words, phrases and tables that results depend on.
 STOPWORDS = (
@@ -35,9 +40,13 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+#: White space of any script, and the separators of files, groups, records and units.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def collapse(text: Column | str) -> Column:
-    """White space to single spaces, trimmed."""
-    return F.trim(F.regexp_replace(_column(text), r"\s+", " "))
+    """White space, no-break and other wide spaces included, to single spaces; trimmed."""
+    return F.trim(F.regexp_replace(_column(text), SPACE, " "))
 
 
 def clean_for_embedding(text: Column | str, own_phrases: Iterable[str] = ()) -> Column:
@@ -52,11 +61,27 @@ def clean_for_embedding(text: Column | str, own_phrases: Iterable[str] = ()) ->
     return collapse(F.regexp_replace(out, f"(?iu){quoted}", " "))
 
 
-def html_to_text(html: Column | str, limit: int = 500) -> Column:
-    """Plain text of a feed's HTML: references first, then CDATA marks and tags; empty keyword lines go."""
-    out = F.coalesce(_column(html), F.lit(""))
-    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+@F.pandas_udf(StringType())
+def _all_references(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def decode_references(text: Column | str) -> Column:
+    """Character references, named and numeric, as browsers read them.
+
+    The commonest five are read in the JVM; only texts with any other go to Python, in batches.
+    """
+    text = _column(text)
+    rest = text.rlike(r"&(?!(?:lt|gt|quot|nbsp|amp|#39);)[#A-Za-z]|&amp;#?\w")
+    out = text
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         out = F.replace(out, F.lit(reference), F.lit(char))
+    return F.coalesce(_all_references(F.when(rest, text)), out)
+
+
+def html_to_text(source: Column | str, limit: int = 500) -> Column:
+    """Plain text of a feed's HTML: references first, then CDATA marks and tags; empty keyword lines go."""
+    out = decode_references(F.coalesce(_column(source), F.lit("")))
     out = F.regexp_replace(out, r"<!\[CDATA\[", " ")
     out = F.regexp_replace(out, r"\]\]>", " ")
     out = collapse(F.regexp_replace(out, "<[^>]+>", " "))
@@ -172,24 +197,59 @@ def tool_payload(response: Column | str) -> Column:
     return F.when(F.try_parse_json(inner).isNotNull(), inner)
 
 
-def mail_text(payload: Column | str, depth: int = 4) -> Column:
-    """The first plain text among the parts of a mail's JSON payload, depth first, to `depth` levels below it.
+#: Levels of a mail's parts that are read in the JVM; mails with more go to Python.
+MAIL_LEVELS = 4
+
+
+@F.pandas_udf(StringType())
+def _deep_mail_text(payloads: pd.Series) -> pd.Series:
+    def first(payload: str) -> str | None:
+        open_ = [json.loads(payload)]
+        while open_:
+            part = open_.pop()
+            if not isinstance(part, dict):
+                continue
+            data = (part.get("body") or {}).get("data")
+            if part.get("mimeType") == "text/plain" and data:
+                found = base64.b64decode(data + "=" * (-len(data) % 4), b"-_").decode("utf-8", "replace")
+                if found:
+                    return found
+            open_ += reversed(part.get("parts") or [])
+        return None
+
+    def read(payload: str) -> str | None:
+        try:
+            return first(payload)
+        except (ValueError, RecursionError, AttributeError):
+            return None
+
+    return payloads.map(read, na_action="ignore")
 
-    Parts have mimeType, body.data (unpadded base64url) and parts. Null if there is none.
+
+def mail_text(payload: Column | str) -> Column:
+    """The first plain text among the parts of a mail's JSON payload, depth first, however deep they lie.
+
+    Parts have mimeType, body.data (unpadded base64url) and parts. Null if there is none, and for what isn't JSON.
+    Mails with up to MAIL_LEVELS levels below the first, which is nearly all, never leave the JVM.
     """
     part = "mimeType: string, body: struct<data: string>"
-    for _ in range(depth):
-        part = f"mimeType: string, body: struct<data: string>, parts: array<struct<{part}>>"
-
-    def texts(p: Column, below: int) -> Column:
-        own = F.when((p["mimeType"] == "text/plain") & p["body"]["data"].isNotNull(), F.array(base64url_text(p["body"]["data"]))).otherwise(F.array().cast("array<string>"))
+    kind = f"{part}, parts: array<string>"
+    for _ in range(MAIL_LEVELS):
+        kind = f"{part}, parts: array<struct<{kind}>>"
+
+    def walk(p: Column, below: int) -> tuple[Column, Column]:
+        """(texts, whether parts lie below the levels) of a part."""
+        data = p["body"]["data"]
+        own = F.when((p["mimeType"] == "text/plain") & (data != ""), F.array(base64url_text(data))).otherwise(F.array().cast("array<string>"))
         if not below:
-            return own
-        inner = F.flatten(F.transform(F.coalesce(p["parts"], F.array()), lambda q: texts(q, below - 1)))
-        return F.concat(own, inner)
-
-    root = F.from_json(_column(payload), f"struct<{part}>")
-    return F.try_element_at(texts(root, depth), F.lit(1))
+            return own, F.coalesce(F.size(p["parts"]) > 0, F.lit(False))
+        parts = F.coalesce(p["parts"], F.array())
+        return F.concat(own, F.flatten(F.transform(parts, lambda q: walk(q, below - 1)[0]))), F.exists(parts, lambda q: walk(q, below - 1)[1])
+
+    payload = _column(payload)
+    texts, deeper = walk(F.from_json(payload, f"struct<{kind}>"), MAIL_LEVELS)
+    shallow = F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+    return F.when(F.coalesce(deeper, F.lit(False)), _deep_mail_text(F.when(deeper, payload))).otherwise(shallow)
 
 
 def wiki_links(text: Column | str, names: Iterable[str]) -> Column:

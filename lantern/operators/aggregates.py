@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,18 +170,28 @@ def for_sections(items: DataFrame, sections: list[str], since) -> DataFrame:
     return rows.withColumn("section", section).withColumn("section_place", F.array_position(F.array(*[F.lit(s) for s in wanted]), section).cast("int"))
 
 
-def clustered(items: DataFrame, threshold: float | None = None) -> DataFrame:
+def clustered(items: DataFrame, threshold: float | None = None, by: Sequence[str] = ("ccir",)) -> DataFrame:
     """(ccir, cluster, place, item_id) of items: clusters that they bring along, else by vectors, else by key words.
 
     Columns decide: `cluster` is taken where there is one, then `embedding` is clustered with the
-    threshold (0.75 if it is none between 0 and 1), then the titles' words.
+    threshold (0.75 if it is none between 0 and 1), then the titles' words. `by` names what a section is.
     """
     from lantern.functions import text
     from lantern.operators import folds
 
     if "cluster" in items.columns:
-        place = F.row_number().over(Window.partitionBy("ccir").orderBy(F.coalesce("score", F.lit(0)).desc(), "item_id")) - 1
-        return items.select("ccir", "cluster", place.alias("place"), "item_id")
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.coalesce("score", F.lit(0)).desc(), "item_id")) - 1
+        return items.select(*by, "cluster", place.alias("place"), "item_id")
     if "embedding" in items.columns:
-        return folds.greedy_centroids(items, threshold if threshold is not None and 0 < threshold < 1 else 0.75)
-    return folds.greedy_keywords(items.withColumn("words", text.keywords("title")))
+        return folds.greedy_centroids(items, threshold if threshold is not None and 0 < threshold < 1 else 0.75, by)
+    return folds.greedy_keywords(items.withColumn("words", text.keywords("title")), by=by)
+
+
+def clustered_windows(items: DataFrame, sections: list[str], since, hours: int = 24, threshold: float | None = None) -> DataFrame:
+    """(section, window, cluster, place, item_id): from stored items to clusters, for every window of so many hours from `since` on.
+
+    Each section of each window is clustered for itself, as a run at the window's end would do it.
+    """
+    rows = for_sections(items, sections, since)
+    window = F.floor((F.unix_seconds("created_at") - F.unix_seconds(since)) / (hours * 3600)).cast("long")
+    return clustered(rows.withColumn("window", window), threshold, ["section", "window"])

@@ -6,7 +6,7 @@ it holds the fold's state (centroids, key word sets, entities, time stamps), nev
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from lantern.operators import neighbours, ordering, tiles
+
 Step = Callable[[dict], dict | None]
 
 
@@ -71,65 +73,115 @@ def fold(df: DataFrame, group: list[str], order: list, start: Callable[[], Step]
     return spread.mapInArrow(run, schema)
 
 
-def greedy_centroids(items: DataFrame, threshold: float = 0.75) -> DataFrame:
+def _placed(items: DataFrame, by: list[str], *columns) -> DataFrame:
+    """Items with `rank`, their place by section, score and item_id among all, and `place`, that within the section."""
+    rows = items.select(*by, "item_id", F.coalesce("score", F.lit(0)).alias("score"), *columns)
+    ranked = neighbours.checkpointed(ordering.numbered(rows, [], [*by, F.col("score").desc(), "item_id"], "rank"))
+    firsts = ranked.groupBy(*by).agg(F.min("rank").alias("_first")).select(*[F.col(c).alias(f"_{c}") for c in by], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return ranked.join(firsts, same).withColumn("place", (F.col("rank") - F.col("_first")).cast("int")).drop("_first", *[f"_{c}" for c in by])
+
+
+def _folded(rows: DataFrame, links: DataFrame, by: list[str], start: Callable[[], Step]) -> DataFrame:
+    """(by, cluster, place, item_id): folds of the parts of each section that `links` (u, v: ranks) hold together.
+
+    A step gives item_id, place and the founder's rank; clusters are numbered by their founders.
+    """
+    found = ordering.components(links)
+    parts = rows.join(found, F.col("rank") == F.col("node"), "left").withColumn("part", F.coalesce("root", "rank")).drop("node", "root")
+    key = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    folded = neighbours.checkpointed(fold(parts, [*by, "part"], ["rank"], start, f"{key}, founder long, place int, item_id string"))
+    numbers = ordering.numbered(folded.select(*by, "founder").distinct(), by, ["founder"], "cluster").select(F.col("founder").alias("_f"), F.col("cluster").cast("int").alias("cluster"))
+    return folded.join(numbers, F.col("founder") == F.col("_f")).select(*by, "cluster", "place", "item_id")
+
+
+def greedy_centroids(items: DataFrame, threshold: float = 0.75, by: Sequence[str] = ("ccir",)) -> DataFrame:
     """(ccir, cluster, place, item_id): greedy clustering by the nearest centroid, per requirement.
 
     `items` has ccir, item_id, score, embedding. Items come by score, then item_id; each joins the
     nearest centroid closer than 1 - threshold (the earlier one of equals), or founds a cluster. An
-    item without a vector is a cluster of its own that no other can join.
+    item without a vector is a cluster of its own that no other can join. Instead of the requirement
+    other columns may make up a section, such as the requirement and a window (`by`).
+
+    A section is split into parts that can't meet, each of which is a fold of its own. An item only
+    joins a cluster of which some member has a cosine of threshold squared to it: by induction the
+    projections of the members on their centroid sum up to threshold times their lengths at
+    least, so the centroid is at least so long, and the item's products with the members have a mean of
+    threshold times that. So items that no chain of such cosines connects never share a cluster.
     """
-    most = 1.0 - threshold
+    most, by = 1.0 - threshold, list(by)
 
     def start() -> Step:
         sums, means = _Rows(), _Rows()
         counts: list[int] = []
-        numbers: list[int] = []  # of the clusters that have a centroid
-        state = {"clusters": 0, "place": 0}
+        founders: list[int] = []  # of the clusters that have a centroid
 
         def step(row: dict) -> dict:
-            place, state["place"] = state["place"], state["place"] + 1
             vector = None if row["embedding"] is None else np.asarray(row["embedding"], np.float64)
             joined = None
-            if vector is not None and numbers:
+            if vector is not None and founders:
                 lengths = np.linalg.norm(means.matrix, axis=1) * np.linalg.norm(vector)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     distance = np.where(lengths == 0, 1.0, 1.0 - means.matrix @ vector / lengths)
                 best = int(np.argmin(distance))
                 joined = best if distance[best] < most else None
             if joined is None:
-                number, state["clusters"] = state["clusters"], state["clusters"] + 1
+                founder = row["rank"]
                 if vector is not None:
                     sums.add(vector)
                     means.add(vector)
                     counts.append(1)
-                    numbers.append(number)
+                    founders.append(founder)
             else:
-                number = numbers[joined]
+                founder = founders[joined]
                 sums.held[joined] += vector
                 counts[joined] += 1
                 means.held[joined] = sums.held[joined] / counts[joined]
-            return {"ccir": row["ccir"], "cluster": number, "place": place, "item_id": row["item_id"]}
+            return {**{c: row[c] for c in by}, "founder": founder, "place": row["place"], "item_id": row["item_id"]}
 
         return step
 
-    rows = items.select("ccir", "item_id", F.coalesce("score", F.lit(0)).alias("score"), "embedding")
-    return fold(rows, ["ccir"], [F.col("score").desc(), "item_id"], start, "ccir string, cluster int, place int, item_id string")
+    rows = neighbours.checkpointed(_placed(items, by, "embedding"))
+    directed = rows.filter(F.exists("embedding", lambda x: x != 0)).select("rank", F.col("embedding").alias("vector"), *by)
+    held = neighbours.checkpointed(tiles.tiles(directed, F.concat_ws("\0", *[F.col(c).cast("string") for c in by])))
+    return _folded(rows, tiles.near_forest(held, threshold * threshold - tiles.EDGE), by, start)
 
 
-def greedy_keywords(items: DataFrame, least: int = 2) -> DataFrame:
+def _word_links(rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """(u, v): links between items (rank, words) of a section that share a word which can bring any together.
+
+    An item that shares fewer than `least` of its words with any other is alone; without it, its words
+    may be some other item's only, which then is alone as well, and so on.
+    """
+    section = F.concat_ws("\0", *[F.col(c).cast("string") for c in by])
+    words = rows.select("rank", section.alias("_section"), F.explode(F.array_distinct("words")).alias("_word"))
+    held = neighbours.checkpointed(words.select("rank", F.xxhash64("_section", "_word").alias("word")))
+    while True:
+        common = held.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("word")
+        able = held.join(common, "word", "left_semi")
+        enough = able.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("rank")
+        left = neighbours.checkpointed(able.join(enough, "rank", "left_semi"))
+        if left.count() == held.count():
+            first = left.groupBy("word").agg(F.min("rank").alias("v"))
+            return left.join(first, "word").select(F.col("rank").alias("u"), "v")
+        held = left
+
+
+def greedy_keywords(items: DataFrame, least: int = 2, by: Sequence[str] = ("ccir",)) -> DataFrame:
     """(ccir, cluster, place, item_id): greedy clustering by shared key words, per requirement.
 
     `items` has ccir, item_id, score, words (array). Each item joins the first cluster that shares
-    `least` words with it, and the cluster's words grow.
+    `least` words with it, and the cluster's words grow. A section (`by`) is split into parts that share no
+    word which could bring them together; each is a fold of its own.
     """
+    by = list(by)
 
     def start() -> Step:
         clusters: list[set[str]] = []
+        founders: list[int] = []
         places: dict[str, list[int]] = {}  # clusters by word, in order
-        state = {"place": 0}
 
         def step(row: dict) -> dict:
-            place, state["place"] = state["place"], state["place"] + 1
             words = set(row["words"] or ())
             shared: dict[int, int] = {}
             for word in words:
@@ -139,59 +191,16 @@ def greedy_keywords(items: DataFrame, least: int = 2) -> DataFrame:
             if number is None:
                 number = len(clusters)
                 clusters.append(set())
+                founders.append(row["rank"])
             for word in words - clusters[number]:
                 places.setdefault(word, []).append(number)
             clusters[number] |= words
-            return {"ccir": row["ccir"], "cluster": number, "place": place, "item_id": row["item_id"]}
+            return {**{c: row[c] for c in by}, "founder": founders[number], "place": row["place"], "item_id": row["item_id"]}
 
         return step
 
-    rows = items.select("ccir", "item_id", F.coalesce("score", F.lit(0)).alias("score"), "words")
-    return fold(rows, ["ccir"], [F.col("score").desc(), "item_id"], start, "ccir string, cluster int, place int, item_id string")
-
-
-def resolve_entities(names: DataFrame, known: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """(name_norm, lang, entity_id, made): resolve names to entities, or make them.
-
-    `names` has name_norm, lang, entity_id (for a new entity), seq, embedding; `known` has entity_id,
-    name_norm, lang, embedding. A name with a known key takes its entity. The others come once each,
-    by `seq`: the nearest entity of any language at or above the threshold, the ones made before
-    included (the earlier one of equals), or a new one. Only names with unknown keys reach the fold,
-    which is one task by its nature; its state is the vectors of the entities.
-    """
-    known_keys = known.select("name_norm", "lang", F.col("entity_id").alias("_known"))
-    once = names.groupBy("name_norm", "lang").agg(F.min_by(F.struct("entity_id", "seq", "embedding"), "seq").alias("f")).select("name_norm", "lang", "f.*").filter("name_norm <> ''")
-    joined = once.join(known_keys, ["name_norm", "lang"], "left")
-    exact = joined.filter("_known is not null").select("name_norm", "lang", F.col("_known").alias("entity_id"), F.lit(False).alias("made"))
-
-    def start() -> Step:
-        ids: list[str] = []
-        vectors = _Rows()
-
-        def step(row: dict) -> dict | None:
-            vector = None if row["embedding"] is None else np.asarray(row["embedding"], np.float64)
-            length = 0.0 if vector is None else float(np.linalg.norm(vector))
-            if not row["_new"]:
-                if length:
-                    ids.append(row["entity_id"])
-                    vectors.add(vector / length)
-                return None
-            if length and ids:
-                similarity = np.round(vectors.matrix @ (vector / length), 9)
-                best = int(np.argmax(similarity))
-                if similarity[best] >= threshold:
-                    return {"name_norm": row["name_norm"], "lang": row["lang"], "entity_id": ids[best], "made": False}
-            if length:
-                ids.append(row["entity_id"])
-                vectors.add(vector / length)
-            return {"name_norm": row["name_norm"], "lang": row["lang"], "entity_id": row["entity_id"], "made": True}
-
-        return step
-
-    fresh = joined.filter("_known is null").select(F.lit(True).alias("_new"), "seq", "name_norm", "lang", "entity_id", "embedding")
-    old = known.select(F.lit(False).alias("_new"), F.lit(None).cast(fresh.schema["seq"].dataType).alias("seq"), "name_norm", "lang", "entity_id", "embedding")
-    made = fold(old.unionByName(fresh), [], ["_new", "seq", "entity_id"], start, "name_norm string, lang string, entity_id string, made boolean")
-    return exact.unionByName(made)
+    rows = neighbours.checkpointed(_placed(items, by, "words"))
+    return _folded(rows, _word_links(rows, by, least), by, start)
 
 
 def claim_alerts(attempts: DataFrame, ttl: int = 86_400_000_000) -> DataFrame:
@@ -273,19 +282,3 @@ def error_bursts(results: DataFrame, most: int = 10) -> DataFrame:
         return step
 
     return fold(results.select("queue", "seq", "ok"), ["queue"], ["seq"], start, "queue string, seq long")
-
-
-def link_entities(texts: Iterable[str], names: Iterable[str]) -> list[str]:
-    """Texts with the names as wiki links: longest first, at word boundaries, not in links or URLs."""
-    import re
-
-    patterns = [(re.compile(r"(?<!\[)\b" + re.escape(n) + r"\b(?!\])"), f"[[{n}]]") for n in sorted(names, key=len, reverse=True)]
-
-    def one(text: str) -> str:
-        parts = re.split(r"(https?://\S+)", text)
-        for i in range(0, len(parts), 2):
-            for pattern, link in patterns:
-                parts[i] = pattern.sub(lambda _, link=link: link, parts[i])
-        return "".join(parts)
-
-    return [one(t) for t in texts]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text, verdict
-from lantern.operators import aggregates, alerts, bus, entities, folds, store, vectors, views
+from lantern.operators import aggregates, alerts, bus, entities, folds, index, neighbours, resolution, store, vectors, views
 from lantern.plans import derive, records, registry, taxonomy
 from lantern.plans.registry import query
 from lantern.sources import mappers
@@ -283,13 +285,26 @@ def near_duplicate_window(spark, sf):
     return vectors.near_earlier(derive.item_embeddings(spark, sf), derive.TEST_SIMILARITY)
 
 
-@query(f"SELECT e.item_id, {_COS.format('v.embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} AS similarity FROM enriched e JOIN item_embeddings v USING (item_id) WHERE bucket <> 'skip' AND epoch(ts) >= {SINCE} ORDER BY similarity DESC, item_id LIMIT 50")
+_RECALL = f"SELECT e.item_id, {_COS.format('v.embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} AS similarity FROM enriched e JOIN item_embeddings v USING (item_id) WHERE bucket <> 'skip' AND epoch(ts) >= {SINCE} ORDER BY similarity DESC, item_id LIMIT 50"
+
+
+@query(_RECALL)
 def recall_topk(spark, sf):
     asked = derive.table(spark, sf, "embeddings").filter("vec_id = 0").first().embedding
     items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id")
     return vectors.recall(items, asked, since=F.timestamp_seconds(F.lit(SINCE))).select("item_id", "similarity")
 
 
+@query(_RECALL)
+def recall_indexed(spark, sf):
+    """The same from a persisted index, of which only the cells are read that may hold an answer."""
+    asked = derive.table(spark, sf, "embeddings").filter("vec_id = 0").first().embedding
+    items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id")
+    path = f"{neighbours.shared_folder(spark)}/recall-{uuid.uuid4().hex}"
+    index.build(items.select("item_id", "embedding", "bucket", "ccir", "ts"), path)
+    return index.recall(spark, path, asked, since=F.timestamp_seconds(F.lit(SINCE))).select("item_id", "similarity")
+
+
 @query(""", p AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT label, place - 1 AS place, round(avg(v), 6) AS value FROM p GROUP BY ALL""")
 def label_centroids(spark, sf):
@@ -525,11 +540,36 @@ def cluster_greedy_keyword(spark, sf):
     return folds.greedy_keywords(views.kept(derive.enriched(spark, sf)).withColumn("words", text.keywords("title")))
 
 
-@query()
+_RESOLVED = 0.97
+_PARTS = ", ".join(f"('0x' || substr(sha256(name_norm || ':{i // 16}'), {i % 16 * 4 + 1}, 4))::INTEGER / 65535" for i in range(16))
+
+
+@query(f""", named AS (
+  SELECT *, ('0x' || left(entity_id, 15))::BIGINT AS seq, ('0x' || right(entity_id, 1))::INTEGER % 4 = 0 AS known, list_transform([{_PARTS}], lambda x: x::FLOAT::DOUBLE) AS v FROM entities
+), ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY NOT known, CASE WHEN NOT known THEN seq END, entity_id) AS rank, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS unit FROM named
+), near AS MATERIALIZED (
+  SELECT a.rank AS later, b.rank AS earlier, round(list_inner_product(a.unit, b.unit), 9) AS similarity
+  FROM ranked a JOIN ranked b ON b.rank < a.rank AND NOT a.known WHERE list_inner_product(a.unit, b.unit) >= {_RESOLVED - 1e-8} AND round(list_inner_product(a.unit, b.unit), 9) >= {_RESOLVED}
+), rounds AS (
+  SELECT rank, CASE WHEN known THEN 1 ELSE 0 END AS state FROM ranked
+  UNION ALL
+  SELECT s.rank, CASE WHEN s.state <> 0 THEN s.state WHEN coalesce(p.led, false) THEN 2 WHEN coalesce(p.open, false) THEN 0 ELSE 1 END
+  FROM rounds s LEFT JOIN (SELECT later, bool_or(state = 1) AS led, bool_or(state = 0) AS open FROM near JOIN rounds r ON r.rank = earlier GROUP BY later) p ON p.later = s.rank
+  WHERE EXISTS (SELECT 1 FROM rounds WHERE state = 0)
+), leads AS (
+  SELECT DISTINCT rank FROM rounds WHERE state = 1
+), taken AS (
+  SELECT later, arg_min(earlier, (-similarity, earlier)) AS target FROM near JOIN leads ON rank = earlier WHERE later NOT IN (FROM leads) GROUP BY later
+)
+SELECT a.name_norm, a.lang, coalesce(b.entity_id, a.entity_id) AS entity_id, b.rank IS NULL AS made
+FROM ranked a LEFT JOIN taken ON later = a.rank LEFT JOIN ranked b ON b.rank = target WHERE NOT a.known""")
 def entity_resolution_fold(spark, sf):
+    """Names in the order of their ids; a quarter of them, by the last digit of the id, are known entities."""
     rows = derive.entities(spark, sf).withColumn("embedding", vectors.hashed_vector(F.col("name_norm"), 16))
-    place = F.pmod(F.xxhash64("entity_id"), F.lit(4))
-    return folds.resolve_entities(rows.filter(place > 0).withColumn("seq", F.xxhash64("entity_id")), rows.filter(place == 0), 0.97)
+    known = F.conv(F.right("entity_id", F.lit(1)), 16, 10).cast("int") % 4 == 0
+    names_ = rows.filter(~known).withColumn("seq", F.conv(F.left("entity_id", F.lit(15)), 16, 10).cast("long"))
+    return resolution.resolve_entities(names_, rows.filter(known), _RESOLVED)
 
 
 @query()

@@ -175,4 +175,4 @@ articles AS (
 
 def oracle(query: str) -> str:
     """A DuckDB query over the derived tables; further common table expressions may precede SELECT."""
-    return f"WITH {SQL}{query if query.lstrip().startswith(',') else ' ' + query}"
+    return f"WITH RECURSIVE {SQL}{query if query.lstrip().startswith(',') else ' ' + query}"

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text
-from lantern.operators import aggregates, alerts, entities, store, vectors, views
+from lantern.operators import aggregates, alerts, entities, ordering, store, vectors, views
 from lantern.plans import derive, taxonomy
 from lantern.plans.registry import query
 from lantern.sources import mappers
@@ -126,15 +126,32 @@ def video_items(spark, sf):
     return mappers.video_items(rows).select("id", "source", "url", "title", "summary", "body", "blob_hash")
 
 
-@query("""SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'freshrss' ELSE 'author ' || page_id % 7 END AS source, CASE WHEN page_id % 4 = 0 THEN 'fever://item/' || page_id ELSE url END AS url,
-  CASE WHEN page_id % 5 = 0 THEN '(untitled)' ELSE 'title ' || page_id END AS title, 1700000000 + page_id * 61 AS ts, 'A & B ' || page_id || ' end' AS summary FROM pages""")
+def _referenced(column: str):
+    """A text with characters as references: named, decimal, hexadecimal, and wide spaces after points."""
+    out = F.col(column)
+    for plain, reference in (("&", "&#38;"), ("a", "&#97;"), ("u", "&#x75;"), ("o", "&ouml;"), (". ", ".&nbsp;"), ("<", "&lt;")):
+        out = F.replace(out, F.lit(plain), F.lit(reference))
+    return out
+
+
+#: What `_referenced` stands for, without tags and with single spaces.
+_WIDE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_PLAIN_HTML = r"regexp_replace(regexp_replace(replace({}, 'o', 'ö'), '<[^>]+>', ' ', 'g'), '" + _WIDE + "', ' ', 'g')"
+
+
+_FEED_HTML = _PLAIN_HTML.replace("replace({}, 'o', 'ö')", "'<p>' || replace(coalesce(text, ''), 'o', 'ö') || '</p>  end'")
+
+
+@query(f"""SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'freshrss' ELSE 'author ' || page_id % 7 END AS source, CASE WHEN page_id % 4 = 0 THEN 'fever://item/' || page_id ELSE url END AS url,
+  CASE WHEN page_id % 5 = 0 THEN '(untitled)' ELSE 'title ' || page_id END AS title, 1700000000 + page_id * 61 AS ts, left(trim({_FEED_HTML}), 500) AS summary FROM pages LEFT JOIN documents ON doc_id = page_id""")
 def feed_items(spark, sf):
-    """Entries of a feed reader with blank authors, titles and URLs."""
+    """Entries of a feed reader with blank authors, titles and URLs; their HTML holds the documents' texts."""
     n = F.col("page_id")
-    rows = derive.table(spark, sf, "pages").select(
+    joined = derive.table(spark, sf, "pages").join(derive.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), "text"), "page_id", "left")
+    rows = joined.select(
         n.alias("id"), F.when(n % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("author "), (n % 7).cast("string"))).alias("author"),
         F.when(n % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("title "), n.cast("string"))).alias("title"), F.when(n % 4 != 0, F.col("url")).alias("url"),
-        F.concat(F.lit("<![CDATA[<p>A &amp; B  "), n.cast("string"), F.lit("</p>]]><br/>end Stikkord: null")).alias("html"), (n * 61 + 1700000000).alias("created_on_time"),
+        F.concat(F.lit("<![CDATA[<p>"), F.coalesce(_referenced("text"), F.lit("")), F.lit("</p>]]><br/>end Stikkord: null")).alias("html"), (n * 61 + 1700000000).alias("created_on_time"),
     )
     return mappers.feed_items(rows).select("id", "source", "url", "title", F.unix_seconds("ts").alias("ts"), "summary")
 
@@ -177,6 +194,13 @@ def cluster_given(spark, sf):
     return aggregates.clustered(items)
 
 
+@query()
+def cluster_windows(spark, sf):
+    """Ten days of three sections, a day a window, from the stored items to their clusters."""
+    items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id", "left")
+    return aggregates.clustered_windows(items, ["ffir-1", "PIR-3", "Pir-1"], _at(NOW - 240 * 3600), 24, derive.TEST_SIMILARITY)
+
+
 # --- Entities ------------------------------------------------------------------------------------
 
 
@@ -213,7 +237,7 @@ def entities_by_links(spark, sf):
 @query("SELECT name, lang, row_number() OVER (ORDER BY lower(name), name, lang) AS place FROM (SELECT DISTINCT source || '/' || upper(lang) AS name, lang FROM articles)")
 def names_without_case(spark, sf):
     rows = derive.articles(spark, sf).select(F.concat("source", F.lit("/"), F.upper("lang")).alias("name"), "lang").distinct()
-    return aggregates.top_per_group(entities.by_name(rows).withColumn("_all", F.lit(0)), "_all", 2**31 - 1, [F.lower("name").asc(), F.col("name").asc(), F.col("lang").asc()]).select("name", "lang", F.col("rank").alias("place"))
+    return ordering.numbered(rows, [], [F.lower("name"), "name", "lang"], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 _ENTITY_SIDE = ", es AS (SELECT 'e' || vec_id AS entity_id, embedding AS b FROM embeddings WHERE vec_id BETWEEN 100 AND 139)"
@@ -281,13 +305,21 @@ def tag_counts(spark, sf):
 # --- Text, JSON and dates ------------------------------------------------------------------------
 
 
-@query("SELECT page_id, 'A & B ' || page_id || ' \"x\" it''s end' AS text FROM pages")
+@query(f"SELECT doc_id, left(trim({_PLAIN_HTML.replace('{}', 'text')}), 500) AS text FROM documents WHERE text IS NOT NULL")
 def html_text(spark, sf):
-    html = F.concat(F.lit("&lt;p&gt;A &amp; B<b>  <i id='x'> "), F.col("page_id").cast("string"), F.lit("</b> &quot;x&quot;\n it&#39;s <![CDATA[end]]></p> Stikkord: null "))
-    return derive.table(spark, sf, "pages").select("page_id", text.html_to_text(html).alias("text"))
+    """Every document as HTML in which characters stand as references of all kinds."""
+    html = F.concat(F.lit("&lt;p&gt;"), _referenced("text"), F.lit("<b></b> <![CDATA[]]></p> Stikkord: null "))
+    return derive.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", text.html_to_text(html).alias("text"))
+
+
+@query(f"SELECT item_id, trim(regexp_replace(body, '{_WIDE}', ' ', 'g')) AS text FROM articles")
+def wide_spaces(spark, sf):
+    """Texts whose spaces are no-break, em and ideographic ones by turns."""
+    wide = F.replace(F.replace(F.replace("body", F.lit(" a"), F.lit("\u00a0a")), F.lit(" i"), F.lit("\u2003\u3000i")), F.lit(" o"), F.lit("\x1c o"))
+    return derive.articles(spark, sf).select("item_id", text.collapse(wide).alias("text"))
 
 
-@query(r"SELECT item_id, left(trim(regexp_replace(body, '\s+', ' ', 'g')), 500) AS snippet FROM articles")
+@query(f"SELECT item_id, left(trim(regexp_replace(body, '{_WIDE}', ' ', 'g')), 500) AS snippet FROM articles")
 def snippets(spark, sf):
     return derive.articles(spark, sf).select("item_id", text.snippet("body").alias("snippet"))
 
@@ -301,27 +333,29 @@ def base64url_texts(spark, sf):
 @query("SELECT item_id, trim(title) AS answer FROM articles")
 def answers_without_thinking(spark, sf):
     raw = F.concat(F.lit("<think>let me\nsee</think>\n"), "title", F.lit(" <think></think>"))
-    trimmed = F.trim(text.strip_thinking(F.regexp_replace(raw, "^<think>", "<think>")))
+    trimmed = F.trim(text.strip_thinking(raw))
     return derive.articles(spark, sf).select("item_id", F.regexp_replace(trimmed, r"^\s+", "").alias("answer"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN '{\"n\":' || event_id || '}' END AS payload FROM events")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS text, doc_id % 5 <> 0 AS held FROM documents")
 def tool_payloads(spark, sf):
-    """Answers of a tool that wrap JSON text; every fifth one holds something else."""
-    inner = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit('{\\"n\\":'), F.col("event_id").cast("string"), F.lit("}"))).otherwise("no json {")
-    raw = F.concat(F.lit('{"result": {"content": [{"type": "text", "text": "'), inner, F.lit('"}]}}'))
-    return derive.table(spark, sf, "events").select("event_id", text.tool_payload(raw).alias("payload"))
+    """Answers of a tool that wrap each document as JSON text; every fifth one holds something else."""
+    inner = F.when(F.col("doc_id") % 5 != 0, F.to_json(F.struct("text"))).otherwise("no json {")
+    raw = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), inner.alias("text"))).alias("content")).alias("result")))
+    payload = text.tool_payload(raw)
+    return derive.table(spark, sf, "documents").select("doc_id", F.get_json_object(payload, "$.text").alias("text"), payload.isNotNull().alias("held"))
 
 
-@query("SELECT item_id, CASE doc_id % 3 WHEN 0 THEN title WHEN 1 THEN 'first' END AS text FROM articles")
+@query("SELECT item_id, CASE WHEN doc_id % 10 <> 9 THEN nullif(body, '') END AS text FROM articles")
 def mail_texts(spark, sf):
-    """Mails with a plain part below others, with several, and with none."""
-    coded = F.translate(F.regexp_replace(F.base64(F.col("title").cast("binary")), r"[=\r\n]", ""), "+/", "-_")
-    deep = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":[{"mimeType":"text/html","body":{"data":"eA"}},{"mimeType":"multipart/alternative","parts":[{"mimeType":"text/plain","body":{"data":"'), coded, F.lit('"}}]}]}'))
-    several = F.lit('{"mimeType":"multipart/mixed","parts":[{"mimeType":"text/plain","body":{"data":"Zmlyc3Q"}},{"mimeType":"text/plain","body":{"data":"c2Vjb25k"}}]}')
-    none = F.lit('{"mimeType":"text/html","body":{"data":"eA"}}')
-    payload = F.when(F.col("doc_id") % 3 == 0, deep).when(F.col("doc_id") % 3 == 1, several).otherwise(none)
-    return derive.articles(spark, sf).select("item_id", text.mail_text(payload).alias("text"))
+    """Every document as a mail: its text nine levels deep at most, before another one and after HTML, or no plain part at all."""
+    coded = F.translate(F.regexp_replace(F.base64(F.col("body").cast("binary")), r"[=\r\n]", ""), "+/", "-_")
+    html = '{"mimeType":"text/html","body":{"data":"eA"}}'
+    part = F.when(F.col("doc_id") % 10 != 9, F.concat(F.lit('{"mimeType":"text/plain","body":{"data":"'), F.coalesce(coded, F.lit("")), F.lit('"}}'))).otherwise(html)
+    depth = (F.col("doc_id") % 10).cast("int")
+    opened, closed = f'{{"mimeType":"multipart/mixed","parts":[{html},', ',{"mimeType":"text/plain","body":{"data":""}}]}'
+    part = F.concat(F.repeat(F.lit(opened), depth), part, F.repeat(F.lit(closed), depth))
+    return derive.articles(spark, sf).select("item_id", text.mail_text(part).alias("text"))
 
 
 @query("SELECT item_id, 'see [[Acme Corp]] and [[Acme]], [Acme] http://acme/Acme not Acmeist ' || doc_id AS text FROM articles")
@@ -330,23 +364,28 @@ def wiki_linked(spark, sf):
     return derive.articles(spark, sf).select("item_id", text.wiki_links(raw, ["Acme", "Acme Corp"]).alias("text"))
 
 
-@query("SELECT item_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS shown, epoch(ts)::BIGINT AS parsed FROM articles WHERE epoch(ts) < 1711846800")
+_SUNDAY = "(make_date(year(t), {0}, 31) - dayofweek(make_date(year(t), {0}, 31))::INTEGER)::TIMESTAMP + INTERVAL 1 HOUR"
+
+
+@query(f""", t AS (SELECT item_id, make_timestamp(({derive.EPOCH} + doc_id * {derive.STEP} * 9) * 1000000) AS t FROM articles)
+SELECT item_id, strftime(t + CASE WHEN t >= {_SUNDAY.format(3)} AND t < {_SUNDAY.format(10)} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M') AS shown, epoch(t)::BIGINT AS parsed FROM t""")
 def report_times(spark, sf):
-    """ISO times with Z, read and shown in the reports' zone (winter time)."""
-    rows = derive.articles(spark, sf).filter(F.unix_seconds("ts") < 1711846800)
-    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    parsed = F.try_to_timestamp(iso)
-    return rows.select("item_id", F.date_format(F.from_utc_timestamp(parsed, "Europe/Oslo"), "yyyy-MM-dd HH:mm").alias("shown"), F.unix_seconds(parsed).alias("parsed"))
+    """ISO times with Z over all seasons, read and shown in the reports' zone, summer time included."""
+    at = F.timestamp_seconds(F.lit(derive.EPOCH) + F.col("doc_id") * (derive.STEP * 9))
+    parsed = F.try_to_timestamp(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    return derive.articles(spark, sf).select("item_id", F.date_format(F.from_utc_timestamp(parsed, "Europe/Oslo"), "yyyy-MM-dd HH:mm").alias("shown"), F.unix_seconds(parsed).alias("parsed"))
 
 
-_EXAMPLES = [("both", ["PIR-1", "FFIR-2"]), ("retired", ["PIR-1", "SIR-2"]), ("one", ["FFIR-4"]), ("none", [])]
+_EVERY = [r.id for r in taxonomy.REQUIREMENTS]
 
 
-@query(", ex AS (SELECT unnest(['both','retired','one','none']) AS example, unnest([['PIR-1','FFIR-2'],['PIR-1','SIR-2'],['FFIR-4'],[]]) AS ids) SELECT example, array_to_string(ids, '|') AS ids FROM ex WHERE len(list_filter(ids, lambda i: NOT list_contains({0}, i))) = 0".replace("{0}", str(list(taxonomy.ACTIVE_IDS))))
+@query(f""", ex AS (SELECT doc_id, list_distinct([{_EVERY}[doc_id % 13 + 1], {_EVERY}[doc_id * 5 % 13 + 1]]) AS ids FROM documents)
+SELECT doc_id, array_to_string(list_sort(ids), '|') AS ids FROM ex WHERE len(list_filter(ids, lambda i: NOT list_contains({list(taxonomy.ACTIVE_IDS)}, i))) = 0""")
 def taxonomy_examples(spark, sf):
-    """Examples of the scoring guide that name active requirements only."""
-    rows = spark.createDataFrame(_EXAMPLES, "example string, ids array<string>")
-    return taxonomy.active_examples(rows).withColumn("ids", F.array_join("ids", "|"))
+    """Documents as examples of the scoring guide, under one requirement or two: those that name active ones only."""
+    pick = lambda place: derive._pick(_EVERY, place)
+    rows = derive.table(spark, sf, "documents").select("doc_id", F.array_distinct(F.array(pick(F.col("doc_id") % 13), pick(F.col("doc_id") * 5 % 13))).alias("ids"))
+    return taxonomy.active_examples(rows).select("doc_id", F.array_join(F.array_sort("ids"), "|").alias("ids"))
 
 
 # --- Recall and vault reports --------------------------------------------------------------------

@@ -77,14 +77,6 @@ def test_greedy_keywords(spark):
     assert clusters(folds.greedy_keywords(frame).collect()) == [["1", "2", "3"], ["4"], ["5"], ["6"]]
 
 
-def test_entities_are_resolved_in_order(spark):
-    known = spark.createDataFrame([("k1", "nato", "en", [1.0, 0.0])], "entity_id string, name_norm string, lang string, embedding array<float>")
-    names = [("nato", "en", "n1", 1, [0.0, 1.0]), ("нато", "ru", "n2", 2, at_cosine(0.93)), ("norge", "no", "n3", 3, at_cosine(0.5)), ("norway", "en", "n4", 4, at_cosine(0.5)), ("x", "en", "n5", 5, None), ("", "en", "n6", 6, None), ("x", "en", "n7", 7, None)]
-    frame = spark.createDataFrame(names, "name_norm string, lang string, entity_id string, seq long, embedding array<float>")
-    got = {(r.name_norm, r.lang): (r.entity_id, r.made) for r in folds.resolve_entities(frame, known).collect()}
-    assert got == {("nato", "en"): ("k1", False), ("нато", "ru"): ("k1", False), ("norge", "no"): ("n3", True), ("norway", "en"): ("n3", False), ("x", "en"): ("n5", True)}
-
-
 def test_claims_at_the_edge_of_their_time(spark):
     day = 86_400 * SECOND
     rows = [(1, "a", 0), (2, "a", day - 1), (3, "a", day), (4, "b", 5), (5, "a", 2 * day - 1), (6, "a", 2 * day)]
@@ -135,8 +127,3 @@ def test_near_earlier_edges(spark):
     frame = spark.createDataFrame(rows, "item_id string, s long, embedding array<float>").withColumn("created_at", F.timestamp_seconds("s"))
     got = {r.item_id: r.duplicate_of for r in vectors.near_earlier(frame, 0.9).collect()}
     assert got == {"b": "a", "d": "c"}
-
-
-def test_entity_links_in_text():
-    text = "Ukraine and Ukrainian at https://cw.no/Ukraine but [[Ukraine]] and cw.no"
-    assert folds.link_entities([text], ["Ukraine", "cw.no"]) == ["[[Ukraine]] and Ukrainian at https://cw.no/Ukraine but [[Ukraine]] and [[cw.no]]"]
