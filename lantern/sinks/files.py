@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable
 from html import escape
 from pathlib import Path
@@ -102,24 +103,36 @@ def write_digests(folder: str | Path, items: DataFrame, members: DataFrame, synt
 
 
 def write_notes(folder: str | Path, items: DataFrame) -> int:
-    """A note for each kept item; returns how many."""
+    """A note for each kept item, named after its id; the tasks write them (`notes`). Returns how many there are."""
     from lantern.operators import views
+    from lantern.sinks import notes
 
-    rows = views.vault_keep(items).select(T.note_name("item_id").alias("name"), "title", "url", "ccir", "score", "why")
-    n = 0
-    for r in rows.toLocalIterator():
-        replace_file(Path(folder) / r.name, f"---\nccir: {r.ccir}\nscore: {r.score}\nurl: {r.url}\n---\n# {r.title}\n\n{r.why or ''}\n")
-        n += 1
-    return n
+    kept = views.vault_keep(items)
+    notes.write(notes.item_notes(kept), str(folder))
+    return kept.count()
+
+
+def atom_document(title: str, updated: str, entries: list, feed_id: str | None = None) -> str:
+    """An Atom feed of entries with id, title, url, at and summary."""
+    feed = ET.Element("feed", xmlns="http://www.w3.org/2005/Atom")
+    for name, value in (("title", title), ("updated", updated), ("id", feed_id)):
+        if value is not None:
+            ET.SubElement(feed, name).text = value
+    for e in entries:
+        entry = ET.SubElement(feed, "entry")
+        ET.SubElement(entry, "id").text = e["id"]
+        ET.SubElement(entry, "title").text = e["title"] or ""
+        ET.SubElement(entry, "link", href=e["url"] or "")
+        ET.SubElement(entry, "updated").text = e["at"]
+        ET.SubElement(entry, "summary").text = e["summary"] or ""
+    return '<?xml version="1.0" encoding="utf-8"?>\n' + ET.tostring(feed, encoding="unicode") + "\n"
 
 
 def atom_feed(items: DataFrame, title: str, limit: int = 50) -> str:
     """An Atom feed of the newest feed and video items; its time is the newest item's."""
     rows = items.filter(F.col("source_type").isin("rss", "yt")).orderBy(F.col("ts").desc(), F.col("item_id").desc()).limit(limit)
-    rows = rows.select("item_id", "title", "url", "summary", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")).collect()
-    entry = lambda r: f"<entry><id>urn:sha256:{r.item_id}</id><title>{escape(r.title or '')}</title><link href=\"{escape(r.url or '')}\"/><updated>{r.at}</updated><summary>{escape(r.summary or '')}</summary></entry>"
-    updated = rows[0]["at"] if rows else "1970-01-01T00:00:00Z"
-    return f'<?xml version="1.0" encoding="utf-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom"><title>{escape(title)}</title><updated>{updated}</updated>{"".join(map(entry, rows))}</feed>\n'
+    entries = rows.select(F.concat(F.lit("urn:sha256:"), "item_id").alias("id"), "title", "url", "summary", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")).collect()
+    return atom_document(title, entries[0]["at"] if entries else "1970-01-01T00:00:00Z", entries)
 
 
 def working_subscriptions(feeds: DataFrame) -> str:
