@@ -73,6 +73,29 @@ def mean_pooled(vectors: list[list[float]], mask: list[int]) -> list[float]:
     return (mean / length if length else mean).tolist()
 
 
+#: Tokens that a heavy backend is given at least, since it thinks before it answers; fixed value.
+HEAVY_TOKENS = 4096
+
+
+def synthesizer(backends: dict[str, Callable[[str, int], str]], name: str, tokens: int = 800) -> Callable[[Column], Column]:
+    """An article for a prompt, by the backend of that name; a `heavy` one gets HEAVY_TOKENS at least. An error gives null."""
+    if name not in backends:
+        raise ValueError(f"no backend {name!r}: {', '.join(sorted(backends))}")
+    answer, most = backends[name], max(tokens, HEAVY_TOKENS) if name == "heavy" else tokens
+
+    @F.pandas_udf("string")
+    def call(prompts: pd.Series) -> pd.Series:
+        def one(prompt: str | None) -> str | None:
+            try:
+                return answer(prompt or "", most)
+            except Exception:
+                return None
+
+        return prompts.map(one)
+
+    return call.asNondeterministic()
+
+
 def translator(translate: Callable[[str], str]) -> Callable[[Column], Column]:
     """A translation of a text; a text without anything to translate stays as it is, and an error fails the job."""
 

@@ -13,10 +13,13 @@ DOMAIN_PATTERN = r"^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"
 
 
 def normalize_name(name: Column) -> Column:
-    """The key of a name: lower case, no punctuation, no trailing run of `'` and `s`, single spaces."""
+    """The key of a name: lower case, no punctuation, no trailing run of `'` and `s`, single spaces.
+
+    A single word of plain letters is its own key, which spares most names all but one look.
+    """
     out = F.regexp_replace(F.lower(F.trim(name)), r"(?U)[^\w\s'-]+", "")
     out = F.regexp_replace(out, "['s]+$", "")
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return F.when(name.rlike("^[a-z0-9]*[a-rt-z0-9]$"), name).otherwise(F.trim(F.regexp_replace(out, r"(?U)\s+", " ")))
 
 
 def is_noise(name: Column, own_names: Iterable[str] = ()) -> Column:

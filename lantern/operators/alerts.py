@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import identity, text
+from lantern.operators import ordering
 
 
 def urgent(items: DataFrame) -> DataFrame:
@@ -50,6 +51,15 @@ def digest_groups(state: DataFrame) -> DataFrame:
     return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("fired_at").alias("first_at"), F.transform(F.array_sort(F.collect_list(F.struct("fired_at", "item_id"))), lambda s: s["item_id"]).alias("items"))
 
 
+def undigested(state: DataFrame) -> DataFrame:
+    """The alerts that are suppressed and not digested yet, in the digest's order: domain, nulls last, then time.
+
+    `place` numbers them from 0. The rows stay rows, however many there are; `digest_groups` is for a digest that one message holds.
+    """
+    rows = state.filter("suppressed and digested_at is null")
+    return ordering.numbered(rows, [], [F.col("pmesii").asc_nulls_last(), F.col("fired_at").asc(), F.col("seq").asc()], "place")
+
+
 def mark_digested(state: DataFrame, sent: DataFrame, at) -> DataFrame:
     """The state after a digest of the alerts in `sent` (dedupe_id)."""
     hit = sent.select("dedupe_id", F.lit(True).alias("_sent")).distinct()

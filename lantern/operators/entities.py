@@ -49,6 +49,27 @@ def active(entities: DataFrame, links: DataFrame, items: DataFrame, since=None,
     return out.join(_aliases(joined), "entity_id", "left") if aliases else out
 
 
+def activity(mentions: DataFrame, since=None) -> DataFrame:
+    """(name_norm, lang, first_seen, last_seen, items, ccirs): `active` over mentions that carry their item's time and requirement.
+
+    `mentions` has name_norm, lang, ts, ccir and `first`, true for one mention of an entity in each item.
+    Where items and their mentions come from one table, nothing needs to be joined or made distinct:
+    rows are counted by requirement before they are shuffled, and entities by their few rows after that.
+    """
+    rows = mentions.filter("first") if since is None else mentions.filter(F.col("first") & (F.col("ts") >= since))
+    by_ccir = rows.groupBy("name_norm", "lang", "ccir").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return by_ccir.groupBy("name_norm", "lang").agg(
+        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"), F.sum("_n").alias("items"), F.array_sort(F.collect_list("ccir")).alias("ccirs")
+    )
+
+
+def alias_counts(mentions: DataFrame) -> DataFrame:
+    """(name_norm, lang, aliases, link_count): `with_aliases` over such mentions, with a column `mention`."""
+    spelled = mentions.groupBy("name_norm", "lang", "mention").agg(F.count_if("first").alias("_n"))
+    alias = F.concat("mention", F.lit(" ("), "lang", F.lit(")"))
+    return spelled.groupBy("name_norm", "lang").agg(F.array_sort(F.collect_list(alias)).alias("aliases"), F.sum("_n").alias("link_count"))
+
+
 def most_active(active_entities: DataFrame, n: int = 500) -> DataFrame:
     return active_entities.orderBy(F.col("items").desc(), "name_norm", "lang").limit(n)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in `spark.checkpoint.dir`, as `shared_folder` has it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """`df` written as Parquet to the folder in `spark.checkpoint.dir` (see `shared_folder`) and read back: computed once, lineage cut."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shape(threshold: float, recall: float = RECALL) -> tuple[int, int]:

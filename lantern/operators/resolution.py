@@ -19,11 +19,15 @@ The result is that of the sequential rule. Names with equal vectors count as one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.functions import names, verdict
+from lantern.functions import text as T
 from lantern.operators import neighbours, tiles, vectors
 
 #: Names that are settled in order at the beginning; the only ones the driver sees.
@@ -115,10 +119,10 @@ def _leaders(fresh: DataFrame, threshold: float, recall: float | None, log: list
     return firsts.union(rest.select("rank").join(followers, "rank", "left_anti"))
 
 
-def resolve_entities(names: DataFrame, known: DataFrame, threshold: float = vectors.ENTITY, recall: float | None = None, log: list[int] | None = None) -> DataFrame:
-    """(name_norm, lang, entity_id, made): resolve names to entities, or make them.
+def resolve_entities(mentions: DataFrame, known: DataFrame, threshold: float = vectors.ENTITY, recall: float | None = None, log: list[int] | None = None) -> DataFrame:
+    """(name_norm, lang, entity_id, made): resolve names of mentions to entities, or make them.
 
-    `names` has name_norm, lang, entity_id (for a new entity), seq, embedding; `known` has entity_id,
+    `mentions` has name_norm, lang, entity_id (for a new entity), seq, embedding; `known` has entity_id,
     name_norm, lang, embedding. A name with a known key takes its entity. The others come once each,
     by `seq`: the nearest entity of any language at or above the threshold, the ones made before
     included (the earlier one of equals), or a new one. Null vectors, and those without a length or
@@ -130,7 +134,7 @@ def resolve_entities(names: DataFrame, known: DataFrame, threshold: float = vect
     the products where the threshold is high and misses a pair at it with a probability of 1 - recall.
     """
     known_keys = known.select("name_norm", "lang", F.col("entity_id").alias("_known"))
-    once = names.groupBy("name_norm", "lang").agg(F.min_by(F.struct("entity_id", "seq", "embedding"), F.struct("seq", "entity_id")).alias("f")).select("name_norm", "lang", "f.*").filter("name_norm <> ''")
+    once = mentions.groupBy("name_norm", "lang").agg(F.min_by(F.struct("entity_id", "seq", "embedding"), F.struct("seq", "entity_id")).alias("f")).select("name_norm", "lang", "f.*").filter("name_norm <> ''")
     joined = neighbours.checkpointed(once.join(known_keys, ["name_norm", "lang"], "left"))
     exact = joined.filter("_known is not null").select("name_norm", "lang", F.col("_known").alias("entity_id"), F.lit(False).alias("made"))
 
@@ -153,3 +157,26 @@ def resolve_entities(names: DataFrame, known: DataFrame, threshold: float = vect
     taken = nearest.join(rows.select(F.col("rank").alias("target"), F.col("entity_id").alias("_taken")), "target").select("rank", "_taken")
     made = rows.filter("new").join(taken, "rank", "left")
     return exact.unionByName(made.select("name_norm", "lang", F.coalesce("_taken", "entity_id").alias("entity_id"), F.col("_taken").isNull().alias("made")))
+
+
+def link_items(items: DataFrame, known: DataFrame, find: Callable[[Column], Column], embed: Callable[[Column], Column], threshold: float = vectors.ENTITY, own_names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(new entities, links) of items: their entities found, cleared of noise, resolved in the items' order, and linked.
+
+    `items` has item_id, ts, title, summary, lang; `known` entity_id, name_norm, lang, embedding. `find` gives a
+    model's raw list for a text ('' for a failure, which then links nothing), `embed` a vector or null for a
+    name. New entities have entity_id, name, name_norm, lang, type, embedding; links entity_id, item_id,
+    mention, lang, each once.
+    """
+    lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit("en"))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), T.clean_for_embedding(F.coalesce("summary", F.lit(""))))
+    found = neighbours.checkpointed(items.select("item_id", "ts", lang.alias("lang"), find(text).alias("raw")))
+    mentions = found.select("item_id", "ts", "lang", F.posexplode(verdict.entities(F.coalesce("raw", F.lit("")))).alias("at", "e"))
+    mentions = mentions.select("item_id", "ts", "lang", "at", F.col("e.name").alias("mention"), F.col("e.type").alias("type"), names.normalize_name(F.col("e.name")).alias("name_norm"))
+    mentions = neighbours.checkpointed(mentions.filter(~names.is_noise(F.col("mention"), own_names) & (F.col("name_norm") != "")))
+    first = mentions.groupBy("name_norm", "lang").agg(F.min_by(F.struct(F.struct("ts", "item_id", "at").alias("seq"), F.col("mention").alias("name"), "type"), F.struct("ts", "item_id", "at")).alias("f"))
+    key = F.left(F.sha2(F.concat("name_norm", F.lit("\0"), "lang"), 256), F.lit(16))
+    once = neighbours.checkpointed(first.select("name_norm", "lang", "f.*", key.alias("entity_id"), embed(F.col("name_norm")).alias("embedding")))
+    resolved = neighbours.checkpointed(resolve_entities(once, known, threshold))
+    made = resolved.filter("made").select("name_norm", "lang").join(once, ["name_norm", "lang"]).select("entity_id", "name", "name_norm", "lang", "type", "embedding")
+    links = mentions.join(resolved.select("name_norm", "lang", "entity_id"), ["name_norm", "lang"]).select("entity_id", "item_id", "mention", "lang").distinct()
+    return made, links

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -137,3 +137,19 @@ def near_forest(rows: DataFrame, threshold: float) -> DataFrame:
         return {"u": ranks[moved], "v": ranks[top[moved]]}
 
     return compare(rows, rows, keep, "u long, v long", half=True)
+
+
+def top_k(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(rank, target, similarity, place): the `k` nearest of the `targets` for each of `rows` (both tiles, staged); of equals the least rank.
+
+    Of each pair of tiles at most k rows are kept for each row.
+    """
+
+    def keep(ranks: np.ndarray, vectors: np.ndarray, target_ranks: np.ndarray, target_vectors: np.ndarray) -> dict:
+        found = np.round(vectors @ target_vectors.T, 6)
+        order = np.argsort(-found, axis=1, kind="stable")[:, :k]  # targets come by rank
+        return {"rank": np.repeat(ranks, order.shape[1]), "target": target_ranks[order].ravel(), "similarity": np.take_along_axis(found, order, axis=1).ravel()}
+
+    best = compare(rows, targets, keep, "rank long, target long, similarity double")
+    by_place = Window.partitionBy("rank").orderBy(F.col("similarity").desc(), "target")
+    return best.withColumn("place", F.row_number().over(by_place)).filter(F.col("place") <= k)

@@ -30,21 +30,43 @@ def _normed(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_norm", norm(F.col(column)))
 
 
-def nearest(items: DataFrame, targets: DataFrame, target_id: str, max_targets: int = 100_000) -> DataFrame:
+#: Bytes of the targets' vectors that are sent to every task.
+MOST_BYTES = 64 << 20
+
+
+def nearest(items: DataFrame, targets: DataFrame, target_id: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Add the nearest target and its similarity (6 places; of equal ones the least id) to each item.
 
-    The targets are a registry; they are broadcast after a check of their number, and each item is
-    compared where it lies, so the plan has no shuffle of the items.
+    Up to `most_bytes` of vectors, targets are broadcast, and each item is compared where it lies, so that the
+    plan has no shuffle of the items. More targets meet the items in tiles, with the same result.
     """
-    if targets.count() > max_targets:
-        raise ValueError(f"more than {max_targets} targets: use `near_pairs` with a blocking key")
+    size = targets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims")).first()
+    if size.n * max(size.dims, 1) * 8 > most_bytes:
+        return _nearest_in_tiles(items, targets, target_id)
     side = _normed(targets.select(F.col(target_id), F.col("embedding").alias("_target")), "_target")
     every = F.broadcast(side.agg(F.collect_list(F.struct(target_id, "_target", "_norm")).alias("_targets")))
     rows = _normed(items, "embedding").crossJoin(every)  # one row on the right: no product
     scored = F.transform("_targets", lambda t: F.struct((-F.round(cosine(F.col("embedding"), t["_target"], F.col("_norm"), t["_norm"]), 6)).alias("far"), t[target_id].alias(target_id)))
     out = rows.withColumn("_best", F.array_min(scored))
-    similarity = F.when(F.col("embedding").isNotNull(), -F.col("_best")["far"])
-    return out.withColumn(target_id, F.col("_best")[target_id]).withColumn("similarity", similarity).drop("_targets", "_best", "_norm")
+    has = F.col("embedding").isNotNull()
+    return out.withColumn(target_id, F.when(has, F.col("_best")[target_id])).withColumn("similarity", F.when(has, -F.col("_best")["far"])).drop("_targets", "_best", "_norm")
+
+
+def _nearest_in_tiles(items: DataFrame, targets: DataFrame, target_id: str) -> DataFrame:
+    """`nearest` by matrix products; vectors without a length are similar to nothing, with 0, and met apart."""
+    from lantern.operators import ordering, tiles
+
+    has = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    rows = neighbours.checkpointed(items.withColumn("_row", F.monotonically_increasing_id()))
+    held = neighbours.checkpointed(ordering.numbered(targets.filter(has).select(target_id, F.col("embedding").alias("vector")), [], [target_id], "rank"))
+    asked = rows.filter(has).select(F.col("_row").alias("rank"), F.col("embedding").alias("vector"))
+    found = tiles.top_k(neighbours.checkpointed(tiles.tiles(asked)), neighbours.checkpointed(tiles.tiles(held)), 1)
+    named = found.join(held.select(F.col("rank").alias("target"), F.col(target_id).alias("_id")), "target").select(F.col("rank").alias("_row"), F.struct((-F.col("similarity")).alias("far"), "_id").alias("_near"))
+    least = targets.agg(F.min(target_id).alias("_least"), F.min(F.when(~has & F.col("embedding").isNotNull(), F.col(target_id))).alias("_flat"))
+    out = rows.join(named, "_row", "left").crossJoin(F.broadcast(least))  # one row
+    flat = lambda id: F.when(id.isNotNull(), F.struct(F.lit(-0.0).alias("far"), id.alias("_id")))
+    best = F.when(has, F.array_min(F.array_compact(F.array("_near", flat(F.col("_flat")))))).when(F.col("embedding").isNotNull(), flat(F.col("_least")))
+    return out.withColumn("_best", best).withColumn(target_id, F.col("_best")["_id"]).withColumn("similarity", -F.col("_best")["far"]).drop("_row", "_near", "_least", "_flat", "_best")
 
 
 def nearest_entity(items: DataFrame, entities: DataFrame, threshold: float = ENTITY) -> DataFrame:

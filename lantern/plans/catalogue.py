@@ -329,14 +329,14 @@ def threshold_sweep(spark, sf):
 
 @query("SELECT e.entity_id, e.name_norm, e.lang, coalesce(list_aggregate(list_sort(list(DISTINCT mention || ' (' || l.lang || ')') FILTER (mention IS NOT NULL)), 'string_agg', '|'), '') AS aliases, count(DISTINCT item_id) AS link_count FROM entities e LEFT JOIN entity_links l USING (entity_id) GROUP BY 1, 2, 3")
 def entity_aliases(spark, sf):
-    rows = entities.with_aliases(*derive.entity_graph(spark, sf))
-    return rows.select("entity_id", "name_norm", "lang", _joined("aliases").alias("aliases"), "link_count")
+    rows = entities.alias_counts(derive.item_mentions(spark, sf))
+    return rows.select(derive.entity_id("name_norm", "lang").alias("entity_id"), "name_norm", "lang", _joined("aliases").alias("aliases"), "link_count")
 
 
 @query(f"SELECT entity_id, e.name_norm, e.lang, epoch(min(ts))::BIGINT AS first_seen, epoch(max(ts))::BIGINT AS last_seen, count(DISTINCT item_id) AS items, list_aggregate(list_sort(list(DISTINCT ccir)), 'string_agg', '|') AS ccirs FROM entities e JOIN entity_links l USING (entity_id) JOIN enriched USING (item_id) WHERE epoch(ts) >= {SINCE} GROUP BY 1, 2, 3 ORDER BY items DESC, e.name_norm, e.lang LIMIT 500")
 def entity_active(spark, sf):
-    rows = entities.active(*derive.entity_graph(spark, sf), derive.enrichment(spark, sf).withColumnRenamed("created_at", "ts"), F.timestamp_seconds(F.lit(SINCE)), aliases=False)
-    top = entities.most_active(rows)
+    top = entities.most_active(entities.activity(derive.item_mentions(spark, sf), F.timestamp_seconds(F.lit(SINCE))))
+    top = top.withColumn("entity_id", derive.entity_id("name_norm", "lang"))
     return top.select("entity_id", "name_norm", "lang", _epoch("first_seen").alias("first_seen"), _epoch("last_seen").alias("last_seen"), "items", _joined("ccirs").alias("ccirs"))
 
 
@@ -493,6 +493,14 @@ def alert_digest_groups(spark, sf):
     return alerts.digest_groups(state).withColumn("items", _joined("items"))
 
 
+@query("SELECT seq, pmesii, row_number() OVER (ORDER BY pmesii ASC NULLS LAST, fired_at, seq) - 1 AS place FROM (SELECT * REPLACE (CASE WHEN seq % 5 <> 0 THEN pmesii END AS pmesii) FROM alert_attempts) WHERE seq % 3 = 0 AND seq % 7 <> 0")
+def alert_digest_order(spark, sf):
+    """The rows of a digest in their order; every fifth alert has no domain."""
+    state = derive.alert_attempts(spark, sf).withColumn("pmesii", F.when(F.col("seq") % 5 != 0, F.col("pmesii")))
+    state = state.withColumn("suppressed", F.col("seq") % 3 == 0).withColumn("digested_at", F.when(F.col("seq") % 7 == 0, F.col("fired_at")))
+    return alerts.undigested(state).select("seq", "pmesii", "place")
+
+
 @query("SELECT left(sha256(item_id || '|' || cnr), 16) AS alert_id, item_id, left(why, 500) AS excerpt, coalesce(pmesii, '') AS tags, 'obsidian://open?vault=obsidian&file=brief-outbox%2F' || item_id || '.md' AS note_link FROM enriched WHERE cnr = 'I'")
 def alert_payloads(spark, sf):
     rows = alerts.payloads(alerts.urgent(derive.enriched(spark, sf)))

@@ -45,9 +45,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("item_id", identity.item_id(F.col("source_type"), F.col("url"), F.col("title")))
 
 
+def _ccir():
+    return _pick((*taxonomy.ACTIVE_IDS, "none"), F.col("doc_id") * 7 % 12)
+
+
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = articles(spark, sf_dir).select("doc_id", "item_id", F.col("ts").alias("created_at"))
-    rows = rows.withColumn("ccir", _pick((*taxonomy.ACTIVE_IDS, "none"), F.col("doc_id") * 7 % 12))
+    rows = rows.withColumn("ccir", _ccir())
     rows = rows.withColumn("score", (F.col("doc_id") * 13 % 11).cast("int"))
     rows = rows.withColumn("cnr", F.when(F.col("ccir") == "none", "none").when(F.col("score") >= 9, "I").otherwise("II"))
     rows = rows.withColumn("pmesii", _pick(DOMAINS, F.col("doc_id") % 7)).withColumn("tessoc", _pick(ACTORS, F.col("doc_id") % 5))
@@ -76,10 +80,26 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("item_id", F.explode(text.keywords("body")).alias("name"), "lang", "ts")
 
 
+def entity_id(name_norm, lang):
+    return F.left(F.sha2(F.concat(name_norm, F.lit("\0"), lang), 256), F.lit(16))
+
+
+def item_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_norm, mention, first, lang, ts, ccir): the mentions of each item, with what is known of the item; no shuffle.
+
+    `first` marks one mention of each entity in an item.
+    """
+    key = lambda w: F.struct(names.normalize_name(w).alias("name_norm"), w.alias("mention"))
+    rows = articles(spark, sf_dir).select("lang", "ts", _ccir().alias("ccir"), F.array_sort(F.transform(text.keywords("body"), key)).alias("_m"))
+    before = lambda i: F.get(F.col("_m"), i - 1)["name_norm"]
+    told = F.transform("_m", lambda m, i: F.struct(m["name_norm"].alias("name_norm"), m["mention"].alias("mention"), (~before(i).eqNullSafe(m["name_norm"])).alias("first")))
+    return rows.select("lang", "ts", "ccir", F.explode(told).alias("_e")).select("_e.*", "lang", "ts", "ccir").filter("name_norm <> ''")
+
+
 def _entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`entity_links`, with a row more where a mention repeats; no shuffle."""
     rows = mentions(spark, sf_dir).withColumn("name_norm", names.normalize_name(F.col("name")))
-    key = F.when(F.col("name_norm") != "", F.left(F.sha2(F.concat("name_norm", F.lit("\0"), "lang"), 256), F.lit(16)))
+    key = F.when(F.col("name_norm") != "", entity_id("name_norm", "lang"))
     return rows.select(key.alias("entity_id"), "item_id", F.col("name").alias("mention"), "lang").filter("entity_id is not null")
 
 

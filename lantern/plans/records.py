@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text
-from lantern.operators import aggregates, alerts, entities, ordering, store, vectors, views
+from lantern.operators import aggregates, alerts, entities, neighbours, ordering, store, vectors, views, wiki
 from lantern.plans import derive, taxonomy
 from lantern.plans.registry import query
 from lantern.sources import mappers
@@ -196,7 +196,7 @@ def cluster_given(spark, sf):
 
 @query()
 def cluster_windows(spark, sf):
-    """Ten days of three sections, a day a window, from the stored items to their clusters."""
+    """Ten days of three sections, a day a window, from the stored items to their clusters; tests hold it against the plain rule."""
     items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id", "left")
     return aggregates.clustered_windows(items, ["ffir-1", "PIR-3", "Pir-1"], _at(NOW - 240 * 3600), 24, derive.TEST_SIMILARITY)
 
@@ -204,9 +204,17 @@ def cluster_windows(spark, sf):
 # --- Entities ------------------------------------------------------------------------------------
 
 
-@query("""SELECT "key", "left", "right" FROM (SELECT DISTINCT mention AS "left", lang FROM entity_links) a JOIN (SELECT DISTINCT mention AS "right", mention AS "key", lang AS lang_b FROM entity_links) b ON "left" = "right" AND lang < lang_b""")
+#: Latin letters and the Cyrillic ones that stand for them, one for one.
+_LATIN = "".join(dict.fromkeys(t for t in text.CYRILLIC.values() if len(t) == 1))
+_CYRILLIC = "".join(next(c for c, t in text.CYRILLIC.items() if t == latin) for latin in _LATIN)
+
+
+@query(f""", m AS (SELECT DISTINCT mention AS key, lang, CASE WHEN lang = 'fr' THEN translate(mention, '{_LATIN}', '{_CYRILLIC}') ELSE mention END AS mention FROM entity_links)
+SELECT a.key, a.mention AS "left", b.mention AS "right" FROM m a JOIN m b ON a.key = b.key AND a.lang < b.lang""")
 def cross_language_pairs(spark, sf):
-    return entities.cross_script_pairs(derive.entity_links(spark, sf))
+    """Mentions in several languages, those of one of them in Cyrillic letters."""
+    links = derive.entity_links(spark, sf)
+    return entities.cross_script_pairs(links.withColumn("mention", F.when(F.col("lang") == "fr", F.translate("mention", _LATIN, _CYRILLIC)).otherwise(F.col("mention"))))
 
 
 @query("""SELECT e.name, 'MISC' AS type, arg_min(l.lang, l.item_id || l.mention) AS lang, array_to_string(list_sort(list(DISTINCT l.mention || ' (' || l.lang || ')')), '|') AS aliases, count(DISTINCT l.item_id) AS n_items
@@ -388,7 +396,27 @@ def taxonomy_examples(spark, sf):
     return taxonomy.active_examples(rows).select("doc_id", F.array_join(F.array_sort("ids"), "|").alias("ids"))
 
 
-# --- Recall and vault reports --------------------------------------------------------------------
+# --- Wiki pages, recall and vault reports --------------------------------------------------------
+
+_WIKI_VECTOR = ", ".join(f"(('0x' || substr(sha256(name || ':{i // 16}'), {i % 16 * 4 + 1}, 4))::INTEGER / 65535)::FLOAT::DOUBLE" for i in range(64))
+
+
+@query(f""", subjects AS (
+  SELECT entity_id, [{_WIKI_VECTOR}] AS v FROM entities WHERE entity_id IN (SELECT entity_id FROM entity_links JOIN (SELECT item_id FROM articles ORDER BY ts DESC, item_id DESC LIMIT 5) USING (item_id))
+), s AS (
+  SELECT entity_id, i.item_id, round(list_dot_product(v, embedding::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity
+  FROM subjects, item_embeddings i JOIN enrichment e ON e.item_id = i.item_id WHERE bucket <> 'skip'
+), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY similarity DESC, item_id) AS place FROM s)
+SELECT entity_id, item_id, similarity, place::INTEGER AS place FROM r WHERE place <= 20""")
+def wiki_sources(spark, sf):
+    """What the pages rest on that the newest items make necessary: the nearest items of every entity they name."""
+    links = derive.entity_links(spark, sf)
+    newest = store.recent_items(derive.articles(spark, sf).select("item_id", "ts"), limit=5)
+    chosen = neighbours.checkpointed(derive.entities(spark, sf).join(wiki.touched(links, newest), "entity_id", "left_semi"))
+    items = derive.item_embeddings(spark, sf).join(derive.enrichment(spark, sf).select("item_id", "bucket"), "item_id").filter("bucket <> 'skip'")
+    return wiki.sources(chosen.withColumn("vector", vectors.hashed_vector(F.col("name"), 64)), items)
+
+
 
 _SIM = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 

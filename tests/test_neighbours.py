@@ -55,3 +55,14 @@ def test_near_earlier_equals_brute_force(spark, monkeypatch, threshold, piece):
 def test_near_earlier_of_nothing(spark):
     frame = spark.createDataFrame([], "item_id string, created_at timestamp, embedding array<float>")
     assert vectors.near_earlier(frame).collect() == []
+
+
+def test_many_targets_are_met_in_tiles(spark):
+    """More targets than are broadcast give the same nearest one, zero and null vectors included."""
+    rng = np.random.default_rng(8)
+    vector = lambda i: None if i % 11 == 0 else [0.0] * 4 if i % 13 == 0 else np.round(rng.standard_normal(4), 1).tolist()
+    items = spark.createDataFrame([(i, vector(i)) for i in range(120)], "item_id int, embedding array<float>")
+    for some in ([(f"t{i}", vector(i)) for i in range(60)], [("t1", [-1.0, 0.0, 0.0, 0.0]), ("t2", [0.0] * 4)], [("z", [0.0] * 4)], []):
+        targets = spark.createDataFrame([t for t in some if t[1] is not None], "t string, embedding array<float>")
+        told = [[(r.item_id, r.t, r.similarity) for r in vectors.nearest(items, targets, "t", most).orderBy("item_id").collect()] for most in (1 << 20, -1)]
+        assert told[0] == told[1] and len(told[0]) == 120

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from lantern.functions import models
 from lantern.operators import neighbours, resolution, tiles
 from lantern.plans import catalogue
 
@@ -130,6 +131,31 @@ def test_empty_tables(spark):
     assert got(spark, [("a", "en", "e", 1, None)], [], 0.9) == {("a", "en"): ("e", True)}
 
 
+def test_items_are_linked_from_text_to_entity(spark):
+    """Found, cleared of noise, resolved in the items' order, linked; an item whose model fails links nothing."""
+    answers = {"NATO in Oslo": '```[{"name": "NATO", "type": "ORG"}, {"name": "Oslo", "type": "city"}, {"name": "cw.no", "type": "ORG"}]```', "nato again": '[{"name": "nato", "type": "ORG"}, {"name": "GitHub"}]', "НАТО": '[{"name": "НАТО", "type": "ORG"}]'}
+    rows = [("i1", 1, "NATO in Oslo", "", "en"), ("i2", 2, "nato again", None, None), ("i3", 3, "НАТО", "", "ru"), ("i4", 4, "broken", "", "en")]
+    items = spark.createDataFrame(rows, "item_id string, ts int, title string, summary string, lang string")
+
+    @models.entity_finder
+    def find(text):
+        return answers[text.strip()]
+
+    vectors = {"nato": [1.0, 0.0], "нато": [0.99, 0.05], "oslo": [0.0, 1.0]}
+    made, links = resolution.link_items(items, spark.createDataFrame([], KNOWN), find, models.embedder(lambda name: vectors[name]))
+    assert sorted((r.name, r.name_norm, r.lang, r.type) for r in made.collect()) == [("NATO", "nato", "en", "ORG"), ("Oslo", "oslo", "en", "MISC")]
+    ids = {r.name: r.entity_id for r in made.collect()}
+    assert sorted((r.entity_id, r.item_id, r.mention, r.lang) for r in links.collect()) == sorted([(ids["NATO"], "i1", "NATO", "en"), (ids["Oslo"], "i1", "Oslo", "en"), (ids["NATO"], "i2", "nato", "en"), (ids["NATO"], "i3", "НАТО", "ru")])
+
+
+def test_backends_by_name(spark):
+    backends = {"local": lambda prompt, tokens: f"{prompt}:{tokens}", "heavy": lambda prompt, tokens: f"{prompt}/{tokens}"}
+    frame = spark.createDataFrame([("p",)], "p string")
+    assert [frame.select(models.synthesizer(backends, n, t)("p")).first()[0] for n, t in (("local", 800), ("heavy", 800), ("heavy", 9000))] == ["p:800", "p/4096", "p/9000"]
+    with pytest.raises(ValueError, match="heavy, local"):
+        models.synthesizer(backends, "other")
+
+
 def test_the_query_has_no_task_for_everything(spark):
     plan = catalogue.entity_resolution_fold(spark, SF)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
