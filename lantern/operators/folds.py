@@ -75,7 +75,8 @@ def fold(df: DataFrame, group: list[str], order: list, start: Callable[[], Step]
 
 def _placed(items: DataFrame, by: list[str], *columns) -> DataFrame:
     """Items with `rank`, their place by section, score and item_id among all, and `place`, that within the section."""
-    rows = items.select(*by, "item_id", F.coalesce("score", F.lit(0)).alias("score"), *columns)
+    # Staged before it is sorted, since a sort looks at its input twice.
+    rows = neighbours.checkpointed(items.select(*by, "item_id", F.coalesce("score", F.lit(0)).alias("score"), *columns))
     ranked = neighbours.checkpointed(ordering.numbered(rows, [], [*by, F.col("score").desc(), "item_id"], "rank"))
     firsts = ranked.groupBy(*by).agg(F.min("rank").alias("_first")).select(*[F.col(c).alias(f"_{c}") for c in by], "_first")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
@@ -147,24 +148,26 @@ def greedy_centroids(items: DataFrame, threshold: float = 0.75, by: Sequence[str
     return _folded(rows, tiles.near_forest(held, threshold * threshold - tiles.EDGE), by, start)
 
 
+PEELS = 2
+
+
 def _word_links(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     """(u, v): links between items (rank, words) of a section that share a word which can bring any together.
 
     An item that shares fewer than `least` of its words with any other is alone; without it, its words
-    may be some other item's only, which then is alone as well, and so on.
+    may be some other item's only, which then is alone as well. That is followed PEELS times; more
+    would make parts smaller still, and never changes a cluster.
     """
     section = F.concat_ws("\0", *[F.col(c).cast("string") for c in by])
     words = rows.select("rank", section.alias("_section"), F.explode(F.array_distinct("words")).alias("_word"))
     held = neighbours.checkpointed(words.select("rank", F.xxhash64("_section", "_word").alias("word")))
-    while True:
+    for _ in range(PEELS):
         common = held.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("word")
         able = held.join(common, "word", "left_semi")
         enough = able.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("rank")
-        left = neighbours.checkpointed(able.join(enough, "rank", "left_semi"))
-        if left.count() == held.count():
-            first = left.groupBy("word").agg(F.min("rank").alias("v"))
-            return left.join(first, "word").select(F.col("rank").alias("u"), "v")
-        held = left
+        held = neighbours.checkpointed(able.join(enough, "rank", "left_semi"))
+    first = held.groupBy("word").agg(F.min("rank").alias("v"))
+    return held.join(first, "word").select(F.col("rank").alias("u"), "v")
 
 
 def greedy_keywords(items: DataFrame, least: int = 2, by: Sequence[str] = ("ccir",)) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +28,37 @@ def numbered(df: DataFrame, group: list[str], order: list, out: str) -> DataFram
     return rows.join(starts, same).select(*df.columns, (F.col("_start") + F.col("_at") - F.col("_first")).alias(out))
 
 
+#: Links that one task follows, of 16 bytes each; more are followed in rounds.
+FEW = 1_000_000
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links (u, v) of all batches."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(side) for side in zip(*held))
+    nodes, places = np.unique(np.concatenate((u[u != v], v[u != v])), return_inverse=True)
+    a, b = np.split(places, 2)
+    root = np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of `edges` (u, v; longs) reaches, roots included.
 
-    In each round a node looks at the least root around it, and roots are then replaced by theirs until
-    nothing changes: the number of rounds is logarithmic in most graphs, and every round is checkpointed.
+    Up to FEW links are followed in one task. Of more, in each round a node looks at the least root around it,
+    and roots are then replaced by theirs until nothing changes: the number of rounds is logarithmic in
+    most graphs, and every round is staged.
     """
+    edges = neighbours.checkpointed(edges.select("u", "v"))
+    if edges.count() <= FEW:
+        return edges.coalesce(1).mapInArrow(_followed, "node long, root long")
     both = neighbours.checkpointed(edges.filter("u <> v").select("u", "v").union(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = neighbours.checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")))
     while True:

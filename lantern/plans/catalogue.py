@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text, verdict
 from lantern.operators import aggregates, alerts, bus, entities, folds, index, neighbours, resolution, store, vectors, views
-from lantern.plans import derive, records, registry, taxonomy
+from lantern.plans import derive, records, registry, sequential, taxonomy
 from lantern.plans.registry import query
 from lantern.sources import mappers
 
@@ -534,16 +534,18 @@ def bus_fan_out(spark, sf):
     return bus.delivered(rows).select("offset", "queue")
 
 
-# --- Order-dependent folds; tests hold them against plain Python ----------------------------------
+# --- Rules that go from row to row; their twins are recursive queries -------------------------------
 
+_KEPT = "FROM enriched {} WHERE ccir <> 'none'"
 
-@query()
+
+@query(sequential.centroid_clusters("SELECT ccir, item_id, score, embedding " + _KEPT.format("LEFT JOIN (SELECT item_id, embedding FROM item_embeddings) USING (item_id)"), derive.TEST_SIMILARITY))
 def cluster_greedy_centroid(spark, sf):
     items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id", "left")
     return folds.greedy_centroids(views.kept(items), derive.TEST_SIMILARITY)
 
 
-@query()
+@query(sequential.keyword_clusters("SELECT ccir, item_id, score, title " + _KEPT.format("")))
 def cluster_greedy_keyword(spark, sf):
     return folds.greedy_keywords(views.kept(derive.enriched(spark, sf)).withColumn("words", text.keywords("title")))
 
@@ -580,13 +582,13 @@ def entity_resolution_fold(spark, sf):
     return resolution.resolve_entities(names_, rows.filter(known), _RESOLVED)
 
 
-@query()
+@query(sequential.claims(86_400_000_000))
 def alert_claim_fold(spark, sf):
     claims = derive.alert_claims(spark, sf).withColumn("dedupe_id", identity.alert_id(F.col("item_id"), F.col("cnr_tier")))
     return folds.claim_alerts(claims)
 
 
-@query()
+@query(sequential.throttled((("60s", 60_000_000, 5), ("600s", 600_000_000, 10))))
 def alert_throttle_fold(spark, sf):
     return folds.throttle_alerts(derive.alert_attempts(spark, sf))
 

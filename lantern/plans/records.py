@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import identity, names, places, text
 from lantern.operators import aggregates, alerts, entities, neighbours, ordering, store, vectors, views, wiki
-from lantern.plans import derive, taxonomy
+from lantern.plans import derive, sequential, taxonomy
 from lantern.plans.registry import query
 from lantern.sources import mappers
 from lantern.streaming import bus as bus_stream
@@ -194,9 +194,13 @@ def cluster_given(spark, sf):
     return aggregates.clustered(items)
 
 
-@query()
+_WINDOWED = f"""SELECT upper(ccir) AS section, (epoch(created_at)::BIGINT - {NOW - 240 * 3600}) // 86400 AS "window", item_id, score, embedding
+  FROM enriched LEFT JOIN (SELECT item_id, embedding FROM item_embeddings) USING (item_id) WHERE upper(ccir) IN ('FFIR-1', 'PIR-3', 'PIR-1') AND epoch(created_at) >= {NOW - 240 * 3600}"""
+
+
+@query(sequential.centroid_clusters(_WINDOWED, derive.TEST_SIMILARITY, 'section, "window"'))
 def cluster_windows(spark, sf):
-    """Ten days of three sections, a day a window, from the stored items to their clusters; tests hold it against the plain rule."""
+    """Ten days of three sections, a day a window, from the stored items to their clusters."""
     items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id", "left")
     return aggregates.clustered_windows(items, ["ffir-1", "PIR-3", "Pir-1"], _at(NOW - 240 * 3600), 24, derive.TEST_SIMILARITY)
 

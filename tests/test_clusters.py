@@ -121,7 +121,9 @@ def test_numbers(spark, groups):
     assert got == expected
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW", few)
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
     root = {n: n for e in edges for n in e if e[0] != e[1]}

@@ -83,9 +83,15 @@ def world(seed, n, dims, spread):
     return names + names[:30], known
 
 
+@pytest.fixture
+def rounds(monkeypatch):
+    """Rounds of joins to the end, however few edges are left."""
+    monkeypatch.setattr(resolution, "FEW", 0)
+
+
 @pytest.mark.parametrize("seed, dims, spread, threshold", [(1, 3, 0.3, 0.92), (2, 6, 0.4, 0.9), (3, 16, 0.75, 0.8)])
 @pytest.mark.parametrize("head", [0, 4, 1024])
-def test_rounds_equal_the_rule(spark, seed, dims, spread, threshold, head, monkeypatch):
+def test_rounds_equal_the_rule(spark, seed, dims, spread, threshold, head, monkeypatch, rounds):
     monkeypatch.setattr(resolution, "HEAD", head)
     monkeypatch.setattr(tiles, "MOST_ROWS", 37)  # several tiles
     names, known = world(seed, 260, dims, spread)
@@ -99,7 +105,7 @@ def test_bands_find_the_same(spark):
     assert got(spark, names, known, 0.9, recall=0.9999) == plain(names, known, 0.9)
 
 
-def test_a_chain_is_settled_link_by_link(spark, monkeypatch):
+def test_a_chain_is_settled_link_by_link(spark, monkeypatch, rounds):
     """Each name is near the ones next to it only: every other one makes an entity. The worst case for the rounds."""
     monkeypatch.setattr(resolution, "HEAD", 0)
     step = 0.2
@@ -109,12 +115,14 @@ def test_a_chain_is_settled_link_by_link(spark, monkeypatch):
     assert len(log) == 7  # one round for each entity but the last
 
 
-def test_random_order_takes_few_rounds(spark):
+def test_random_order_takes_few_rounds(spark, monkeypatch):
     rng = np.random.default_rng(6)
     pairs = {tuple(sorted(rng.integers(0, 20_000, 2).tolist(), reverse=True)) for _ in range(40_000)}
     pairs = [p for p in pairs if p[0] != p[1]]
-    log = []
-    followers = {r.rank for r in resolution.settled(neighbours.checkpointed(spark.createDataFrame(pairs, "later long, earlier long")), log).collect()}
+    log, edges = [], neighbours.checkpointed(spark.createDataFrame(pairs, "later long, earlier long"))
+    at_once = {r.rank for r in resolution.settled(edges).collect()}
+    monkeypatch.setattr(resolution, "FEW", 0)
+    followers = {r.rank for r in resolution.settled(edges, log).collect()}
     earlier = {}
     for later, first in pairs:
         earlier.setdefault(later, []).append(first)
@@ -122,7 +130,7 @@ def test_random_order_takes_few_rounds(spark):
     for node in range(20_000):
         if any(e not in expected for e in earlier.get(node, ())):
             expected.add(node)
-    assert followers == expected
+    assert followers == expected == at_once
     assert len(log) <= 16 and log == sorted(log, reverse=True)
 
 
