@@ -143,3 +143,50 @@ def test_query_against_a_plain_reading(spark):
         blocks = [" ".join(stdlib_html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h[1-6])>", body)]
         expected = "\n\n".join(b for b in blocks if b)
         assert got[row.page_id] == (expected, len(expected)), row.page_id
+
+
+def test_names_never_take_the_main_text():
+    article = "<article><h1>Head</h1><p>Body</p></article>"
+    assert text(f'<div class="layout has-sidebar">{article}</div>') == ["Head", "Body"]
+    assert text(f'<div class="sidebar"><div class="widget-area">{article}</div></div>') == ["Head", "Body"]
+    assert text(f'<form id="form">{article}<p>x</p></form><form>Sign up</form>') == ["Head", "Body"]
+    assert text('<main><div class="social-science">Of society</div><section class="related-work">Others did</section><div class="social">Like us</div></main>') == ["Of society", "Others did"]
+    assert text('<div class="widget"><p>One of three.</p><p>Two of three.</p><p>Three.</p></div><p>End</p>') == ["One of three.", "Two of three.", "Three.", "End"]
+    assert text(f'{article}<div class="ad">{"Buy this now. " * 40}</div>') == ["Head", "Body"]
+    assert text(f'{article}<section id="comments"><article><p>{"First! " * 40}</p></article></section>') == ["Head", "Body"]
+    assert text('<div class="comments"><p>a.</p><p>b.</p><p>c.</p></div>') == []
+    teaser = "A teaser of the next story, here"
+    assert text(f"<div>The long text of this very page.</div><article><p>{teaser}</p></article>") == ["The long text of this very page.", teaser]
+
+
+def test_shared_texts_stay_and_varied_menus_go(spark):
+    release = "".join(f"<p>Part {i} of the release which several pages share, word for word.</p>" for i in range(4))
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+    menu = lambda i: f'<div class="x{i}"><div class="q7"><a href="/">{words[i]}</a></div><div class="q7"><a href="/">{words[i - 1]} more</a></div></div>'
+    rows = [(i, "https://a.example/", f'<body>{menu(i)}<div class="content"><p>Oslo, day {words[i]}</p>{release}</div></body>') for i in range(4)]
+    story = lambda i: f"<h1>Head {words[i]}</h1><p>{words[i]} happened to {words[i - 1]}, as was told at length by {words[i - 2]}.</p>"
+    rows += [(100 + i, "https://b.example/", f'{menu(i)}<div class="lead">Lead {words[i]}</div><div class="text">{story(i)}</div>') for i in range(12)]
+    rows += [(200 + i, "https://c.example/", f'<div class="z">Buy {words[i]}</div><article>{story(i)}<div class="note">Note {words[i]}</div></article>') for i in range(12)]
+    near = "h" * 70
+    rows += [(300 + i, f"https://{near}{i}.example/", f"<div>Same words</div><p>story {words[i]} is told here</p>") for i in range(4)]
+    out = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert out[i].text.split("\n\n") == [f"Oslo, day {words[i]}", *re.findall("<p>(.*?)</p>", release)], out[i].text
+        assert out[i].n_shape == 2
+        assert out[300 + i].text.startswith("Same words")  # four hosts, whose names begin alike
+    for i in range(12):
+        told = [f"Head {words[i]}", f"{words[i]} happened to {words[i - 1]}, as was told at length by {words[i - 2]}."]
+        assert out[100 + i].text.split("\n\n") == [f"Lead {words[i]}", *told]
+        assert out[200 + i].text.split("\n\n") == [*told, f"Note {words[i]}"] and out[200 + i].n_shape == 1
+
+
+def test_templates_alone_give_the_tables_texts(spark):
+    """With names switched off, pages whose article holds most of their prose have the same text, wherever the host has three pages."""
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    named = {r.page_id: r for r in html.op3_html(spark, sf).collect()}
+    alone = {r.page_id: r for r in html.extract(pages, html.Templates(names=False)).collect()}
+    asked = {r.page_id for r in pages.collect() if 2 * len(named[r.page_id].text) > len(re.sub(r"<style.*?</script>|<a .*?</a>|<[^>]*>", "", r.html or ""))}
+    differ = [i for i in asked if named[i].text != alone[i].text]
+    assert len(asked) > 0.8 * len(named) and not differ, (len(asked), len(named), len(differ), differ[:5])
+    assert sum(r.n_shape for r in alone.values()) > 1000
