@@ -6,7 +6,8 @@ French insurance number, mod 97), steuer (a German tax number, mod 11 and 10) an
 and keys, by CRC-32, JSON header or entropy). A span of a base kind is always reported; an added one
 only if its checksum holds and its score reaches the threshold. Scores start from the kind, rise with
 a checksum that holds and with words nearby that name such data, and sink with words that name
-something else. Kinds whose checksum is weak start so low that they need such a word.
+something else. Kinds whose checksum is weak start so low that they need such a word; a token that
+proves what it is, by its CRC-32, its JSON header or a form that only such keys have, needs none.
 """
 
 from __future__ import annotations
@@ -70,6 +71,7 @@ _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 class Policy:
     window: int = 40  # characters of context on either side
     checksum: float = 0.4
+    proof: float = 0.3  # besides, for secrets that prove what they are
     context: float = 0.2
     threshold: float = 0.6  # of added kinds
     entropy: float = 3.0  # bits a character, least for a secret without a checksum of its own
@@ -115,8 +117,8 @@ def _entropy(token: str) -> float:
     return -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
 
 
-def secret_holds(token: str, least: float) -> bool:
-    """Whether a token proves to be one: by its CRC-32, its JSON header, its fixed form, or by its entropy."""
+def secret_proves(token: str) -> bool | None:
+    """Whether a token of a known form is one, by its CRC-32, its JSON header or that form alone; None: the form is none of these."""
     if re.fullmatch(r"gh[pousr]_[A-Za-z0-9]{36}", token):
         rest, digits = zlib.crc32(token[4:34].encode()), ""
         while rest:
@@ -130,8 +132,11 @@ def secret_holds(token: str, least: float) -> bool:
         except (ValueError, binascii.Error, RecursionError):
             return False
         return isinstance(header, dict) and "alg" in header
-    if re.fullmatch(r"(?:AKIA|ASIA)[A-Z2-7]{16}", token):
-        return True
+    return True if re.fullmatch(r"(?:AKIA|ASIA)[A-Z2-7]{16}", token) else None
+
+
+def secret_holds(token: str, least: float) -> bool:
+    """Whether a token is random enough to be a secret, where its form tells nothing."""
     mixed = any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)
     return mixed and "." not in token and _entropy(token) >= least
 
@@ -195,22 +200,25 @@ def iban_spans(text: str) -> Iterator[tuple[int, int]]:
             at = text.find(" ", start, found.end()) + 1 or found.end()
 
 
-def added_spans(text: str, policy: Policy) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the added kinds whose checksum holds, by kind in order, then by start."""
-    yield from (("iban", *s) for s in iban_spans(text))
+def added_spans(text: str, policy: Policy) -> Iterator[tuple[str, int, int, bool]]:
+    """(kind, start, end, proved) of the added kinds whose checksum holds, by kind in order, then by start."""
+    yield from (("iban", *s, False) for s in iban_spans(text))
     checks: dict[str, tuple[re.Pattern, Callable[[str], bool]]] = {"nif": (_NIF, nif_holds), "nir": (_NIR, nir_holds), "steuer": (_STEUER, steuer_holds)}
     for kind, (pattern, holds) in checks.items():
         for m in pattern.finditer(text):
             if holds(m[0].replace(" ", "").replace("-", "")):
-                yield kind, *m.span()
+                yield kind, *m.span(), False
     for m in _SECRET.finditer(text):
         token = m[0].strip("=.-+/") if m[0][-1] in ".-" else m[0]
         start = m.start() + m[0].find(token)
         if "=" in token.rstrip("="):  # name=value
             name = token.rstrip("=").rindex("=") + 1
             start, token = start + name, token[name:]
-        if len(token) >= 20 and secret_holds(token, policy.entropy):
-            yield "secret", start, start + len(token)
+        if len(token) < 20:
+            continue
+        proved = secret_proves(token)
+        if proved or proved is None and secret_holds(token, policy.entropy):
+            yield "secret", start, start + len(token), bool(proved)
 
 
 def _score(text: str, kind: str, start: int, end: int, checked: bool, policy: Policy) -> float:
@@ -225,8 +233,8 @@ def find_spans(text: str | None, policy: Policy = Policy()) -> list[dict]:
     """All spans of a text with their scores; offsets are code points, the end excluded."""
     text = text or ""
     found = [{"kind": k, "start": a, "end": b, "score": _score(text, k, a, b, k == "card", policy)} for k, a, b in base_spans(text)]
-    for k, a, b in added_spans(text, policy):
-        score = _score(text, k, a, b, True, policy)
+    for k, a, b, proved in added_spans(text, policy):
+        score = round(min(1.0, _score(text, k, a, b, True, policy) + policy.proof * proved), 3)
         if score >= policy.threshold:
             found.append({"kind": k, "start": a, "end": b, "score": score})
     return found
