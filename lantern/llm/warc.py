@@ -18,12 +18,13 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StructField
+from pyspark.sql.types import DataType, LongType
 
 from lantern.llm import arrow, shared
 
@@ -57,6 +58,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
 
 
+def page_urn(page_id: object) -> str:
+    """The record id of a page, from the text of its id."""
+    return "<urn:nopage:>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='', errors='surrogatepass')}>"
+
+
+def page_of(urn: str | None) -> str | None:
+    """The text of the id in a record id; None for the record of a page without one."""
+    if urn is None or urn == "<urn:nopage:>":
+        return None
+    if not (urn.startswith("<urn:page:") and urn.endswith(">")):
+        raise WarcError(f"a record id is no page's: {urn[:60]!r}")
+    return unquote(urn[10:-1], errors="surrogatepass")
+
+
 def _header(name: str, value: str) -> str:
     return f"{name}: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', value)}\r\n"
 
@@ -67,7 +82,7 @@ def record(row: dict, archive: Archive) -> bytes:
     block = _HTTP % len(payload) + (b"" if revisit else payload)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if row['page_id'] is None else row['page_id']}>"),
+        ("WARC-Record-ID", page_urn(row["page_id"])),
         ("WARC-Date", archive.date),
         ("WARC-Target-URI", row["url"] or "about:blank"),
         ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
@@ -76,7 +91,7 @@ def record(row: dict, archive: Archive) -> bytes:
         ("Content-Length", str(len(block))),
     ]
     if revisit:
-        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")]
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", page_urn(row["refers_to"]))]
     return VERSION + "".join(_header(*f) for f in fields).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -208,7 +223,8 @@ def write_archives(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     """Write a record for every row of `pages` (page_id, url, html); returns (archive, records), staged.
 
     Of equal payloads the one with the least page_id is a response, and the others revisit it; rows
-    that share that page_id are all responses. A null page_id is never referred to.
+    that share that page_id are all responses. A null page_id is never referred to. Ids may be of any
+    type that can be cast to text and back.
     """
     folder = f"{shared.shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -219,7 +235,9 @@ def write_archives(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
     again = shared.join_hot(narrow, equal, "_sha1").filter(~F.col("page_id").eqNullSafe(F.col("_first")))
     again = shared.staged(again.select(F.col("page_id").alias("_id"), F.col("_sha1"), "_first").distinct(), "warc-revisits")
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (sha1 == F.col("_sha1"))
-    rows = rows.join(shared.small(again, 200_000), same, "left").select("page_id", "url", "html", F.col("_first").alias("refers_to"))
+    rows = rows.join(shared.small(again, 200_000), same, "left").select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("_first").cast("string").alias("refers_to")
+    )
 
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         files, path = _opened(folder)
@@ -248,14 +266,9 @@ def read_archives(archives: DataFrame, id_type: DataType = LongType()) -> DataFr
     """The records of the archives in `archives` (archive: URI of a file).
 
     Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
-    a revisit). An archive that breaks the format raises `WarcError`.
+    a revisit). Ids are read as text and cast to `id_type`; one that can't be cast fails the query. An
+    archive that breaks the format, or a record that is no page's, raises `WarcError`.
     """
-    number = re.compile(r"<urn:page:(-?[0-9]*)>")
-
-    def page(value: str | None) -> int | None:
-        found = number.fullmatch(value or "")
-        return int(found[1]) if found and found[1] else None
-
     def run(rows: Iterator[dict]) -> Iterable[dict]:
         for row in rows:
             files, path = _opened(row["archive"])
@@ -264,18 +277,19 @@ def read_archives(archives: DataFrame, id_type: DataType = LongType()) -> DataFr
                     found = parse_record(content)
                     headers, revisit = found["headers"], found["headers"]["warc-type"] == "revisit"
                     yield {
-                        "page_id": page(headers["warc-record-id"]),
+                        "page_id": page_of(headers["warc-record-id"]),
                         "url": headers.get("warc-target-uri"),
                         "payload_bytes": found["payload_bytes"],
                         "payload_digest": headers.get("warc-payload-digest", "").removeprefix("sha1:"),
                         "record_type": headers["warc-type"],
-                        "refers_to": page(headers.get("warc-refers-to")),
+                        "refers_to": page_of(headers.get("warc-refers-to")),
                         "payload": None if revisit else found["payload"],
                     }
 
-    ddl = "url string, payload_bytes long, payload_digest string, record_type string"
+    ddl = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     spread = archives.repartition(max(1, min(archives.count(), MAX_READERS)))  # dealt in turn, so evenly
-    return arrow.map_rows(spread, run, arrow.schema(StructField("page_id", id_type), ddl, StructField("refers_to", id_type), "payload binary"), rows=64)
+    records = arrow.map_rows(spread, run, ddl, rows=64)
+    return records.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:

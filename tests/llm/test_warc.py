@@ -80,3 +80,15 @@ def test_a_payload_of_many_pages(spark, monkeypatch):
     rows = warc.round_trip(pages).collect()
     assert len(rows) == 61
     assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(i, "revisit", 1) if i % 3 and i != 1 else (i, "response", None) for i in range(60)} | {(None, "revisit", 1)}
+
+
+def test_ids_of_any_type(spark):
+    """Ids come back as they were, whatever signs they hold; a text that is no id of the asked type is an error."""
+    ids = ["p1", "p 2>", "", "é%3A", None, "p\r\n3"]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    rows = warc.round_trip(pages).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(i, "response", None) if i == "" else (i, "revisit", "") for i in ids}
+    days = pages.selectExpr("date_add(DATE'2024-01-01', cast(length(page_id) AS int)) AS page_id", "url", "html")
+    assert sorted(map(str, (r.page_id for r in warc.round_trip(days).collect()))) == sorted(map(str, (r.page_id for r in days.collect())))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        warc.read_archives(warc.write_archives(pages)).collect()
