@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import verdict
@@ -195,3 +195,17 @@ def clustered_windows(items: DataFrame, sections: list[str], since, hours: int =
     rows = for_sections(items, sections, since)
     window = F.floor((F.unix_seconds("created_at") - F.unix_seconds(since)) / (hours * 3600)).cast("long")
     return clustered(rows.withColumn("window", window), threshold, ["section", "window"])
+
+
+def digest(items: DataFrame, sections: Column, first: int | None = None) -> DataFrame:
+    """(section, rank, lead, size, sources, max_score, urgent): clusters of items, by vectors or key words, in the order of a report.
+
+    `sections` is an array that names the sections of an item (none: it is left out), each clustered for
+    itself. Within a section clusters go by their highest score, then as they were founded. `first`
+    bounds the clusters of a section.
+    """
+    rows = items.withColumn("section", F.explode(sections))
+    members = clustered(rows, by=("section",)).join(rows.select("section", "item_id", "score", "source", "cnr"), ["section", "item_id"])
+    told = cluster_summary(members.withColumnRenamed("section", "ccir")).withColumnRenamed("ccir", "section")
+    told = told.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.col("max_score").desc(), "cluster")))
+    return (told.filter(F.col("rank") <= first) if first is not None else told).drop("cluster")

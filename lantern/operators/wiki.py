@@ -41,15 +41,31 @@ def sources(subjects: DataFrame, items: DataFrame, k: int = SOURCES) -> DataFram
     return named.join(held.select(F.col("rank").alias("target"), "item_id"), "target").select("entity_id", "item_id", "similarity", "place")
 
 
+def _line(s: Column) -> Column:
+    """A source as prompts carry it."""
+    part = lambda label, value: F.concat(F.lit(f" {label}: "), F.coalesce(value.cast("string"), F.lit("unknown")))
+    return F.concat(F.lit("[item_id: "), s["item_id"], F.lit("]"), part("Title", s["title"]), part("Source", s["source"]), part("CCIR", s["ccir"]), part("Score", s["score"]), F.when(F.coalesce(s["summary"], F.lit("")) != "", F.concat(F.lit("\nSummary: "), s["summary"])).otherwise(""))
+
+
 def prompt(name: Column, cited: Column) -> Column:
     """What a model is asked for a page: the subject and its sources, or a stub where there are none."""
-    part = lambda label, value: F.concat(F.lit(f" {label}: "), F.coalesce(value.cast("string"), F.lit("unknown")))
-    line = lambda s: F.concat(F.lit("[item_id: "), s["item_id"], F.lit("]"), part("Title", s["title"]), part("Source", s["source"]), part("CCIR", s["ccir"]), part("Score", s["score"]), F.when(F.coalesce(s["summary"], F.lit("")) != "", F.concat(F.lit("\nSummary: "), s["summary"])).otherwise(""))
     rules = "Write a short article about the topic from the articles below and nothing else. Cite each claim as [item_id]. Draw on sources of every language, and name contradictions."
-    full = F.concat(F.lit(f"{rules}\n\nTopic: "), name, F.lit("\n\nArticles:\n"), F.array_join(F.transform(cited, line), "\n"))
+    full = F.concat(F.lit(f"{rules}\n\nTopic: "), name, F.lit("\n\nArticles:\n"), F.array_join(F.transform(cited, _line), "\n"))
     return F.when(F.size(cited) > 0, full).otherwise(F.concat(F.lit("There are no items for '"), name, F.lit("'. Say in one sentence that no sources are available.")))
 
 
+#: Characters of a body that a recall's prompt carries.
+BODY = 500
+
+
+def recall_prompt(topic: Column, cited: Column, bodies: bool = False) -> Column:
+    """What a model is asked about a topic: the items that a recall has found, nearest first, with the beginnings of their bodies if wanted."""
+    rules = "Answer the query from the articles below and nothing else. Cite each claim as [item_id]. Draw on sources of every language, and name contradictions. If they do not answer it, say so."
+    body = lambda s: F.when(F.coalesce(s["body"], F.lit("")) != "", F.concat(F.lit("\nBody: "), F.left(s["body"], F.lit(BODY)))).otherwise("")
+    told = F.transform(cited, (lambda s: F.concat(_line(s), body(s))) if bodies else _line)
+    return F.concat(F.lit(f"{rules}\n\nQuery: "), topic, F.lit("\n\nArticles:\n"), F.array_join(told, "\n"))
+
+
 def left_out(cited: Column, synthesis: Column) -> Column:
     """Sorted languages of the sources of which a synthesis cites none, as `[id]` or `[id: title]`."""
     ids = F.transform(F.regexp_extract_all(synthesis, F.lit(r"\[([^\]]+)\]"), F.lit(1)), lambda c: F.trim(F.element_at(F.split(c, ":"), 1)))

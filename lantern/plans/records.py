@@ -400,6 +400,30 @@ def taxonomy_examples(spark, sf):
     return taxonomy.active_examples(rows).select("doc_id", F.array_join(F.array_sort("ids"), "|").alias("ids"))
 
 
+_SECTIONS = "SELECT item_id, score, title, source, cnr, unnest(CASE WHEN cnr = 'I' THEN [upper(ccir), 'CNR'] ELSE [upper(ccir)] END) AS ccir FROM enriched WHERE ccir <> 'none'"
+
+
+def _digest(first: int) -> str:
+    """The clusters of all sections by the recursive twin of their fold, put into order."""
+    fold, _, _ = sequential.keyword_clusters("SELECT ccir, item_id, score, title FROM told").rpartition("\n)\nSELECT")
+    return f""", told AS ({_SECTIONS}){fold}
+), summed AS (
+  SELECT ccir, cluster, arg_max(item_id, (coalesce(score, 0), -place)) AS lead, count(*) AS size, list_aggregate(list_sort(list(DISTINCT source)), 'string_agg', '|') AS sources,
+    max(coalesce(score, 0)) AS max_score, bool_or(coalesce(cnr = 'I', false)) AS urgent
+  FROM (SELECT ccir, cluster, place, f.item_id, score, source, cnr FROM folded f JOIN told USING (ccir, item_id) WHERE place >= 0) GROUP BY ccir, cluster
+), ordered AS (SELECT *, row_number() OVER (PARTITION BY ccir ORDER BY max_score DESC, cluster) AS rank FROM summed)
+SELECT ccir AS section, rank, lead, size, sources, max_score, urgent FROM ordered WHERE rank <= {first}"""
+
+
+@query(_digest(6))
+def digest_sections(spark, sf):
+    """A whole digest from stored items: urgent ones as a section of their own, and the six best clusters of each section."""
+    own = F.upper("ccir")
+    sections = F.when(F.col("cnr") == "I", F.array(own, F.lit("CNR"))).otherwise(F.array(own))
+    rows = aggregates.digest(views.kept(derive.enriched(spark, sf)), sections, 6)
+    return rows.withColumn("sources", F.array_join("sources", "|"))
+
+
 # --- Wiki pages, recall and vault reports --------------------------------------------------------
 
 _WIKI_VECTOR = ", ".join(f"(('0x' || substr(sha256(name || ':{i // 16}'), {i % 16 * 4 + 1}, 4))::INTEGER / 65535)::FLOAT::DOUBLE" for i in range(64))
@@ -434,6 +458,21 @@ def recall_table(spark, sf):
     return vectors.recall_table(vectors.recall(items, vector, 20)).select("rank", "item_id", "title", "similarity")
 
 
+@query(f""", s AS (SELECT e.*, round({_SIM}, 6) AS similarity FROM enriched e JOIN item_embeddings v USING (item_id), (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE e.bucket <> 'skip'),
+r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, item_id) AS rank FROM s)
+SELECT 'Answer the query from the articles below and nothing else. Cite each claim as [item_id]. Draw on sources of every language, and name contradictions. If they do not answer it, say so.' || chr(10) || chr(10) || 'Query: harbours'
+  || chr(10) || chr(10) || 'Articles:' || chr(10) || string_agg('[item_id: ' || item_id || '] Title: ' || coalesce(title, 'unknown') || ' Source: ' || coalesce(source, 'unknown') || ' CCIR: ' || coalesce(ccir, 'unknown') || ' Score: ' || coalesce(score::VARCHAR, 'unknown')
+  || CASE WHEN coalesce(why, '') <> '' THEN chr(10) || 'Summary: ' || why ELSE '' END || CASE WHEN coalesce(body, '') <> '' THEN chr(10) || 'Body: ' || left(body, 500) ELSE '' END, chr(10) ORDER BY rank) AS prompt
+FROM r WHERE rank <= 20""")
+def recall_prompt(spark, sf):
+    """What a model is asked about a topic: the twenty nearest items with the beginnings of their bodies."""
+    items = derive.enriched(spark, sf).join(derive.item_embeddings(spark, sf).select("item_id", "embedding"), "item_id")
+    vector = derive.table(spark, sf, "embeddings").filter("vec_id = 3").first().embedding
+    found = vectors.recall_table(vectors.recall(items, vector, 20)).withColumn("summary", F.col("why"))
+    gathered = found.agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "title", "source", "ccir", "score", "summary", "body"))).alias("cited"))
+    return gathered.select(wiki.recall_prompt(F.lit("harbours"), F.col("cited"), bodies=True).alias("prompt"))
+
+
 @query(f""", c AS (SELECT *, row_number() OVER (PARTITION BY ccir ORDER BY score DESC, item_id) AS rank FROM enriched WHERE epoch(created_at) >= {NOW - 240 * 3600} AND ccir <> 'none' AND score >= 5)
 SELECT ccir, rank, item_id, score FROM c WHERE rank <= 6""")
 def vault_projection(spark, sf):

@@ -143,3 +143,29 @@ def test_cluster_query_equals_the_plain_fold(spark):
     items = derive.enriched(spark, SF).filter("ccir <> 'none'").select("ccir", "item_id", "score", "title")
     words = items.withColumn("words", catalogue.text.keywords("title")).collect()
     assert sections(catalogue.cluster_greedy_keyword(spark, SF).collect()) == plain_sections([(r.ccir, r.item_id, r.score, r.words) for r in words])
+
+
+def test_digest_orders_clusters_of_sections(spark):
+    words = {"a": "harbour strike ends", "b": "harbour strike grows", "c": "bridge opens today", "d": "harbour strike again"}
+    rows = [
+        ("1", "PIR-1", words["a"], 7, "x", "I"), ("2", "PIR-1", words["b"], 9, "y", "II"), ("3", "PIR-1", words["c"], 9, "x", None),
+        ("4", "PIR-1", words["d"], None, "z", "I"), ("5", "FFIR-2", None, None, None, None), ("6", None, words["a"], 8, "x", "I"),
+    ]
+    items = spark.createDataFrame(rows, "item_id string, ccir string, title string, score int, source string, cnr string")
+    sections = F.array_compact(F.array("ccir", F.when(F.col("cnr") == "I", "CNR")))
+    found = {(r.section, r["rank"]): (r.lead, r.size, r.sources, r.max_score, r.urgent) for r in aggregates.digest(items, sections).collect()}
+    assert found == {
+        ("PIR-1", 1): ("2", 3, ["x", "y", "z"], 9, True), ("PIR-1", 2): ("3", 1, ["x"], 9, False),
+        ("CNR", 1): ("6", 3, ["x", "z"], 8, True), ("FFIR-2", 1): ("5", 1, [], 0, False),
+    }
+    assert aggregates.digest(items, sections, 1).count() == 3 and aggregates.digest(items.limit(0), sections).count() == 0
+
+
+def test_recall_prompt_without_values(spark):
+    from lantern.operators import wiki
+
+    ddl = "cited array<struct<item_id:string,title:string,source:string,ccir:string,score:int,summary:string,body:string>>"
+    rows = [([("1", None, "s", "c", 3, "", "é" * 600), ("2", "t", None, None, None, "why", None)],), ([],)]
+    told = [r[0] for r in spark.createDataFrame(rows, ddl).select(wiki.recall_prompt(F.lit("q"), F.col("cited"), bodies=True)).collect()]
+    body = f"[item_id: 1] Title: unknown Source: s CCIR: c Score: 3\nBody: {'é' * 500}\n[item_id: 2] Title: t Source: unknown CCIR: unknown Score: unknown\nSummary: why"
+    assert told[0].endswith("\n\nQuery: q\n\nArticles:\n" + body) and told[1].endswith("Articles:\n")
