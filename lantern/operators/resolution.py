@@ -12,7 +12,8 @@ settled as soon as its earlier neighbours are:
    none, then what is near it, until no pair is left. A round settles at least the first
    name of every group that hangs together; for names in no particular order their number grows
    with the logarithm of the names;
-4. every name that takes an entity is compared with all of them, for the nearest before it.
+4. every name that takes an entity is compared with those made, and with the known ones only in step 1,
+   for the nearest before it.
 
 The result is that of the sequential rule. Names with equal vectors count as one until the last step.
 """
@@ -170,11 +171,11 @@ def resolve_entities(mentions: DataFrame, known: DataFrame, threshold: float = v
     compared = rows.filter("vector is not null").select("rank", "vector", "new")
     before = compared.filter("not new").select("rank", "vector")
     asking = compared.filter("new").select("rank", "vector")
-    near_known = neighbours.checkpointed(_nearest(asking, before, threshold, recall).select("rank"))
-    leads = neighbours.checkpointed(_leaders(neighbours.checkpointed(asking.join(near_known, "rank", "left_anti")), threshold, recall, log))
+    near_known = neighbours.checkpointed(_nearest(asking, before, threshold, recall))
+    leads = neighbours.checkpointed(_leaders(neighbours.checkpointed(asking.join(near_known.select("rank"), "rank", "left_anti")), threshold, recall, log))
     following = asking.join(leads, "rank", "left_anti")
-    targets = before.union(asking.join(leads, "rank", "left_semi"))
-    nearest = _nearest(following, targets, threshold, recall)
+    near_made = _nearest(following, asking.join(leads, "rank", "left_semi"), threshold, recall)
+    nearest = near_known.union(near_made).groupBy("rank").agg(F.min_by("target", F.struct(-F.col("similarity"), "target")).alias("target"))
     taken = nearest.join(rows.select(F.col("rank").alias("target"), F.col("entity_id").alias("_taken")), "target").select("rank", "_taken")
     made = rows.filter("new").join(taken, "rank", "left")
     return exact.unionByName(made.select("name_norm", "lang", F.coalesce("_taken", "entity_id").alias("entity_id"), F.col("_taken").isNull().alias("made")))

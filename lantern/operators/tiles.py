@@ -1,7 +1,7 @@
 """Exact comparison of vectors by matrix products of tiles, dealt over tasks.
 
-Rows are dealt to tiles of a bounded size; a pair of tiles is one row, compared by one matrix product
-in its task. Nothing is skipped, so the work grows with the product of the two sides; what is given
+Rows are dealt to tiles of a bounded size; a pair of tiles is one row, compared by matrix products of
+their pieces in its task. Nothing is skipped, so the work grows with the product of the two sides; what is given
 back is what the caller keeps of each product.
 """
 
@@ -16,53 +16,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Components of all vectors of a tile, about, and the most rows it has.
-COMPONENTS, MOST_ROWS = 1 << 21, 4096
+#: Components of all vectors of a tile, about, and the most rows it has. A pair of tiles is copied to its task, so
+#: that what is shuffled falls as tiles grow; there it is cut into pieces of up to PIECE rows, which bound what a product takes.
+COMPONENTS, MOST_ROWS, PIECE = 1 << 21, 1 << 16, 4096
+#: Tiles that a smaller set is dealt to if they have PIECE rows, left tiles that share a copy of a right one, and bytes of copies for a task.
+SPREAD, SHARED, TASK_BYTES = 4, 2, 16 << 20
 
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict]
 
 
-def tiles(rows: DataFrame, section: Column | None = None) -> DataFrame:
-    """(section, dims, tile, n_tiles, held): `rows` (rank, vector) dealt to tiles by a hash of their rank.
+def tiles(rows: DataFrame, section: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(section, dims, tile, n_tiles, held): `rows` (rank, vector and the numbers in `also`) dealt to tiles by a hash of their rank.
 
     Only vectors of one section and of equal length share a tile, and only such tiles are compared.
     """
-    sized = rows.select("rank", "vector", F.size("vector").alias("dims"), (F.lit("") if section is None else section).alias("section"))
+    sized = rows.select("rank", "vector", *also, F.size("vector").alias("dims"), (F.lit("") if section is None else section).alias("section"))
     least = F.greatest(F.lit(1), F.least(F.lit(MOST_ROWS), F.lit(COMPONENTS) / F.greatest(F.col("dims"), F.lit(1))))
-    counts = sized.groupBy("section", "dims").agg(F.count(F.lit(1)).alias("_n")).select("section", "dims", F.ceil(F.col("_n") / least).cast("int").alias("n_tiles"))
+    counts = sized.groupBy("section", "dims").agg(F.count(F.lit(1)).alias("_n"))
+    n_tiles = F.greatest(F.ceil(F.col("_n") / least), F.least(F.lit(SPREAD), F.ceil(F.col("_n") / PIECE)))
+    counts = counts.select("section", "dims", n_tiles.cast("int").alias("n_tiles"))
     dealt = sized.join(counts, ["section", "dims"]).withColumn("tile", F.pmod(F.xxhash64("rank"), F.col("n_tiles")).cast("int"))
-    return dealt.groupBy("section", "dims", "tile").agg(F.first("n_tiles").alias("n_tiles"), F.collect_list(F.struct("rank", "vector")).alias("held"))
+    return dealt.groupBy("section", "dims", "tile").agg(F.first("n_tiles").alias("n_tiles"), F.collect_list(F.struct("rank", "vector", *also)).alias("held"))
 
 
-def _matrix(held: pa.ListScalar, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ranks, unit vectors) of a tile, by rank."""
+def _matrix(held: pa.ListScalar, dims: int) -> tuple[np.ndarray, ...]:
+    """(ranks, unit vectors, what else the tile has) of a tile, by rank."""
     rows = held.values
     ranks = rows.field("rank").to_numpy(zero_copy_only=False)
     vectors = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ranks), dims)
     order = np.argsort(ranks)
     vectors = vectors[order]
-    return ranks[order], vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    also = [rows.field(f.name).to_numpy(zero_copy_only=False)[order] for f in rows.type if f.name not in ("rank", "vector")]
+    return ranks[order], vectors / np.linalg.norm(vectors, axis=1)[:, None], *also
 
 
 def compare(left: DataFrame, right: DataFrame, function: Compare, ddl: str, half: bool = False) -> DataFrame:
-    """What `function` keeps of each pair of a `left` and a `right` tile of vectors of equal length (both from `tiles`, staged).
+    """What `function` keeps of each pair of pieces of a `left` and a `right` tile of vectors of equal length (both from `tiles`, staged).
 
-    It gets the ranks and unit vectors of both, by rank, and gives equally long arrays for the columns of
-    `ddl`. With `half`, both sides are the same and each pair of tiles comes once.
+    It gets the ranks, unit vectors and further numbers of both, by rank, and gives equally long arrays for the
+    columns of `ddl`. With `half`, both sides are the same and each pair of pieces comes once.
     """
     target = to_arrow_schema(_parse_datatype_string(ddl))
-    others = right.groupBy("section", "dims").agg(F.first("n_tiles").alias("_others"))
-    pairs = left.select("section", "dims", F.col("tile").alias("_tile"), F.col("held").alias("_left")).join(others, ["section", "dims"])
+    of = lambda rows, name: rows.groupBy("section", "dims").agg(F.first("n_tiles").alias(name))
+    pairs = left.select("section", "dims", F.col("tile").alias("_tile"), F.col("held").alias("_left")).join(of(right, "_others"), ["section", "dims"])
+    copies = pairs.agg(F.sum("_others").alias("n"), F.sum(F.size("_left") * (F.col("dims") * 4 + 56) * F.col("_others")).alias("bytes")).first()
+    parts = max(1, min(copies.n or 0, left.sparkSession.sparkContext.defaultParallelism), min(4096, (copies.bytes or 0) // TASK_BYTES))
     first = F.col("_tile") if half else F.lit(0)
     pairs = pairs.filter(F.col("_others") > first).withColumn("tile", F.explode(F.sequence(first, F.col("_others") - 1))).drop("_others")
-    met = pairs.join(right.select("section", "dims", "tile", "held"), ["section", "dims", "tile"]).select("dims", "_left", "held")
+    groups = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_mine") / SHARED).cast("int") - 1))
+    targets = right.select("section", "dims", "tile", "held").join(of(left, "_mine"), ["section", "dims"]).withColumn("_group", groups).drop("_mine")
+    # Dealt out by number, as the few bytes of a pair of tiles say nothing about its work.
+    key = ["section", "dims", "tile", "_group"]
+    dealt = pairs.withColumn("_group", F.floor(F.col("_tile") / SHARED).cast("int")).repartition(parts, *key)
+    met = dealt.join(targets.repartition(parts, *key), key).select("dims", "_left", "held", (F.lit(half) & (F.col("tile") == F.col("_tile"))).alias("_same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 dims = batch.column(0)[i].as_py()
-                kept = function(*_matrix(batch.column(1)[i], dims), *_matrix(batch.column(2)[i], dims))
-                yield pa.RecordBatch.from_arrays([pa.array(kept[f.name], type=f.type) for f in target], schema=target)
+                ours, theirs = _matrix(batch.column(1)[i], dims), _matrix(batch.column(2)[i], dims)
+                for s in range(0, len(ours[0]), PIECE):
+                    for t in range(s if batch.column(3)[i].as_py() else 0, len(theirs[0]), PIECE):
+                        kept = function(*[x[s : s + PIECE] for x in ours], *[x[t : t + PIECE] for x in theirs])
+                        yield pa.RecordBatch.from_arrays([pa.array(kept[f.name], type=f.type) for f in target], schema=target)
 
     return met.mapInArrow(run, ddl)
 
@@ -77,12 +93,22 @@ def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _near(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine to 9 places) where it reaches the threshold, by row."""
-    product = left @ right.T
-    i, j = np.nonzero(product >= threshold - EDGE)
-    value = np.round(product[i, j], 9)
-    near = value >= threshold
-    return i[near], j[near], value[near]
+    """(row, column, cosine to 9 places) where it reaches the threshold, by row.
+
+    Products in single precision, which differ by no more than `edge`, tell which are computed in double.
+    """
+    edge = EDGE + (left.shape[1] + 4) * 2.0**-23
+    rows, columns = left.astype(np.float32), right.astype(np.float32).T
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for s in range(0, len(left), 512):  # what fits a processor's cache
+        block = left[s : s + 512]
+        i, j = np.divmod(np.flatnonzero(rows[s : s + 512] @ columns >= threshold - edge), len(right))
+        few = i.size * left.shape[1] <= len(block) * len(right)
+        value = np.round(np.einsum("ij,ij->i", block[i], right[j]) if few else (block @ right.T)[i, j], 9)
+        near = value >= threshold
+        found.append((i[near] + s, j[near], value[near]))
+    i, j, value = map(np.concatenate, zip(*found))
+    return i, j, value
 
 
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -101,7 +127,7 @@ def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 def nearest_before(rows: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
     """(rank, target, similarity): for each of `rows` the nearest of the `targets` (tiles, staged) of lower rank; the least rank of equals.
 
-    Rows without one at the threshold are left out. Of each pair of tiles one row is kept for each row.
+    Rows without one at the threshold are left out. Of each pair of pieces one row is kept for each row.
     """
 
     def keep(ranks: np.ndarray, vectors: np.ndarray, target_ranks: np.ndarray, target_vectors: np.ndarray) -> dict:
@@ -120,7 +146,7 @@ def nearest_before(rows: DataFrame, targets: DataFrame, threshold: float) -> Dat
 def near_forest(rows: DataFrame, threshold: float) -> DataFrame:
     """(u, v): links between ranks of `rows` (tiles, staged) that join all whose cosine reaches the threshold, and no others.
 
-    Of the pairs of two tiles no more are kept than they have rows.
+    Of the pairs of two pieces no more are kept than they have rows.
     """
 
     def keep(left_ranks: np.ndarray, left: np.ndarray, right_ranks: np.ndarray, right: np.ndarray) -> dict:
@@ -142,7 +168,7 @@ def near_forest(rows: DataFrame, threshold: float) -> DataFrame:
 def top_k(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(rank, target, similarity, place): the `k` nearest of the `targets` for each of `rows` (both tiles, staged); of equals the least rank.
 
-    Of each pair of tiles at most k rows are kept for each row.
+    Of each pair of pieces at most k rows are kept for each row.
     """
 
     def keep(ranks: np.ndarray, vectors: np.ndarray, target_ranks: np.ndarray, target_vectors: np.ndarray) -> dict:
