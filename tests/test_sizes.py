@@ -50,3 +50,16 @@ def test_known_entities_are_compared_once(spark, monkeypatch):
     out = resolution.resolve_entities(fresh, known, 0.97)
     made = out.filter("made").count()
     assert asked == [40, made] and 0 < made < 60
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_an_item_equal_links(spark):
+    rows = [("a", 2, "xx", ["u", "v"]), ("a", 1, "en", ["v", "w", "v"]), ("b", 1, None, ["u"]), ("b", 2, "no", ["u"])]
+    writes = spark.createDataFrame(rows, "item_id string, seq int, lang string, links array<string>")
+    got = sorted(map(tuple, store.inserted_item_links(writes, ["item_id"]).collect()), key=str)
+    flat = writes.select("item_id", "seq", "lang", F.explode("links").alias("mention")).withColumn("entity_id", F.lit("e"))
+    assert got == sorted(((r.item_id, r.mention, r.lang) for r in store.inserted_links(flat).collect()), key=str)
+    assert "SortAggregate" not in plan(catalogue.queries()["upsert_links"](spark, SF))
