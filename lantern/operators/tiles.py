@@ -92,19 +92,19 @@ def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.round(left @ right.T, 9)
 
 
-def _near(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine to 9 places) where it reaches the threshold, by row.
+def _near(left: np.ndarray, right: np.ndarray, threshold: float, places: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine to so many places) where it reaches the threshold, by row.
 
     Products in single precision, which differ by no more than `edge`, tell which are computed in double.
     """
-    edge = EDGE + (left.shape[1] + 4) * 2.0**-23
+    edge = 10.0 ** (1 - places) + (left.shape[1] + 4) * 2.0**-23
     rows, columns = left.astype(np.float32), right.astype(np.float32).T
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     for s in range(0, len(left), 512):  # what fits a processor's cache
         block = left[s : s + 512]
         i, j = np.divmod(np.flatnonzero(rows[s : s + 512] @ columns >= threshold - edge), len(right))
         few = i.size * left.shape[1] <= len(block) * len(right)
-        value = np.round(np.einsum("ij,ij->i", block[i], right[j]) if few else (block @ right.T)[i, j], 9)
+        value = np.round(np.einsum("ij,ij->i", block[i], right[j]) if few else (block @ right.T)[i, j], places)
         near = value >= threshold
         found.append((i[near] + s, j[near], value[near]))
     i, j, value = map(np.concatenate, zip(*found))
@@ -143,6 +143,25 @@ def nearest_before(rows: DataFrame, targets: DataFrame, threshold: float) -> Dat
     return best.groupBy("rank").agg(F.min_by(F.struct("target", "similarity"), order).alias("_b")).select("rank", "_b.target", "_b.similarity")
 
 
+def nearest_within(rows: DataFrame, targets: DataFrame, threshold: float, span: int) -> DataFrame:
+    """(rank, target, similarity to 6 places): for each of `rows` the nearest of the `targets` (tiles with `at`, staged) that came before, up to `span` earlier.
+
+    Of equal times that of the least rank came first; of equally near targets the one with the least rank is
+    taken. Of each pair of pieces one row is kept for each row; the caller takes the best of them.
+    """
+
+    def keep(ranks: np.ndarray, vectors: np.ndarray, at: np.ndarray, target_ranks: np.ndarray, target_vectors: np.ndarray, target_at: np.ndarray) -> dict:
+        i, j, value = _near(vectors, target_vectors, threshold, 6)
+        ago = at[i] - target_at[j]
+        met = (ago <= span) & ((ago > 0) | (ago == 0) & (target_ranks[j] < ranks[i]))
+        i, j, value = i[met], j[met], value[met]
+        order = np.lexsort((j, -value, i))
+        order = order[np.diff(i[order], prepend=-1) > 0]
+        return {"rank": ranks[i[order]], "target": target_ranks[j[order]], "similarity": value[order]}
+
+    return compare(rows, targets, keep, "rank long, target long, similarity double")
+
+
 def near_forest(rows: DataFrame, threshold: float) -> DataFrame:
     """(u, v): links between ranks of `rows` (tiles, staged) that join all whose cosine reaches the threshold, and no others.
 

@@ -63,3 +63,12 @@ def test_links_of_an_item_equal_links(spark):
     flat = writes.select("item_id", "seq", "lang", F.explode("links").alias("mention")).withColumn("entity_id", F.lit("e"))
     assert got == sorted(((r.item_id, r.mention, r.lang) for r in store.inserted_links(flat).collect()), key=str)
     assert "SortAggregate" not in plan(catalogue.queries()["upsert_links"](spark, SF))
+
+
+def test_near_earlier_needs_no_bands(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "band_keys", lambda *_: pytest.fail("bands are not exact"))
+    nan, day = float("nan"), 86400
+    rows = [("d", 0, [1.0, 0.0]), ("c", 0, [1.0, 0.0]), ("b", 7 * day, [2.0, 0.0]), ("a", 7 * day + 1, [1.0, 0.1]), ("e", 5, [nan, 1.0]), ("f", 6, None), ("g", 7, [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "item_id string, at long, embedding array<double>").withColumn("created_at", F.timestamp_seconds("at"))
+    got = {r.item_id: (r.duplicate_of, r.similarity) for r in vectors.near_earlier(frame, 0.9).collect()}
+    assert got == {"d": ("c", 1.0), "b": ("c", 1.0), "a": ("b", 0.995037)}
