@@ -72,3 +72,8 @@ def test_near_earlier_needs_no_bands(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "item_id string, at long, embedding array<double>").withColumn("created_at", F.timestamp_seconds("at"))
     got = {r.item_id: (r.duplicate_of, r.similarity) for r in vectors.near_earlier(frame, 0.9).collect()}
     assert got == {"d": ("c", 1.0), "b": ("c", 1.0), "a": ("b", 0.995037)}
+
+
+def test_notes_are_counted_before_the_shuffle(spark):
+    df = catalogue.queries()["entity_graph_notes"](spark, SF)
+    assert "SortAggregate" not in plan(df).split("HashAggregate")[-1] and "hashpartitioning(item_id" not in plan(df)
