@@ -77,3 +77,7 @@ def test_near_earlier_needs_no_bands(spark, monkeypatch):
 def test_notes_are_counted_before_the_shuffle(spark):
     df = catalogue.queries()["entity_graph_notes"](spark, SF)
     assert "SortAggregate" not in plan(df).split("HashAggregate")[-1] and "hashpartitioning(item_id" not in plan(df)
+
+
+def test_links_are_counted_before_the_shuffle(spark):
+    assert "hashpartitioning(entity_id" not in plan(catalogue.queries()["entities_by_links"](spark, SF))
