@@ -81,3 +81,8 @@ def test_notes_are_counted_before_the_shuffle(spark):
 
 def test_links_are_counted_before_the_shuffle(spark):
     assert "hashpartitioning(entity_id" not in plan(catalogue.queries()["entities_by_links"](spark, SF))
+
+
+def test_pairs_of_languages_need_no_distinct_links(spark, monkeypatch):
+    monkeypatch.setattr(derive, "entity_links", lambda *_: pytest.fail("links are many, mentions few"))
+    assert catalogue.queries()["cross_language_pairs"](spark, SF).columns == ["key", "left", "right"]
