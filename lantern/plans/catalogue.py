@@ -342,7 +342,7 @@ def entity_active(spark, sf):
 
 @query("SELECT item_id, string_agg(name || '/' || mention, '|' ORDER BY name, mention) AS entities FROM (SELECT DISTINCT item_id, name, mention, l.lang FROM entity_links l JOIN entities USING (entity_id)) GROUP BY item_id")
 def entity_links_per_item(spark, sf):
-    rows = entities.of_items(*derive.entity_graph(spark, sf))
+    rows = entities.of_item_words(derive.item_words(spark, sf), entities.renamed(derive.item_mentions(spark, sf)))
     return rows.select("item_id", _joined(F.transform("entities", lambda e: F.concat(e["name"], F.lit("/"), e["mention"]))).alias("entities"))
 
 

@@ -86,3 +86,12 @@ def test_links_are_counted_before_the_shuffle(spark):
 def test_pairs_of_languages_need_no_distinct_links(spark, monkeypatch):
     monkeypatch.setattr(derive, "entity_links", lambda *_: pytest.fail("links are many, mentions few"))
     assert catalogue.queries()["cross_language_pairs"](spark, SF).columns == ["key", "left", "right"]
+
+
+def test_links_of_items_are_shuffled_as_arrays(spark):
+    df = catalogue.queries()["entity_links_per_item"](spark, SF)
+    assert "hashpartitioning(entity_id" not in plan(df)
+    words = spark.createDataFrame([("i", "en", ["car"], ["cats", "buss"]), ("i", "en", ["car"], []), ("j", "no", [], ["cats"])], "item_id string, lang string, plain array<string>, other array<string>")
+    spelled = spark.createDataFrame([("cat", "en", "cats"), ("cat", "en", "cat"), ("bu", "en", "buss"), ("cat", "no", "cats")], "name_norm string, lang string, mention string")
+    got = {r.item_id: [tuple(e) for e in r.entities] for r in entities.of_item_words(words, entities.renamed(spelled)).collect()}
+    assert got == {"i": [("buss", "buss", "en"), ("car", "car", "en"), ("cat", "cats", "en")], "j": [("cats", "cats", "no")]}
