@@ -95,3 +95,10 @@ def test_links_of_items_are_shuffled_as_arrays(spark):
     spelled = spark.createDataFrame([("cat", "en", "cats"), ("cat", "en", "cat"), ("bu", "en", "buss"), ("cat", "no", "cats")], "name_norm string, lang string, mention string")
     got = {r.item_id: [tuple(e) for e in r.entities] for r in entities.of_item_words(words, entities.renamed(spelled)).collect()}
     assert got == {"i": [("buss", "buss", "en"), ("car", "car", "en"), ("cat", "cats", "en")], "j": [("cats", "cats", "no")]}
+
+
+def test_references_go_to_python_without_their_texts(spark):
+    texts = ["&#97;x&ouml;&amp;lt;", "&ampx &x &#38;#97; &notit; &#9 &#97;", "&#0;&#x80;&#xD800;&#1114112;&#;&", "&lt;b&gt;", "&ouml", "&bogus; \U0001f600&eacute;\n&", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.decode_references("t").alias("d")).collect()
+    assert [(r.t, r.d) for r in rows] == [(t, None if t is None else html.unescape(t)) for t in texts]
+    assert "array" in text._all_references.returnType.simpleString()  # it gets and gives references
