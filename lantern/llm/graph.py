@@ -9,7 +9,10 @@ from lantern.llm import shared
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Link every node's neighbours (its larger or its smaller ones) to the least node around it."""
+    """Link every node's neighbours (its larger or its smaller ones) to the least node around it.
+
+    Rows may repeat, so that the next step can read them as they come.
+    """
     both = edges.union(edges.select("v", "u"))
     if larger:
         near = both
@@ -21,7 +24,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         moved = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    return moved.filter("u <> v")
 
 
 def _finished(edges: DataFrame) -> bool:
@@ -41,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("u", "v").filter("u <> v")
     while True:
-        edges = shared.staged(_star(_star(edges, True), False), "graph")
+        edges = shared.staged(_star(_star(edges, True), False).distinct(), "graph")
         if _finished(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

@@ -153,8 +153,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 def _counts(scan: DataFrame) -> np.ndarray:
     """The rank of each word bucket by its count: 65,536 numbers, however large the input."""
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in scan.filter("line_no is null").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row.key] = row.n
+    buckets, sums = shared.fetched(scan.filter("line_no is null").groupBy("key").agg(F.sum("n").alias("n")))
+    out[buckets] = sums
     ranks = np.empty(len(out), np.int64)
     ranks[np.argsort(out, kind="stable")] = np.arange(len(out))
     return ranks

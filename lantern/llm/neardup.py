@@ -198,8 +198,8 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
     total = np.zeros(1 << RARITY_BITS, np.int64)
     counts = arrow.map_rows(sets.select("grams"), run, "bucket int, n long", rows=16_384)
-    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[row.bucket] = row.n
+    buckets, sums = shared.fetched(counts.groupBy("bucket").agg(F.sum("n").alias("n")))
+    total[buckets] = sums
     ranks = np.empty(len(total), np.int64)
     ranks[np.argsort(total, kind="stable")] = np.arange(len(total))
     return ranks

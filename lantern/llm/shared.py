@@ -117,6 +117,14 @@ def digest_chunk(digest: str, rows: int) -> Column:
 MAX_BITMAP_BITS = 1 << 27
 
 
+def fetched(df: DataFrame) -> list[np.ndarray]:
+    """The columns of `df`, numbers of bounded count, brought to the driver by one job, as arrays and not as rows.
+
+    `toLocalIterator` starts a job for each partition, and the driver keeps what it knows of every job.
+    """
+    return [column.to_numpy() for column in df.toArrow().columns]
+
+
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """A bitmap of bounded size in which the leading bits of every long in `column` are set.
 
@@ -130,8 +138,8 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     words = df.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
     out = np.zeros(bits // 64, np.int64)
-    for row in words.toLocalIterator():
-        out[row.word] = row.bits
+    places, found = fetched(words.select(F.col("word").cast("int").alias("word"), "bits"))
+    out[places] = found
     return out
 
 
