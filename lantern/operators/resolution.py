@@ -13,7 +13,7 @@ settled as soon as its earlier neighbours are:
    name of every group that hangs together; for names in no particular order their number grows
    with the logarithm of the names;
 4. every name that takes an entity is compared with those made, and with the known ones only in step 1,
-   for the nearest before it.
+   for the nearest before it, and only for one that is as near as its known one.
 
 The result is that of the sequential rule. Names with equal vectors count as one until the last step.
 """
@@ -120,9 +120,15 @@ def _near_by_bands(later: DataFrame, earlier: DataFrame, threshold: float, recal
 
 
 def _nearest(rows: DataFrame, targets: DataFrame, threshold: float, recall: float | None) -> DataFrame:
-    """(rank, target, similarity): the nearest of `targets` of lower rank; both sides have rank and vector."""
+    """(rank, target, similarity): the nearest of `targets` of lower rank; both sides have rank and vector.
+
+    With `least`, a similarity, `rows` look for nothing below it; it is the threshold or more.
+    """
     if recall is None:
-        return tiles.nearest_before(neighbours.checkpointed(tiles.tiles(rows)), neighbours.checkpointed(tiles.tiles(targets)), threshold)
+        also = tuple(c for c in ("least",) if c in rows.columns)
+        # Large tiles of targets have small cells; smaller ones of rows make more tasks.
+        asked, held = tiles.tiles(rows, also=also, share=2), tiles.tiles(targets, spread=2)
+        return tiles.nearest_before(neighbours.checkpointed(asked), neighbours.checkpointed(held), threshold)
     near = _near_by_bands(rows, targets, threshold, recall)
     return near.groupBy(F.col("later").alias("rank")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "earlier")).alias("_b")).select("rank", F.col("_b.earlier").alias("target"), (-F.col("_b.s")).alias("similarity"))
 
@@ -173,7 +179,9 @@ def resolve_entities(mentions: DataFrame, known: DataFrame, threshold: float = v
     asking = compared.filter("new").select("rank", "vector")
     near_known = neighbours.checkpointed(_nearest(asking, before, threshold, recall))
     leads = neighbours.checkpointed(_leaders(neighbours.checkpointed(asking.join(near_known.select("rank"), "rank", "left_anti")), threshold, recall, log))
-    following = asking.join(leads, "rank", "left_anti")
+    # What is near a known entity takes one that was made only if that is as near.
+    told = near_known.select("rank", F.col("similarity").alias("least"))
+    following = asking.join(leads, "rank", "left_anti").join(told, "rank", "left").withColumn("least", F.coalesce("least", F.lit(float(threshold))))
     near_made = _nearest(following, asking.join(leads, "rank", "left_semi"), threshold, recall)
     nearest = near_known.union(near_made).groupBy("rank").agg(F.min_by("target", F.struct(-F.col("similarity"), "target")).alias("target"))
     taken = nearest.join(rows.select(F.col("rank").alias("target"), F.col("entity_id").alias("_taken")), "target").select("rank", "_taken")

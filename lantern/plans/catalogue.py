@@ -576,7 +576,8 @@ SELECT a.name_norm, a.lang, coalesce(b.entity_id, a.entity_id) AS entity_id, b.r
 FROM ranked a LEFT JOIN taken ON later = a.rank LEFT JOIN ranked b ON b.rank = target WHERE NOT a.known""")
 def entity_resolution_fold(spark, sf):
     """Names in the order of their ids; a quarter of them, by the last digit of the id, are known entities."""
-    rows = derive.entities(spark, sf).withColumn("embedding", vectors.hashed_vector(F.col("name_norm"), 16))
+    # Staged, since the texts would be read once for each use of the names.
+    rows = neighbours.checkpointed(derive.entity_names(spark, sf).withColumn("embedding", vectors.hashed_vector(F.col("name_norm"), 16)))
     known = F.conv(F.right("entity_id", F.lit(1)), 16, 10).cast("int") % 4 == 0
     names_ = rows.filter(~known).withColumn("seq", F.conv(F.left("entity_id", F.lit(15)), 16, 10).cast("long"))
     return resolution.resolve_entities(names_, rows.filter(known), _RESOLVED)

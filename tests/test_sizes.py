@@ -102,3 +102,62 @@ def test_references_go_to_python_without_their_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.decode_references("t").alias("d")).collect()
     assert [(r.t, r.d) for r in rows] == [(t, None if t is None else html.unescape(t)) for t in texts]
     assert "array" in text._all_references.returnType.simpleString()  # it gets and gives references
+
+
+def crowds(seed, n, dims):
+    """Vectors all over, in crowds, on planes, and copies."""
+    rng = np.random.default_rng(seed)
+    v = rng.random((n, dims))
+    v[: n // 4] = v[rng.integers(0, 5, n // 4)] + rng.normal(0, 0.05, (n // 4, dims))
+    v[n // 4 : n // 3] = v[n // 3 : n // 3 + n // 3 - n // 4]
+    v[n // 2 : n // 2 + 50, 1:2] = 0
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("dims, threshold", [(1, 0.5), (2, 0.99), (16, 0.97), (16, 0.6), (40, 0.9)])
+@pytest.mark.parametrize("found", [30, 1 << 20])
+def test_cells_lose_no_pair(dims, threshold, found, monkeypatch):
+    for name, value in (("CELL", 8), ("CELLED", 64), ("BLOCK", 32), ("FOUND", found)):
+        monkeypatch.setattr(tiles, name, value)
+    a, b = crowds(7, 500, dims), crowds(8, 900, dims)
+    least = np.maximum(threshold, np.random.default_rng(9).choice([0, 0.98, 1.0], len(a)))
+    exact = np.round(a @ b.T, 9)
+    got = [x for part in tiles._found(a, b, least) for x in zip(*(c.tolist() for c in part))]
+    assert len(got) == len({g[:2] for g in got})
+    assert {g[:2] for g in got} == set(zip(*(x.tolist() for x in np.nonzero(exact >= least[:, None]))))
+    assert all(abs(exact[i, j] - value) < 1.5e-9 for i, j, value in got)
+    once = [tuple(sorted(x)) for part in tiles._found(b, b, np.full(len(b), threshold), same=True) for x in zip(part[0].tolist(), part[1].tolist())]
+    i, j = np.nonzero(np.round(b @ b.T, 9) >= threshold)
+    assert sorted(once) == sorted((x, y) for x, y in zip(i.tolist(), j.tolist()) if x < y)
+
+
+def test_most_cells_are_out_of_reach():
+    """Of the vectors that stand in for names a row is compared with less than a half."""
+    a, b = units(10, 500, 16), units(11, 1 << 16, 16)
+    axes, cuts, order, starts = tiles._cells(b)
+    away = tiles._beyond((a @ axes - cuts).T.astype(np.float32))
+    assert starts[-1] == len(b) and len(away) == len(starts) - 1 >= 512
+    assert ((away <= 0.06).T @ np.diff(starts)).mean() < 0.5 * len(b)
+    cell = np.searchsorted(starts, np.arange(len(b)), side="right") - 1
+    apart = ((a[:20, None] - b[order][None]) ** 2).sum(axis=2)
+    assert (away[cell].T[:20] <= apart + 1e-5).all()
+
+
+def test_rows_look_for_nothing_below_their_least(spark):
+    v = units(12, 300, 5)
+    rows = spark.createDataFrame([(i, x.tolist(), 0.96 if i % 2 else 1.0) for i, x in enumerate(v)], "rank long, vector array<float>, least double")
+    held = neighbours.checkpointed(tiles.tiles(rows, also=("least",)))
+    got = {r.rank: r.target for r in tiles.nearest_before(held, held, 0.9).collect()}
+    v = v.astype(np.float32).astype(float)
+    exact = np.round((v / np.linalg.norm(v, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T, 9)
+    expected = {i: int(np.argmax(exact[i, :i])) for i in range(1, 300) if exact[i, :i].max() >= (0.96 if i % 2 else 1.0)}
+    assert got == expected and len(got) > 50
+
+
+def test_texts_are_read_once_for_their_names(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(resolution, "resolve_entities", lambda *a: asked.extend(a[:2]) or a[0])
+    catalogue.queries()["entity_resolution_fold"](spark, SF)
+    assert len(asked) == 2 and all("documents" not in str(f.inputFiles()) and "staged-" in str(f.inputFiles()) for f in asked)
+    names = derive.entity_names(spark, SF)
+    assert sorted(map(tuple, names.collect())) == sorted(map(tuple, derive.entities(spark, SF).select(*names.columns).collect()))
